@@ -110,7 +110,7 @@ active javascript|habilite javascript|en su navegador|para continuar|para ver es
 """
 # Phrases of filler and dummy text.
 FILLER = """
-your text here|your text goes here|text goes here|body copy|describe the step|replace this paragraph with your own words|replace this text|write something here|write your text here|add your text here|insert text here|enter text here|add content here|content goes here|placeholder paragraph|placeholder text|placeholder
+your heading|your subheading|your title|your text here|your text goes here|text goes here|body copy|describe the step|replace this paragraph with your own words|replace this text|write something here|write your text here|add your text here|insert text here|enter text here|add content here|content goes here|placeholder paragraph|placeholder text|placeholder
 sample text|dummy text|sample paragraph|filler text|this is sample text|this is dummy text|this is placeholder text|this is a test|click to edit this text|click here to edit|click to edit|delete this text and add your own story|delete this text|and add your own story|edit or delete it|then start writing|this is your first page|this is your first post|hello world|hello world!
 this is a default page created by the site builder|this is a default page|created by the site builder|change it in the settings|type something…|type something|type something...|start typing|untitled|lorem ipsum|coming soon|under construction|this page is under construction|this page is empty|page intentionally left blank|this page is intentionally left blank|to be written|to be announced|to be done|content coming soon|watch this space|more to come|no content yet|no content
 the quick reader skims a dummy line and learns nothing new from it|the quick brown fox jumps over the lazy dog|nothing to see here yet|just words to fill the box|nothing to see here
