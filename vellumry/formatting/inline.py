@@ -83,13 +83,13 @@ def _links(text: str, defs: Definitions, targets: list[str]) -> str:
             else:
                 m = _LABEL.match(text, k)
                 key = label_key(m[1]) if m and m[1].strip() else label_key(inner)
-                if key in defs and (m or True):
+                if key in defs:
                     where, title = defs[key]
                     k = m.end() if m else k
                     if mark == "![":
                         done = f"{mark}{inner}]" + target(f"({where}{_title(title)})")
                     else:
-                        done = f"{mark}{inner}]" + target("[]" if key == label_key(inner) else f"[{key}]")
+                        done = f"{mark}{inner}]" + target("[]" if key == inner else f"[{key}]")
             levels[-1].append(done if done is not None else f"{mark}{inner}]")
         else:
             levels[-1].append(c)

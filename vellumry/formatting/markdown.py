@@ -82,7 +82,7 @@ class Renderer:
         return self.wrapper(b.info + self.inline(b.text), first, other)
 
     def _heading(self, b: Block, first: str, other: str) -> str:
-        text = self.inline(b.text)
+        text = self.inline(b.text).replace("\\.", ".")
         if self.options.cleanups:
             text = unbold(text)
         text = text.replace("  \n", "\\\n").replace("\n", " ") if not _hard_end(b) else text
