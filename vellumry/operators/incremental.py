@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumry.runtime import hot_keys, micros, running, salted_pair
+from vellumry.runtime import hot_buckets, micros, running, salted_pair, split_hot
 
 
 def hex64(column: Column) -> Column:
@@ -30,56 +30,93 @@ def hex64(column: Column) -> Column:
     return F.conv(good, 16, -10).cast("bigint")
 
 
-def current_intervals(versions: DataFrame) -> DataFrame:
+def _root(column: str) -> Column:
+    """A root as a 16-byte digest; only equality of roots matters, and shuffles shrink."""
+    return F.unhex(F.md5(F.col(column).cast("binary"))).alias("root")
+
+
+def file_versions(versions: DataFrame) -> DataFrame:
+    """(root, path, done_key, gone, modified, start); rows without root, path or times are none."""
+    rows = versions.where(F.col("project_root").isNotNull() & F.col("path").isNotNull())
+    return rows.select(
+        _root("project_root"), "path", hex64(F.col("content_hash")).alias("done_key"), F.coalesce("deleted", F.lit(False)).alias("gone"),
+        micros("modified_at").alias("modified"), micros("landed_at").alias("start"),
+    ).dropna(subset=["modified", "start"])
+
+
+def current_intervals(rows: DataFrame, hot: bool = False) -> DataFrame:
     """When each version of an item is the current one: (root, path, done_key, start, stop).
 
-    A version counts from its ``landed_at`` until a row with a greater ``modified_at``
-    has landed; among equal ``modified_at`` the later landing wins.  Versions that are
-    deleted take part but are not returned.  Rows without root, path or times are none.
+    A version counts from its landing until a row with a greater ``modified`` has landed;
+    among equal ``modified`` the later landing wins.  Versions that are deleted take part
+    but are not returned.  The intervals of an item are disjoint.  With ``hot``, an item
+    may have any number of versions: time is cut into buckets (``runtime.running``).
     """
-    rows = versions.select(
-        F.col("project_root").alias("root"), "path", hex64(F.col("content_hash")).alias("done_key"), F.coalesce("deleted", F.lit(False)).alias("gone"),
-        micros("modified_at").alias("modified"), micros("landed_at").alias("start"),
-    ).dropna(subset=["root", "path", "modified", "start"])
     ties = [F.desc("start"), F.col("gone"), F.col("done_key")]
-    ended = running(rows, ["root", "path"], "modified", F.col("start"), "min", "stop", descending=True, ties=ties, bucket_us=90 * 86_400_000_000)
+    if hot:
+        ended = running(rows, ["root", "path"], "modified", F.col("start"), "min", "stop", descending=True, ties=ties, bucket_us=90 * 86_400_000_000)
+    else:
+        newer = Window.partitionBy("root", "path").orderBy(F.desc("modified"), *ties).rowsBetween(Window.unboundedPreceding, -1)
+        ended = rows.withColumn("stop", F.min("start").over(newer))
     return ended.where(~F.col("gone") & (F.col("stop").isNull() | (F.col("start") < F.col("stop")))).drop("gone", "modified")
 
 
-def fenced_runs(runs: DataFrame) -> DataFrame:
+def run_starts(runs: DataFrame) -> DataFrame:
+    """(run_id, root, at, commit): commit describes the run if it had exit code 0."""
+    rows = runs.where(F.col("run_id").isNotNull() & F.col("project_root").isNotNull()).select(
+        "run_id", _root("project_root"), micros("started_at").alias("at"), "exit_code", "version", hex64(F.col("formatter_fingerprint")).alias("fingerprint"),
+    ).where(F.col("at").isNotNull())
+    commit = F.when(F.col("exit_code") == 0, F.struct("at", F.col("run_id").alias("base"), F.col("version").alias("v"), F.col("fingerprint").alias("f")))
+    return rows.select("run_id", "root", "at", "fingerprint", commit.alias("commit"))
+
+
+def fenced_runs(rows: DataFrame, hot: bool = False) -> DataFrame:
     """Each run with the commit it continues: (run_id, root, at, base_run or null).
 
     ``base_run`` is the last run of the root with exit code 0 and an earlier start,
-    if its manifest has version 1 and the fingerprint of this run.
+    if its manifest has version 1 and the fingerprint of this run.  Runs of a root that
+    start in the same instant do not see each other.
     """
-    rows = runs.select(
-        "run_id", F.col("project_root").alias("root"), micros("started_at").alias("at"), "exit_code", "version",
-        hex64(F.col("formatter_fingerprint")).alias("fingerprint"),
-    ).dropna(subset=["run_id", "root", "at"]).dropDuplicates(["run_id"])
-    # Runs of a root that start in the same instant do not see each other: one commit per instant.
-    commit = F.when(F.col("exit_code") == 0, F.struct("at", F.col("run_id").alias("base"), F.col("version").alias("v"), F.col("fingerprint").alias("f")))
-    instants = rows.groupBy("root", "at").agg(F.max(commit).alias("commit"))
-    fenced = running(instants, ["root"], "at", F.col("commit"), "max", "last", bucket_us=30 * 86_400_000_000)
-    joined = rows.join(fenced.select("root", "at", "last"), ["root", "at"])
+    rows = rows.dropDuplicates(["root", "run_id"])
+    if hot:
+        instants = rows.groupBy("root", "at").agg(F.max("commit").alias("commit"))
+        last = running(instants, ["root"], "at", F.col("commit"), "max", "last", bucket_us=30 * 86_400_000_000)
+        rows = rows.drop("commit").join(last.select("root", "at", "last"), ["root", "at"])
+    else:
+        before = Window.partitionBy("root").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("last", F.max("commit").over(before))
     usable = (F.col("last.v") == 1) & (F.col("last.f") == F.col("fingerprint"))
-    return joined.select("run_id", "root", "at", F.when(usable, F.col("last.base")).alias("base_run"))
+    kept = [c for c in ("run_id", "root", "at", "salts") if c in rows.columns]
+    return rows.select(*kept, F.when(usable, F.col("last.base")).alias("base_run"))
+
+
+def _pending(files: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    f, r = files.alias("f"), runs.alias("r")
+    same = [F.col(f"f.{k}") == F.col(f"r.{k}") for k in keys]
+    inside = (F.col("r.at") >= F.col("f.start")) & (F.col("f.stop").isNull() | (F.col("r.at") < F.col("f.stop")))
+    return f.join(r, [*same, inside]).select("r.run_id", "r.base_run", "f.path", "f.done_key")
 
 
 def replay(runs: DataFrame, versions: DataFrame) -> DataFrame:
     """The items each run had to process: distinct (run_id, path).
 
     An item without a number as hash is never known.  Empty tables give no rows.
+
+    Files and runs are partitioned by root once; windows and the join reuse it.  Roots in
+    hot buckets take another way: time buckets instead of windows, and a salted join.
     """
-    fenced, files = fenced_runs(runs), current_intervals(versions)
-    hot = hot_keys(files, ["root"])
-    many, few = salted_pair(files, fenced, ["root"], F.xxhash64("path"), hot)
-    pending = many.alias("f").join(
-        few.alias("r"),
-        (F.col("f.root") == F.col("r.root")) & (F.col("f.salt") == F.col("r.salt")) & (F.col("r.at") >= F.col("f.start")) & (F.col("f.stop").isNull() | (F.col("r.at") < F.col("f.stop"))),
-    ).select("r.run_id", "r.base_run", "f.path", "f.done_key")
+    files, starts = file_versions(versions), run_starts(runs)
+    hot = hot_buckets(files.select("root").unionByName(starts.select("root")), ["root"])
+    files, hot_files = split_hot(files, ["root"], hot)
+    starts, hot_starts = split_hot(starts, ["root"], hot)
+    cold = _pending(current_intervals(files.repartition("root")), fenced_runs(starts.repartition("root")), ["root"])
+    many = current_intervals(hot_files, hot=True)
+    salts = hot_starts.groupBy("root").agg(F.max("salts").alias("salts"))
+    few = fenced_runs(hot_starts.drop("salts"), hot=True).join(salts, "root")
+    warm = _pending(*salted_pair(many, few, F.xxhash64("path")), ["root", "salt"])
     committed = runs.where((F.col("exit_code") == 0) & (F.col("version") == 1)).select(F.col("run_id").alias("base_run"), F.explode("hashes").alias("h"))
     done = committed.select("base_run", hex64(F.col("h")).alias("done_key")).where(F.col("done_key").isNotNull())
-    return pending.join(done, ["base_run", "done_key"], "left_anti").select("run_id", "path").distinct()
+    return cold.unionByName(warm).join(done, ["base_run", "done_key"], "left_anti").select("run_id", "path")
 
 
 class Ledger:

@@ -43,32 +43,38 @@ def micros(column: Column | str) -> Column:
     return (day * 86_400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = 200, parts: int = 64) -> DataFrame:
-    """Keys that hold at least one row in ``share``, with their number of salts.
+def bucket_of(keys: list[str], buckets: int = 4096) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
-    At most ``share`` keys can qualify, whatever the size of ``df``; the result is
-    therefore safe to broadcast.  ``salts`` grows with the key's share of the rows
-    and is at most ``parts``.
+
+def hot_buckets(df: DataFrame, keys: list[str], share: int = 200, parts: int = 64) -> DataFrame:
+    """Hash buckets of the keys that hold at least one row in ``share``, with their salts.
+
+    A key with that share of the rows makes its bucket hot, so no hot key is missed.  At
+    most ``share`` buckets can be hot, whatever the size of ``df``: the result (bucket,
+    salts) is safe to broadcast.  Finding it shuffles one counter per bucket and task.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_key"))
-    total = counts.agg(F.sum("n_key").alias("n_all"))
+    counts = df.groupBy(bucket_of(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n_all"))
     return (
         counts.crossJoin(F.broadcast(total))
-        .where(F.col("n_key") * share >= F.col("n_all"))
-        .select(*keys, F.ceil(F.col("n_key") * parts / F.col("n_all")).cast("int").alias("salts"))
+        .where((F.col("n") * share >= F.col("n_all")) & (F.col("n_all") > 100 * share))
+        .select("bucket", F.least(F.ceil(F.col("n") * parts / F.col("n_all")), F.lit(parts)).cast("int").alias("salts"))
     )
 
 
-def salted_pair(many: DataFrame, few: DataFrame, keys: list[str], spread: Column, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both join sides with a column ``salt``: rows of ``many`` under a hot key are
-    spread by ``spread``; rows of ``few`` are repeated once per salt of their key."""
-    bounded = F.broadcast(hot)
-    left = many.join(bounded, keys, "left").withColumn(
-        "salt", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("salts"))).cast("int")
-    ).drop("salts")
-    right = few.join(bounded, keys, "left").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
-    ).drop("salts")
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of other buckets, rows of hot buckets with their ``salts``)."""
+    marked = df.withColumn("bucket", bucket_of(keys))
+    few = F.broadcast(hot)
+    return marked.join(few.select("bucket"), "bucket", "left_anti").drop("bucket"), marked.join(few, "bucket").drop("bucket")
+
+
+def salted_pair(many: DataFrame, few: DataFrame, spread: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on hot keys with a column ``salt``: rows of ``many`` are
+    spread by ``spread``; rows of ``few`` are repeated once per salt of their bucket."""
+    left = many.withColumn("salt", F.pmod(spread, F.col("salts")).cast("int")).drop("salts")
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     return left, right
 
 
