@@ -45,8 +45,13 @@ PLACEHOLDERS = re.compile(
     ),
     re.I,
 )
-#: Cheap test before the pattern above: characters and words that every placeholder has.
-_MAY_HOLD = re.compile(r"\{\{|\{%|\{#|<%|[$#]\{|@@|%\(|%[A-Za-z_]+%|\$[A-Za-z_]+\$|__[A-Za-z]|<<|\[\[\s|\{[a-z_]+\}|<(?:insert|your|enter|add|fill)|\[(?:insert|your|enter|fill|add|object|todo|tbd|tk)|(?:goes|comes|TBD|TBA|TODO|here)[\])]|\((?:insert|fill|enter)|TKTK|XXXX|undefined", re.I)
+#: Cheap tests before the pattern above: every placeholder holds one of these strings,
+#: or has one of the notations of the short pattern.
+_HINTS = (
+    "{{", "{%", "{#", "<%", "${", "#{", "@@", "%(", "<<", "[[ ", "<insert", "<your", "<enter", "<add", "<fill", "[insert", "[your", "[enter", "[fill", "[add",
+    "(insert", "(fill", "(enter", " here)", " here]", "tbd]", "tba]", "todo]", "[tbd", "[tba", "[todo", "[tk", "[object", "here)", "tktk", "xxxx", "undefined",
+)
+_SHORT = re.compile(r"%[A-Za-z_]{2,40}%|\$[A-Za-z_]{2,40}\$|__[A-Za-z_]{2,40}__|[^\\${^_\w}]\{[A-Za-z_]{2,40}\}|^\{[A-Za-z_]{2,40}\}")
 _UPPER_ONLY = re.compile(r"(?:%[A-Za-z_]+%|\$[A-Za-z_]+\$|__[A-Za-z_]+__)$")
 _TALK = re.compile(r"(?:\b(?:is|are|was|were|be|been|left|of|an?|the|as|stays?|remains?|returns?|prints?|shows?|called|named)\s+)$", re.I)
 
@@ -61,8 +66,9 @@ _FRONT = re.compile(r"\A﻿?\s*---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 
 # Lines of navigation around a page.
 CHROME = re.compile(
-    r"home(?: *[|·•>/] *[\w ]+)+|sign in(?: *[|·•>/] *[\w ]+)*|back to the start page|table of contents|skip to content|(?:©|\(c\)|copyright) *0* *[\w .-]*|all rights reserved\.?"
-    r"|[-*+] *\[[^\]]*\]\([^)]*\)|menu|search|next|previous|untitled document|new page|sample page|beispielseite|page d'exemple|página de ejemplo|示例页面|サンプルページ|(?:section|chapter|heading|title) *0*",
+    r"home(?: *[|·•>/] *[\w ]+)+|sign in(?: *[|·•>/] *[\w ]+)*|back to the start page|table of contents|skip to content|(?:©|\(c\)|copyright) *\d* *[\w .-]*|all rights reserved\.?"
+    r"|[-*+] *\[[^\]]*\]\([^)]*\)|menu|search|next|previous|untitled document|new page|sample page|beispielseite|page d'exemple|página de ejemplo|示例页面|サンプルページ|(?:section|chapter|heading|title) *\d*",
+    re.I,
 )
 
 # Phrases of error pages.
@@ -166,7 +172,8 @@ def unquoted(text: str) -> str:
 
 def has_placeholder(text: str) -> bool:
     """Whether an unfilled placeholder stands in the running text."""
-    if not _MAY_HOLD.search(text):
+    low = text.lower()
+    if not any(h in low for h in _HINTS) and not _SHORT.search(text):
         return False
     text = _WIKI.sub(" ", unquoted(text))
     for m in PLACEHOLDERS.finditer(text):
@@ -219,63 +226,68 @@ def is_residue_body(text: str) -> bool:
     if "```" in raw or "~~~" in raw:
         raw = _FENCE.sub(_blank_marked, raw)
     raw = _TAGS.sub(" ", raw)
-    residue = body = 0
+    residue = body = total = 0
+    lead = None
     units: Counter = Counter()
-    total, lead = 0, None
-    pending: list[tuple[str, bool]] = []
-    for line in raw.split("\n"):
-        stripped = line.strip()
-        if not stripped:
-            pending.append(("", False))
+    left = len(raw)
+    for paragraph, title in _paragraphs(raw):
+        left -= len(paragraph)
+        if title and CHROME.fullmatch(paragraph.strip("*_> ")):
             continue
-        pending.append((stripped, stripped.lstrip("> ").startswith("#")))
-    # Lines of a paragraph are one text: a sentence may run over a line break.
-    paragraphs: list[tuple[str, bool]] = []
-    held: list[str] = []
-    for line, heading in [*pending, ("", False)]:
-        alone = heading or not line or CHROME.fullmatch(_fold(line).strip("*_ "))
-        if alone and held:
-            paragraphs.append((" ".join(held), False))
-            held = []
-        if line and alone:
-            paragraphs.append((line, True))
-        elif line:
-            held.append(_MARK.sub("", line))
-    for paragraph, title in paragraphs:
         for part in _ENDS.split(_MARK.sub("", paragraph) if title else paragraph):
             folded = _fold(part).strip("*_~#>|- \t")
-            if not folded:
+            if not folded or CHROME.fullmatch(folded) and not title:
                 continue
             words = _WORD.findall(folded)
             n = len(folded)
-            if CHROME.fullmatch(folded) and not title or title and CHROME.fullmatch(_fold(paragraph).strip("*_ ")):
-                continue
-            letters = sum(map(len, words))
             bare = folded.rstrip(".!?…。！？। ")
-            latin = len(words) >= 2 and sum(w in LATIN for w in words) >= 0.8 * len(words) and any(w in LATIN for w in words)
             covered = _covered(folded)
-            plain = len(_TECHNICAL.sub("", bare)) if "_" in bare or "/" in bare or "." in bare else len(bare)
             if lead is None and n > 3:
                 lead = covered >= 0.9 * len(bare)
-            bad = latin or bool(bare) and covered >= SENTENCE_SHARE * max(plain, 4) or not letters and re.fullmatch(r"[45]0?\d?\d?|0", folded) is not None and title
-            crosses = len(words) >= 1 and all(len(set(w)) == 1 and len(w) > 2 for w in words)
-            if bad or crosses:
+            bad = bool(bare) and covered >= SENTENCE_SHARE * max(len(_TECHNICAL.sub("", bare)) if covered else n, 4)
+            if not bad and len(words) >= 2:
+                bad = sum(w in LATIN for w in words) >= 0.8 * len(words)
+            if not bad and not words:
+                bad = title and re.fullmatch(r"0", folded) is not None
+            if not bad and words:  # one letter or one word over and over
+                bad = all(len(set(w)) == 1 and len(w) > 2 for w in words) or not title and len(words) > 6 and len(set(words)) * 4 <= len(words)
+            if bad:
                 residue += n
             elif not title:
                 body += n
             if not title:
                 units[folded] += n
                 total += n
-                if len(words) > 6 and len(set(words)) * 4 <= len(words):  # words repeated within one sentence
-                    residue, body = residue + (0 if bad or crosses else n), body - (0 if bad or crosses else n)
+        # What is left cannot make residue prevail over the body read so far: stop.
+        if len(units) > 4 and body > 900 and residue + left < BODY_SHARE * (residue + left + body):
+            return False
     if residue and (residue >= BODY_SHARE * (residue + body) or lead and body <= 3 * residue and residue + body <= 300):
         return True  # a short body under a bare error message is an error page as well
-    if total > 150 and units:
+    if total > 150:
         top = sum(n for u, n in units.items() if n >= 4 * len(u))
         return top >= 0.85 * total and len(units) <= 4
     return False
 
 
+def _paragraphs(raw: str) -> Iterator[tuple[str, bool]]:
+    """(text, stands alone): headings and navigation alone, other lines as paragraphs, as
+    a sentence may run over a line break."""
+    held: list[str] = []
+    for line in raw.split("\n"):
+        line = line.strip()
+        alone = not line or line.lstrip("> ").startswith("#") or len(line) < 120 and CHROME.fullmatch(line.strip("*_ ")) is not None
+        if not alone:
+            held.append(_MARK.sub("", line) if line[0] in "#>-*+0123456789" else line)
+            continue
+        if held:
+            yield " ".join(held), False
+            held = []
+        if line:
+            yield line, True
+    if held:
+        yield " ".join(held), False
+
+
 def _blank_marked(m: re.Match) -> str:
     return "\ncode block standing here as content of the document\n"
 
