@@ -39,7 +39,9 @@ def mask(text: str) -> str:
 
 
 def unmask(text: str) -> str:
-    return text.translate(_UNMASK)
+    if SPACE in text or BREAK in text or TAB in text:
+        return text.translate(_UNMASK)
+    return text
 
 
 def _title(quoted: str | None) -> str:

@@ -76,7 +76,15 @@ def atomic_words(text: str) -> list[str]:
     return _WORDS.findall(join_adjacent(text))
 
 
+#: Characters a sentence can end on; words with other ends need no look.
+_LAST = frozenset(".?!'\"’”)")
+_CANDIDATE = re.compile(f"[^{WS}]*[.?!'\"’”)](?![^{WS}])")
+_FIRST = re.compile(f"[^{WS}]")
+
+
 def ends_sentence(word: str) -> bool:
+    if word[-1:] not in _LAST and word[-1:] != " ":
+        return False
     m = SENTENCE_END.search(word)
     return bool(m) and m["last"].islower()
 
@@ -100,6 +108,16 @@ def sentences_plain(text: str, min_length: int = 0) -> list[str]:
 def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
     """Sentences as slices of the text, never cut inside code, links or addresses."""
     out: list[str] = []
+    if not min_length and not any(c in text for c in ("`", "[", "<", "://", "www.")):
+        # Without atoms only words that end on a mark need a look.
+        m = _FIRST.search(text)
+        for end in _CANDIDATE.finditer(text):
+            if m and ends_sentence(end.group()):
+                out.append(text[m.start() : end.end()])
+                m = _FIRST.search(text, end.end())
+        if m:
+            out.append(text[m.start() :].rstrip(WS_CHARS))
+        return out
     start, size, end = None, -1, 0
     for m in _INLINE_WORDS.finditer(text):
         if start is None:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellumry.plans import data_queries
+from vellumry.plans import data_queries, format_queries
 
-FLAGSHIP = "p1_found"
-_MODULES = [data_queries]
+FLAGSHIP = "format_markdown_auto"
+_MODULES = [data_queries, format_queries]
 
 
 def queries() -> dict:
