@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumry.runtime import spread
+
 SEED = 5
 #: A leak holds at least so many words of an item ...
 LEAST_WORDS = 12.0
@@ -236,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     kinds = [docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}"
     texts = docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    found = None
+    texts, found = spread(texts, id_col), None
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k) if blocks > 1 else rows
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])

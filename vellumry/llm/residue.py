@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumry.runtime import spread
+
 #: Share of a sentence that phrases must cover, and of the body that residue must cover.
 SENTENCE_SHARE, BODY_SHARE = 0.5, 0.6
 
@@ -313,4 +315,4 @@ def find_residue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.mapInArrow(run, f"`{id_col}` {kind}").distinct()
+    return spread(rows, id_col).mapInArrow(run, f"`{id_col}` {kind}").distinct()

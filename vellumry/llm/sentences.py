@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumry.runtime import spread
+
 # The characters with the property White_Space.
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -324,4 +326,4 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str = "text") -> Data
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, end_at bigint").distinct()
+    return spread(rows, id_col).mapInArrow(run, f"`{id_col}` {kind}, end_at bigint").distinct()

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumry.runtime import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # The characters with the property White_Space.
@@ -169,4 +171,4 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 start = stop
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(id_col, F.col(text_col).cast("string")), id_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
