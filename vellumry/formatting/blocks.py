@@ -124,6 +124,7 @@ def parse(text: str) -> list[Block]:
 class _Reader:
     def __init__(self, lines: list[Line]) -> None:
         self.lines, self.at = lines, 0
+        self.open_paragraph: tuple[list[Line] | None, int] = (None, 0)
 
     def blocks(self) -> list[Block]:
         out: list[Block] = []
@@ -247,10 +248,17 @@ class _Reader:
         line = self.lines[self.at]
         if line.blank or (columns(line.text) < 4 and (interrupts(line.text) or ITEM.match(line.text))):
             return False
+        known, n = self.open_paragraph
+        if known is inner and all(x.lazy or x.text[:1].isalpha() for x in inner[n:]):
+            self.open_paragraph = (inner, len(inner))  # plain lines leave a paragraph open
+            return True
         last = _Reader(inner).blocks()[-1]
         while last.children and last.kind in ("quote", "list", "item", "footnote"):
             last = last.children[-1]
-        return last.kind == "paragraph" and last.end == inner[-1].n
+        if last.kind == "paragraph" and last.end == inner[-1].n:
+            self.open_paragraph = (inner, len(inner))
+            return True
+        return False
 
     def _quote(self) -> Block:
         inner: list[Line] = []
@@ -405,7 +413,7 @@ class _Reader:
             while k < len(self.lines) and (LINE_BLOCK.match(self.lines[k].text) or (columns(self.lines[k].text) and not self.lines[k].blank)) and not (k > self.at and TABLE_RULE.match(self.lines[k].text)):
                 k += 1
             return self._raw(k - self.at, "pandoc_line_block")
-        if DASHES.match(text) and not BREAK.match(text) or re.fullmatch(r" {0,3}-{8,}[ \t]*", text):
+        if re.fullmatch(r" {0,3}(?:-{2,}(?:[ \t]+-{2,})+|-{8,})[ \t]*", text):
             return self._multiline_table()
         return None
 

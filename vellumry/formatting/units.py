@@ -69,16 +69,21 @@ def split_adjacent(text: str) -> str:
     return _SPACED.sub(lambda m: "".join(filter(None, m.groups())), text)
 
 
+def _hopeless(text: str) -> bool:
+    """Very many openings without ends, each of which would be followed to the end."""
+    return len(text) > 10_000 and any(text.count(a) > text.count(b) + 500 for a, b in (*zip(TAG_OPEN, TAG_CLOSE), ("<", ">"), ("[", "]")))
+
+
 def atomic_words(text: str) -> list[str]:
     """Words, where code, links, template tags and HTML tags stay whole."""
-    if not any(c in text for c in "`[<{"):
+    if not any(c in text for c in "`[<{") or _hopeless(text):
         return plain_words(text)
     return _WORDS.findall(join_adjacent(text))
 
 
 #: Characters a sentence can end on; words with other ends need no look.
 _LAST = frozenset(".?!'\"’”)")
-_CANDIDATE = re.compile(f"[^{WS}]*[.?!'\"’”)](?![^{WS}])")
+_CANDIDATE = re.compile(f"(?<![^{WS}])[^{WS}]*[.?!'\"’”)](?![^{WS}])")
 _FIRST = re.compile(f"[^{WS}]")
 
 
@@ -108,7 +113,7 @@ def sentences_plain(text: str, min_length: int = 0) -> list[str]:
 def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
     """Sentences as slices of the text, never cut inside code, links or addresses."""
     out: list[str] = []
-    if not min_length and not any(c in text for c in ("`", "[", "<", "://", "www.")):
+    if not min_length and (not any(c in text for c in ("`", "[", "<", "://", "www.")) or _hopeless(text)):
         # Without atoms only words that end on a mark need a look.
         m = _FIRST.search(text)
         for end in _CANDIDATE.finditer(text):
