@@ -38,7 +38,7 @@ PLACEHOLDERS = re.compile(
     "|".join(
         [
             r"\{\{\{?[^{}\n]{1,80}\}?\}\}", r"\{%[^%{}\n]{1,80}%\}", r"\{#[^#{}\n]{1,80}#\}", r"<%[=-]?[^%<>\n]{1,80}%>", r"[$#]\{[^{}\n]{1,60}\}",
-            r"@@[A-Za-z_]{2,40}@@", rf"%(?:{FIELDS}|[A-Z]+_[A-Z_]+)%", r"%\([a-z_]{2,40}\)[sdr]", rf"\$(?:{FIELDS}|[A-Z]+_[A-Z_]+)\$", rf"__(?:{FIELDS}|[A-Z]+_[A-Z_]+)__(?!\w)",
+            r"@@[A-Za-z_]{2,40}@@", rf"%(?:{FIELDS}|[A-Z]{{1,30}}_[A-Z_]{{1,40}})%", r"%\([a-z_]{2,40}\)[sdr]", rf"\$(?:{FIELDS}|[A-Z]{{1,30}}_[A-Z_]{{1,40}})\$", rf"__(?:{FIELDS}|[A-Z]{{1,30}}_[A-Z_]{{1,40}})__(?!\w)",
             rf"<<\s*{_NAME}\s*>>", rf"(?<!\[)\[\[\s+{_NAME}\s+\]\]", rf"(?<![\\${{^_\w}}])\{{(?:{FIELDS})\}}",
             rf"<(?:insert|your|enter|add|fill in)\s+{_NAME}>", rf"\[(?:insert|your|enter|fill in|add)\s+{_NAME}\](?!\()", rf"\[{_NAME}\s+(?:tbd|tba|todo|here|goes here)\](?!\()",
             rf"\((?:insert|fill in|enter)\s+{_NAME}(?:\s+here)?\)", rf"\({_NAME}\s+(?:goes|comes)\s+here\)", r"\[object\s+object\]", rf"\[(?:todo|tbd|tba|tk)\b[^\]\n]{{0,40}}\](?!\()",

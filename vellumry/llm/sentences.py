@@ -69,7 +69,10 @@ _PARAGRAPHS = re.compile(rf"(?:\r\n|[\n\r\x85  \x0b\x0c])[{WS}]*?(?:\r\n|[\n
 _SPACE = re.compile(f"[{WS}]+")
 _MARKS = re.compile(r"`+|[(\[{（「『【〈《“„«‹‚‘)\]}）」』】〉》”»›’\"']|https?://[^\s<>\"”」』（）)。，]+")
 _STOPS = re.compile(rf"[{SURE}{ASKING}.…;;]+")
-_WORD_BEFORE = re.compile(rf"[^{WS}(\[{{（「『“„«\"'’`/]*\Z")
+#: Where the word before a stop begins: behind white space or an opening mark.
+_WORD_EDGE = frozenset("([{（「『“„«\"'’`/") | frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
+#: Marks open at one time; deeper nesting drops the outermost, which nothing has closed.
+_DEEPEST = 64
 _NEXT = re.compile(rf"[^{WS}]+")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _THAI_GAP = re.compile(f"(?<=[ก-๛])[{WS}]+(?=[ก-๛]|[A-Z][a-z]+[{WS}]+[A-Za-z])")
@@ -118,6 +121,8 @@ def pairs(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     pos = start
     while m := _MARKS.search(text, pos, stop):
+        if len(stack) > _DEEPEST:
+            del stack[0]
         mark, at, pos = m.group(), m.start(), m.end()
         if mark[0] == "`":
             run = re.compile(rf"(?<!`){mark}(?!`)").search(text, pos, stop)
@@ -167,6 +172,13 @@ def pairs(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     return outer
 
 
+def _word_before(text: str, begin: int, at: int) -> str:
+    k = at
+    while k > begin and text[k - 1] not in _WORD_EDGE:
+        k -= 1
+    return text[k:at]
+
+
 def _starts(token: str) -> bool:
     """Whether a following word can begin a sentence after an abbreviation."""
     bare = token.lstrip("\"'“„«‹‘([（「『¿¡*_`")
@@ -186,14 +198,14 @@ def _stop_ends(text: str, at: int, end: int, begin: int, limit: int) -> bool:
         glued = (before.islower() or before.isdigit() or before in ")%") and rest[:1].isupper() and (rest[1:2].islower() or rest[1:2] in WS)
         if not glued or TRIE.before(text, at, begin) is not None or end - at > 1:
             return False
-        word = _WORD_BEFORE.search(text, begin, at).group()
+        word = _word_before(text, begin, at)
         return len(word) > 1
     if after is None:
         return True
     token = after.group()
     if end - at > 1 or text[at] == "…":
         return token.lstrip("\"“„«¿¡(")[:1].isupper()
-    word = _WORD_BEFORE.search(text, begin, at).group()
+    word = _word_before(text, begin, at)
     if not word:
         return True
     bare = token.lstrip("\"'“„«‹‘([（¿¡")
@@ -214,7 +226,7 @@ def _stop_ends(text: str, at: int, end: int, begin: int, limit: int) -> bool:
         return _starts(token)
     if single:
         if word.isupper():
-            earlier = text[begin : at - 1].split()
+            earlier = text[max(begin, at - 60) : at - 1].split()
             named = earlier and earlier[-1].strip("(\"'“„«").lower() in LETTERED
             return bool(named) and _starts(token)
         return word == "I" or not word.isascii() and not (word.isupper() or word.islower()) and _starts(token) and ord(word) > 0x2E7F
@@ -275,7 +287,7 @@ def _paragraph(text: str, start: int, stop: int) -> list[int]:
                 if end >= stop or _SPACE.match(text, end) or text[end].isupper() or ord(text[end]) > 0x2E7F or end in opened:
                     close(end)
             elif ";" in mark or ";" in mark:
-                sentence = text[begin:at]
+                sentence = text[max(begin, at - 300) : at]
                 if (";" in mark or greek and _GREEK.search(sentence)) and (end >= stop or _SPACE.match(text, end)):
                     close(end)
             elif _stop_ends(text, at, at + len(mark), begin, stop):
