@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellumry.runtime import spread
 
@@ -132,8 +133,13 @@ class Items:
         return [(doc, self.names[item]) for (doc, item), seeds in found.items() if self._leaks(flat, starts[doc], ends[doc] - 1, item, sorted(seeds))]
 
     def _leaks(self, flat: np.ndarray, low: int, high: int, item: int, seeds: list[tuple[int, int, int]]) -> bool:
+        # A part of n words with e edits keeps at least n - 4 - 5e seeds in place: at n >= 12
+        # and e <= n / 8 that is two or more, so a pair with one seed cannot be a leak.
+        if len({where for _, _, where in seeds}) < 2:
+            return False
         own = self.tokens[item]
         covered: set[tuple[int, int]] = set()
+        failed: set[tuple[int, int, bytes]] = set()
         for _, at, where in seeds:
             if (at, where) in covered:
                 continue
@@ -143,10 +149,14 @@ class Items:
             around = own[max(0, where - 16) : where + SEED + 16]
             if sum(self.weights[t] for t in around.tolist() if t in near) < LEAST_WORDS * (1 - 1 / WORDS_PER_EDIT):
                 continue
+            surroundings = (where, at - a, flat[a:b].tobytes())
+            if surroundings in failed:
+                continue  # the same words again, as in a text that repeats itself
             path = align(flat[a:b], own, at - a, where)
             covered.update((a + i, j) for i, j in path if i >= 0 and j >= 0)
             if self._enough(path, flat[a:b], own):
                 return True
+            failed.add(surroundings)
         return False
 
     def _enough(self, path: list[tuple[int, int]], doc: np.ndarray, own: np.ndarray) -> bool:
@@ -242,12 +252,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     for k in range(blocks):
         own = rows.where(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == k) if blocks > 1 else rows
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.toLocalIterator()])
-        part = texts.mapInArrow(_finder(sent, id_col, item_col), schema)
+        part = texts.mapInArrow(_finder(sent, id_col, item_col, to_arrow_type(items.schema[item_col].dataType)), schema)
         found = part if found is None else found.unionByName(part)
     return found.distinct()
 
 
-def _finder(sent, id_col: str, item_col: str):
+def _finder(sent, id_col: str, item_col: str, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Items(sent.value)
         for batch in batches:
@@ -255,7 +265,7 @@ def _finder(sent, id_col: str, item_col: str):
                 part = batch.slice(start, 1000)
                 hits = own.find(part.column(1).to_pylist())
                 ids = part.column(0).take(pa.array([d for d, _ in hits], pa.int64()))
-                names = pa.array([i for _, i in hits]) if hits else pa.array([], pa.int64())
+                names = pa.array([i for _, i in hits], item_type)
                 yield pa.RecordBatch.from_arrays([ids, names], names=[id_col, item_col])
 
     return run
