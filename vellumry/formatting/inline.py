@@ -162,8 +162,12 @@ def _typography(text: str, stand_ins: list[str], quotes: bool, dots: bool) -> st
     return text
 
 
-def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = False) -> str:
-    """The inline source in normal form, with protected white space masked."""
+def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = False, starts_line: bool = True) -> str:
+    """The inline source in normal form, with protected white space masked.
+
+    An escaped full stop loses its backslash, unless it keeps a number at the start of a
+    line from becoming a list.
+    """
     regions = inline_regions(text)
     out, pos, sources, stand_ins = [], 0, [], []
     for r in regions:
@@ -180,7 +184,7 @@ def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = F
     if quotes or dots:
         text = _typography(text, stand_ins, quotes, dots)
     if "\\." in text:
-        m = _NUMBERED.match(text)
+        m = _NUMBERED.match(text) if starts_line else None
         text = (m.group() if m else "") + _PERIOD.sub(".", text[m.end() if m else 0 :])
     if not sources and not targets:
         return text

@@ -39,8 +39,8 @@ class Renderer:
     def __init__(self, options: FormatOptions, defs: inline.Definitions, wrapper: wrap.Wrapper) -> None:
         self.options, self.defs, self.wrapper = options, defs, wrapper
 
-    def inline(self, text: str) -> str:
-        return inline.normalize(text, self.defs, self.options.smartquotes, self.options.ellipses)
+    def inline(self, text: str, starts_line: bool = True) -> str:
+        return inline.normalize(text, self.defs, self.options.smartquotes, self.options.ellipses, starts_line)
 
     def document(self, children: list[Block], first: str = "", other: str = "") -> str:
         out: list[str] = []
@@ -82,7 +82,7 @@ class Renderer:
         return self.wrapper(b.info + self.inline(b.text), first, other)
 
     def _heading(self, b: Block, first: str, other: str) -> str:
-        text = self.inline(b.text).replace("\\.", ".")
+        text = self.inline(b.text, False)
         if self.options.cleanups:
             text = unbold(text)
         text = text.replace("  \n", "\\\n").replace("\n", " ") if not _hard_end(b) else text
@@ -108,7 +108,7 @@ class Renderer:
         n = len(blocks.cells(head))
         align = units.separator_row("|" + "|".join(blocks.cells(rule)) + "|")
         body = [(blocks.cells(r) + [""] * n)[:n] for r in [head, *rows]]
-        line = lambda row: "| " + " | ".join(inline.unmask(self.inline(c)) for c in row) + " |"
+        line = lambda row: "| " + " | ".join(inline.unmask(self.inline(c, False)) for c in row) + " |"
         return self._prefixed([line(body[0]), align, *map(line, body[1:])], first, other)
 
     def _quote(self, b: Block, first: str, other: str) -> str:

@@ -187,13 +187,17 @@ def separator_row(line: str) -> str:
 
 
 def space_blocks_in_tags(text: str) -> str:
-    """A blank line between a tag on its own line and a list or table beside it."""
+    """A blank line between a template tag on its own line and a list or table beside it.
+
+    Comments are protected source: what stands beside them stays as close as it was.
+    """
     lines = text.split("\n")
-    if not any(map(is_tag_only, lines)):
+    tag = [is_tag_only(x) and not x.startswith("<") for x in lines]
+    if not any(tag):
         return text
     out = lines[:1]
-    for before, line in zip(lines, lines[1:]):
-        if (is_tag_only(before) and is_block_content(line)) or (is_block_content(before) and is_tag_only(line)):
+    for k, (before, line) in enumerate(zip(lines, lines[1:])):
+        if (tag[k] and is_block_content(line)) or (is_block_content(before) and tag[k + 1]):
             out.append("")
         out.append(line)
     return "\n".join(out)
