@@ -17,7 +17,7 @@ CASES = [
     "“It fell. We saw,” wrote Ann.| Use `a. B` and `c? D` there.| Read [ch. 1. Start](./a.b.md) first.|",
     "Off (it was on. Yes. Once) now.| (Nobody saw it.)| Then more (see p. 3).| End|",
     "Rule no. 4. a) covers it, and No. 5 is empty.| Chapters 1.–3. stay.|",
-    "Glued to it.|Next one starts.| What?!| Done.|",
+    "It waits.|K. Oster of Quire left.|Dr. Vale came.| Glued to it.|Next one starts.| What?!| Done.|",
     "Etwa z. B. hier, d. h. da, usw.| Am 3. März kam Frau Dr. Lang.| „So. Und so“, rief er.|",
     "M. Roux a lu 3 notes, cf. p. 9.| « Tout va. Rien ne va. » note M. Roux.| Est-ce vrai ?| Oui !|",
     "El Sr. Paz mide 3 m, p. ej. aquí, etc.| ¿Por qué?| «No. Nunca», dijo la Dra. Sol.|",
@@ -27,6 +27,7 @@ CASES = [
     "لماذا؟| كتب د. سامي هنا.| نعم!|",
     "यह है।| डॉ. राम आए।| क्यों?|",
     "他说：“好了。走吧。”然后离开。|版本3.2可用……至少目前。|对吗？|",
+    "据K. Oster说，读取器保留。|再见。|",
     "彼は「はい。いいえ。」と言った。|表（例：図4。）は残る。|終わり！|",
     "ตัวอ่านเก็บรายการ| รุ่น 2.1 ทำงาน| เราเหลือ 9 ไฟล์ที่นี่|",
     "Title\n\nText goes\non here.| No end|\n \n\nNext|",

@@ -103,7 +103,7 @@ class AbbreviationTrie:
                 break
             node = node[c]
             i -= 1
-            if "kind" in node and (i < start or not (text[i].isalpha() or (text[i] == "." and text[i - 1 : i].isalpha()))):
+            if "kind" in node and (i < start or not (text[i].isalpha() or (text[i] == "." and text[i - 1 : i].isalpha() and not (text[i + 1].isupper() and text[max(start, i - 2) : i].islower() and i - start > 2)))):
                 found = node["kind"]
         return found
 
@@ -172,11 +172,16 @@ def pairs(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     return outer
 
 
+#: The end of a sentence and a capital behind it without a space.
+_GLUED = re.compile(r".*[^\W\d_A-Z]{2}\.(?=[A-Z])")
+
+
 def _word_before(text: str, begin: int, at: int) -> str:
     k = at
-    while k > begin and text[k - 1] not in _WORD_EDGE:
-        k -= 1
-    return text[k:at]
+    while k > begin and text[k - 1] not in _WORD_EDGE and (k == at or ord(text[k - 1]) < 0x2E80):
+        k -= 1  # a Latin word may stand right behind Chinese or Japanese ones
+    word = text[k:at]
+    return word[m.end() :] if (m := _GLUED.match(word)) else word
 
 
 def _starts(token: str) -> bool:
@@ -195,7 +200,8 @@ def _stop_ends(text: str, at: int, end: int, begin: int, limit: int) -> bool:
     after = _NEXT.match(text, m.end()) if (m := _SPACE.match(text, end)) and m.end() < limit else None
     if end < limit and not m:
         before, rest = text[at - 1 : at], text[end : end + 3]
-        glued = (before.islower() or before.isdigit() or before in ")%") and rest[:1].isupper() and (rest[1:2].islower() or rest[1:2] in WS)
+        initial = rest[1:2] == "." and rest[2:3] in WS and before.islower()
+        glued = (before.islower() or before.isdigit() or before in ")%") and rest[:1].isupper() and (rest[1:2].islower() or rest[1:2] in WS or initial)
         if not glued or TRIE.before(text, at, begin) is not None or end - at > 1:
             return False
         word = _word_before(text, begin, at)
