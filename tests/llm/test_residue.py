@@ -39,6 +39,10 @@ def test_examples_of_placeholders(text):
     assert not is_residue(REAL + text + "\n\n" + REAL)
 
 
+def test_code_behind_a_byte_order_mark():
+    assert not is_residue("\ufeff~~~yaml\nname: ${{ matrix.name }}\n~~~\n" + LONG)
+
+
 @pytest.mark.parametrize("text", BODIES)
 def test_bodies(text):
     assert is_residue(text)

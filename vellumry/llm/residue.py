@@ -157,7 +157,7 @@ def _blank(m: re.Match) -> str:
 
 def unquoted(text: str) -> str:
     """The text without code, quotations, math and link targets."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = text.replace("\r\n", "\n").replace("\r", "\n").removeprefix("\ufeff")
     if "```" in text or "~~~" in text:
         text = _FENCE.sub(_blank, text)
     if "    " in text or "\t" in text:
