@@ -101,6 +101,9 @@ def test_command_line(spark, tree, capsys, monkeypatch):
     cache = ["--cache-dir", str(tree / "cache")]
     assert cli.main(["--auto", "README.md", *cache]) == 0 and (tree / "README.md").read_text() == "a b\n" and not (tree / "README.md.orig").exists()
     assert cli.main(["--auto", "README.md", *cache]) == 0
+    assert cli.main(["--perf-stats", "--verbose", "docs"]) == 0 and "cache hits 0" in capsys.readouterr().err
+    assert cli.main(["--show-cache", *cache]) == 0 and " files, " in capsys.readouterr().out
+    assert cli.main(["--clear-cache", *cache]) == 0 and not (tree / "cache").exists()
     assert cli.main(["-i", "-"]) == 2 and cli.main(["missing.md"]) == 2
     (tree / "bad.md").write_bytes(b"\xff")
     assert cli.main(["--check", "bad.md"]) == 2

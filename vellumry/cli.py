@@ -11,8 +11,9 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from vellumry import __version__
 from vellumry.operators import manifest
-from vellumry.operators.documents import format_documents
+from vellumry.operators.documents import format_documents, format_metrics
 from vellumry.options import ListSpacing
 from vellumry.sources import config, corpus
 from vellumry.sources.files import Resolver, Selection
@@ -37,12 +38,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cache-dir", default=None)
     p.add_argument("--no-cache", dest="cache", action="store_false", default=True)
     p.add_argument("--threads", default="*")
+    for name in ("show-cache", "clear-cache", "perf-stats", "verbose"):
+        p.add_argument(f"--{name}", action="store_true", default=False)
+    p.add_argument("--version", action="version", version=f"vellumry {__version__}")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     given = vars(parser().parse_args(argv))
-    run = {k: given.pop(k) for k in ("files", "output", "auto", "check", "list_files", "config", "cache_dir", "cache", "threads")}
+    run = {k: given.pop(k) for k in ("files", "output", "auto", "check", "list_files", "config", "cache_dir", "cache", "threads", "show_cache", "clear_cache", "perf_stats", "verbose")}
     path = run["config"] or config.find(".")
     values = config.merge(given, config.load(path) if path else {}, run["auto"])
     options = config.options(values)
@@ -50,6 +54,13 @@ def main(argv: list[str] | None = None) -> int:
     chosen = {names.get(k, k): v for k, v in values.items() if k in ("extend_include", "exclude", "extend_exclude", "respect_gitignore", "force_exclude", "files_max_size")}
     if "include" in given:
         chosen["include"] = given["include"]
+    root = manifest.cache_root(run["cache_dir"] or values.get("cache_dir") or values.get("incremental_cache_dir"))
+    if run["show_cache"] or run["clear_cache"]:
+        n, size = manifest.usage(root[0])
+        print(f"{root[0]} ({root[1]}): {n} files, {manifest.human_bytes(size)}")
+        if run["clear_cache"]:
+            manifest.clear(root[0])
+        return 0
     inplace = values.get("inplace", False)
     if inplace and "-" in run["files"]:
         print("standard input cannot be replaced in place", file=sys.stderr)
@@ -67,8 +78,10 @@ def main(argv: list[str] | None = None) -> int:
     if "-" in run["files"]:
         docs = docs.unionByName(corpus.read_text(spark, sys.stdin.buffer.read()))
     mark = manifest.fingerprint(options, open(path, "rb").read() if path else b"", path or "")
-    folder = manifest.cache_root(run["cache_dir"])[0] + "/" + manifest.project_key(".")
-    cached = inplace and run["cache"]
+    folder = root[0] + "/" + manifest.project_key(".")
+    cached = inplace and run["cache"] and values.get("cache", values.get("incremental", True))
+    if run["verbose"]:
+        print(f"{len(paths)} files, width {options.width}, cache {folder if cached else 'off'}", file=sys.stderr)
     if cached:
         docs = manifest.unformatted(manifest.hashed(docs), manifest.read(spark, folder), mark).drop("content_hash")
     done = format_documents(docs.drop("error"), "content", options).cache()
@@ -91,6 +104,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         for text in corpus.output(done):
             sys.stdout.write(text)
+    if run["perf_stats"]:
+        total, misses = len(paths) + ("-" in run["files"]), done.count()
+        row = format_metrics(done.select("content"), "content", options).agg(F.sum("n_chars").alias("chars"), F.sum("parse_us").alias("parse"), F.sum("render_us").alias("render")).first()
+        print(f"documents {total}, cache hits {total - misses} ({manifest.hit_rate(total - misses, misses)}), characters {row['chars'] or 0}, parse {(row['parse'] or 0) / 1e3:.1f} ms, render {(row['render'] or 0) / 1e3:.1f} ms", file=sys.stderr)
     return code
 
 

@@ -47,6 +47,9 @@ def greedy_lines(text: str, width: int, first: int = 0, other: int = 0, splitter
         if drop:
             text = strip(text)
         return [text] if text else []
+    if collapse and first + len(text) <= width and not any(x in text for x in ("}{", "><")):
+        whole = SPACES.sub(" ", strip(text))  # it fits as it is: no words to count
+        return [whole] if whole else []
     out: list[str] = []
     line: list[str] = []
     used = first

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumry.formatting import blocks, regions, typography, units, wrap
+from vellumry.formatting import blocks, regions, source, typography, units, wrap
 from vellumry.formatting.inline import unmask
 from vellumry.formatting.markdown import format_text
 from vellumry.options import FormatOptions
@@ -19,6 +20,15 @@ from vellumry.options import FormatOptions
 def of(function: Callable[[str], Any], kind: T.DataType | str):
     """``function`` on a string column in Arrow batches; null stays null."""
 
+    if isinstance(kind, str) and kind.startswith("struct<"):
+        names = [part.split()[0] for part in kind[7:-1].split(", ")]
+
+        @F.pandas_udf(kind)
+        def run(texts: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([dict.fromkeys(names) if t is None else function(t) for t in texts], columns=names)
+
+        return run
+
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else function(t) for t in texts], dtype=object)
@@ -30,6 +40,22 @@ def formatted(c: Column, options: FormatOptions = FormatOptions()) -> Column:
     return of(lambda t: format_text(t, options), "string")(c)
 
 
+def timed(c: Column, options: FormatOptions = FormatOptions()) -> Column:
+    """Characters, and microseconds spent on blocks and on the whole rendering."""
+
+    def run(text: str) -> dict:
+        start = time.perf_counter_ns()
+        try:
+            blocks.parse(source.normalize(text)[0])
+        except (RecursionError, IndexError, ValueError):
+            pass
+        parsed = time.perf_counter_ns()
+        format_text(text, options)
+        return {"n_chars": len(text), "parse_us": (parsed - start) // 1000, "render_us": max(0, time.perf_counter_ns() - 2 * parsed + start) // 1000}
+
+    return of(run, "struct<n_chars bigint, parse_us bigint, render_us bigint>")(c)
+
+
 def smart_quotes(c: Column) -> Column:
     return of(typography.smart_quotes, "string")(c)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vellumry.formatting.regions import PRIORITY
 from vellumry.functions import arrow, text
 from vellumry.options import FormatOptions
+from vellumry.runtime import running
 
 
 def format_documents(df: DataFrame, text_col: str = "text", options: FormatOptions = FormatOptions()) -> DataFrame:
@@ -31,6 +32,14 @@ def format_documents(df: DataFrame, text_col: str = "text", options: FormatOptio
     return done.withColumn("changed", F.col("formatted") != F.col("_text")).drop("_text")
 
 
+def format_metrics(df: DataFrame, text_col: str = "text", options: FormatOptions = FormatOptions()) -> DataFrame:
+    """``df`` with n_chars, parse_us and render_us: where the time of formatting goes."""
+    c = F.col(text_col)
+    if df.schema[text_col].dataType.typeName() == "binary":
+        c = F.when(text.is_utf8(c), F.decode(c, "UTF-8"))
+    return df.withColumn("_m", arrow.timed(c, options)).select(*df.columns, "_m.*")
+
+
 def _exploded(df: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
     return df.select(*keys, F.posexplode(values).alias("i", name))
 
@@ -95,11 +104,12 @@ def arbitrate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def covered(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def covered(left: DataFrame, right: DataFrame, key: str, bucket: int = 1 << 20) -> DataFrame:
     """Rows of ``left`` whose half-open interval overlaps one of ``right``'s, same key.
 
     Counting ends instead of pairing: the intervals that start before a row's end minus
     those that end by its start are those that overlap it, so no pairs are formed.
+    Positions are cut into buckets of ``bucket``, so a key may hold any share of the rows.
     """
     l = left.select(key, F.col("start").alias("a"), F.col("end").alias("b"), F.struct(*left.columns).alias("row"))
     r = right.select(key, F.col("start").alias("a"), F.col("end").alias("b")).where("a < b")
@@ -107,8 +117,8 @@ def covered(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     none = F.lit(None).cast(l.schema["row"].dataType).alias("row")
     # At one position: ends close first, then starts of rows read, then ends of rows read, then starts open.
     events = at(r, "b", 0, 0, 1, none).unionByName(at(l, "a", 1, 0, 0, F.col("row"))).unionByName(at(l, "b", 2, 0, 0, F.col("row"))).unionByName(at(r, "a", 3, 1, 0, none))
-    upto = Window.partitionBy(key).orderBy("at", "step").rowsBetween(Window.unboundedPreceding, 0)
-    run = events.select(key, "step", "row", F.sum("o").over(upto).alias("opened"), F.sum("c").over(upto).alias("closed")).where("row is not null")
+    run = running(events, [key], "at", F.col("o"), "sum", "opened", ties=[F.col("step")], bucket_us=bucket)
+    run = running(run, [key], "at", F.col("c"), "sum", "closed", ties=[F.col("step")], bucket_us=bucket).where("row is not null")
     both = run.groupBy(key, "row").agg(F.max(F.when(F.col("step") == 2, F.col("opened"))).alias("o"), F.max(F.when(F.col("step") == 1, F.col("closed"))).alias("c"))
     return both.where(F.col("o") > F.col("c")).select("row.*")
 

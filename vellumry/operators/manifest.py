@@ -100,3 +100,13 @@ def human_bytes(n: int) -> str:
     while size >= 1024 and unit < 4:
         size, unit = size / 1024, unit + 1
     return f"{n} B" if unit == 0 else f"{int(size * 10) / 10:.1f} {'B KB MB GB TB'.split()[unit]}"
+
+
+def usage(folder: str) -> tuple[int, int]:
+    """(files, bytes) below a folder; a missing folder is empty."""
+    sizes = [os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(folder) for name in names]
+    return len(sizes), sum(sizes)
+
+
+def clear(folder: str) -> None:
+    shutil.rmtree(folder, ignore_errors=True)
