@@ -68,9 +68,9 @@ def hot_buckets(df: DataFrame, keys: list[str], share: int = 200, parts: int = 6
     salts) is safe to broadcast.  Finding it shuffles one counter per bucket and task.
     """
     counts = df.groupBy(bucket_of(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n_all"))
+    every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # at most 4096 rows
     return (
-        counts.crossJoin(F.broadcast(total))
+        counts.withColumn("n_all", F.sum("n").over(every))
         .where((F.col("n") * share >= F.col("n_all")) & (F.col("n_all") > 100 * share))
         .select("bucket", F.least(F.ceil(F.col("n") * parts / F.col("n_all")), F.lit(parts)).cast("int").alias("salts"))
     )
