@@ -2,12 +2,14 @@
 
 import itertools
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vellumry.functions import text
 from vellumry.operators import copydiff, documents, incremental, manifest, references
 from vellumry.options import FormatOptions
 from vellumry.runtime import checkpointed, hot_buckets, micros, running, split_hot
@@ -227,6 +229,20 @@ def test_tables_of_structure(spark):
     assert documents.sentences(df, ["id"]).count() == 1 and documents.words(df, ["id"]).count() == 7
 
 
+def test_native_functions_on_very_long_texts(spark):
+    long = ["a" * 1_000_000, "\n" * 200_000 + "x", "|" * 100_000, "|-" * 100_000 + "|", "- " * 100_000, "---\n" * 50_000, "Ab. " * 100_000, "`" * 200_000, " " * 300_000, "{%" * 100_000, "#" * 100_000, "[x][y" * 50_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "id int, text string")
+    start = time.time()
+    assert documents.lines(df, ["id"]).groupBy("kind").count().count() > 2
+    assert documents.sentences(df, ["id"]).count() == 100_000 + sum(bool(t.strip()) for t in long) - 1
+    assert documents.words(df, ["id"], atomic=False).count() > 0 and documents.words(df, ["id"]).count() > 0
+    assert documents.references(df, "id").count() >= 0
+    c = F.col("text")
+    assert df.select(text.front_matter(text.normalize_source(c)).alias("f"), text.fence_length(c, F.lit(0)), text.common_indent(c), text.join_adjacent(c), text.hard_break_pieces(c)).where("f <> ''").count() == 1
+    assert documents.format_documents(df).where("formatted is null").count() == 0
+    assert time.time() - start < 120
+
+
 def test_references_last_definition_wins(spark):
     df = spark.createDataFrame([(1, "[a][X] [b][x] [c][y]\n\n[x]: one\n[X]: two\n"), (2, None)], "id int, text string")
     assert rows(documents.references(df, "id")) == Counter([(1, "x", "two", 2), (1, "y", None, 1)])

@@ -26,7 +26,7 @@ def has_bom(c: Column) -> Column:
 def normalize_source(c: Column) -> Column:
     """LF line ends, no byte-order mark, exactly one line end at the end."""
     bare = F.when(has_bom(c), F.substring(c, 2, 2**31 - 1)).otherwise(c)
-    return F.concat(F.regexp_replace(F.regexp_replace(bare, "\r\n?", "\n"), "\n+\\z", ""), F.lit("\n"))
+    return F.concat(F.rtrim(F.regexp_replace(bare, "\r\n?", "\n"), F.lit("\n")), F.lit("\n"))
 
 
 def finalize_output(c: Column, had_bom: Column) -> Column:

@@ -53,7 +53,9 @@ def orphans(references: DataFrame, deltas: DataFrame) -> DataFrame:
 def mapping_orphans(tests: DataFrame, mapping: DataFrame, checks: DataFrame) -> DataFrame:
     """Orphans of the test mapping and its checks, per table and period.
 
-    Result: src_table, sync_period, row_id, ref_field, ref_key.
+    Result: distinct src_table, sync_period, row_id, ref_field, ref_key.  Null classes equal
+    each other; rows without a file, function, entry or moment make no reference; repeated
+    rows and equal entries count once; empty tables are allowed, other columns ignored.
     """
     is_suite = lambda s: F.col("suite") == s
     python_key = key_of(F.lit("py"), F.col("file"), F.col("class_name"), F.col("function"))

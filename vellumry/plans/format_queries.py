@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumry.formatting.units import ATOM
+from vellumry.formatting.units import ATOM, INLINE_ATOM
 from vellumry.formatting.wrap import Wrap
 from vellumry.functions import arrow, text
 from vellumry.functions.text import END_MARK, NON_WORD, NON_WS, WS
@@ -132,9 +132,18 @@ def sentences_min_length(spark, d):
     return documents.sentences(_docs(spark, d), ["doc_id"], min_length=15)
 
 
-@query()
+_INLINE = "(?s)(?:" + INLINE_ATOM + "|" + NON_WS + ")+"
+
+
+@query(f"""WITH words AS (SELECT doc_id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (
+    SELECT doc_id, regexp_extract_all(text, {_q(_INLINE)}) AS w FROM documents WHERE text IS NOT NULL)),
+ended AS (SELECT *, CASE WHEN regexp_matches(word, {_q(_END)}) THEN 1 ELSE 0 END AS e FROM words),
+counted AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS i FROM ended)
+SELECT doc_id, i, trim(regexp_replace(string_agg(word, ' ' ORDER BY k), {_q(WS + '+')}, ' ', 'g')) AS sentence FROM counted GROUP BY doc_id, i""")
 def sentences_atomic(spark, d):
-    return documents.sentences(_docs(spark, d), ["doc_id"], atomic=True)
+    """Sentences never cut inside code, links or addresses; white space collapsed for comparison."""
+    rows = documents.sentences(_docs(spark, d), ["doc_id"], atomic=True)
+    return rows.select("doc_id", "i", text.collapse(F.col("sentence")).alias("sentence"))
 
 
 @query(f"SELECT doc_id, unnest(generate_series(0, len(w) - 1))::int AS i, unnest(w) AS word FROM (SELECT doc_id, list_filter(string_split({FLAT}, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)")
