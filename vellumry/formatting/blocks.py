@@ -52,7 +52,10 @@ ITEM = re.compile(r"( {0,3})([-*+]|(\d{1,9})([.)]))(?=[ \t]|$)")
 FOOTNOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
 DEFINITION = re.compile(r" {0,3}\[(?!\^)((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>\n]*>|\S+)(?:[ \t]+(\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
 TABLE_RULE = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-MATH_OPEN = re.compile(r" {0,3}\$\$")
+MATH_OPEN = re.compile(r" {0,3}\$\$[ \t]*$")
+# Fixed value: the end of a dollar block, with its label.
+MATH_CLOSE = re.compile(r" {0,3}\$\$(?:[ \t]+(?:\([^()\n]*\)|\{[^{}\n]*\}))?$")
+ENVIRONMENT_LINE = re.compile(r" {0,3}\\(begin|end)\{([^{}\n]+)\}$")
 COLONS = re.compile(r" {0,3}(:{3,})[ \t]*(\S.*)?$")
 CALLOUT = re.compile(r"\[![A-Za-z][\w\-]*\][+-]?")
 DEFINED = re.compile(r" {0,3}[:~][ \t]+\S")
@@ -372,20 +375,20 @@ class _Reader:
         line = self.lines[self.at]
         text, bare = line.text, line.text.strip()
         if MATH_OPEN.match(text):
-            if len(bare) > 4 and re.fullmatch(r"\$\$.+\$\$(?:[ \t]*(?:\([^()]*\)|\{[^{}]*\}))?", bare):
-                return self._raw(1, "math_dollar_block")
-            if bare == "$$" or "$$" not in bare[2:]:
-                n = self._until(lambda t: re.search(r"\$\$(?:[ \t]*(?:\([^()]*\)|\{[^{}]*\}))?[ \t]*$", t) is not None)
-                return self._raw(n, "math_dollar_block") if n else None
-        if bare.startswith("\\["):
-            if bare.endswith("\\]") and len(bare) > 4:
-                return self._raw(1, "math_bracket_block")
-            n = self._until(lambda t: t.rstrip().endswith("\\]")) if bare == "\\[" else None
+            n = self._until(lambda t: MATH_CLOSE.match(t) is not None)
+            return self._raw(n, "math_dollar_block") if n else None
+        if bare == "\\[":
+            n = self._until(lambda t: t.strip() == "\\]")
             return self._raw(n, "math_bracket_block") if n else None
-        if m := re.match(r"\\begin\{([A-Za-z]+\*?)\}", bare):
-            end = f"\\end{{{m[1]}}}"
-            n = 1 if end in bare else self._until(lambda t: end in t)
-            return self._raw(n, "math_environment_block") if n else None
+        if (m := ENVIRONMENT_LINE.match(text)) and m[1] == "begin":
+            depth = 0
+            for k in range(self.at, len(self.lines)):
+                e = ENVIRONMENT_LINE.match(self.lines[k].text)
+                if e and e[2] == m[2]:
+                    depth += 1 if e[1] == "begin" else -1
+                    if not depth:
+                        return self._raw(k - self.at + 1, "math_environment_block")
+            return None
         if (m := COLONS.match(text)) and m[2]:
             depth = 0
             for k in range(self.at, len(self.lines)):
@@ -408,15 +411,22 @@ class _Reader:
             return None
         if ATTRIBUTE_GROUP.fullmatch(bare):
             return self._raw(1, "attribute_group_block")
-        if LINE_BLOCK.match(text) and not (self.at + 1 < len(self.lines) and self._is_table(self.at + 1)) and bare.count("|") == 1:
+        if self._is_line_block(self.at):
             k = self.at
-            while k < len(self.lines) and (LINE_BLOCK.match(self.lines[k].text) or (columns(self.lines[k].text) and not self.lines[k].blank)) and not (k > self.at and TABLE_RULE.match(self.lines[k].text)):
+            while k < len(self.lines) and self._is_line_block(k):
                 k += 1
             return self._raw(k - self.at, "pandoc_line_block")
         if re.fullmatch(r" {0,3}(?:-{2,}(?:[ \t]+-{2,})+|-{8,})[ \t]*", text):
             return self._multiline_table()
         return None
 
+    def _is_line_block(self, k: int) -> bool:
+        """A line that starts with a bar and is no row of a table."""
+        bare = self.lines[k].text.strip()
+        if not LINE_BLOCK.match(self.lines[k].text) or bare.endswith("|") and bare.count("|") >= 3:
+            return False
+        return not (k + 1 < len(self.lines) and self._is_table(k + 1)) and not TABLE_RULE.match(self.lines[k].text)
+
     def _caption(self, k: int) -> int:
         """The line behind a caption that follows line ``k``, or ``k``."""
         ahead = k

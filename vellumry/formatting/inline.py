@@ -162,13 +162,13 @@ def _typography(text: str, stand_ins: list[str], quotes: bool, dots: bool) -> st
     return text
 
 
-def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = False, starts_line: bool = True) -> str:
+def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = False, starts_line: bool = True, heading: bool = False) -> str:
     """The inline source in normal form, with protected white space masked.
 
     An escaped full stop loses its backslash, unless it keeps a number at the start of a
     line from becoming a list.
     """
-    regions = inline_regions(text)
+    regions = inline_regions(text, heading)
     out, pos, sources, stand_ins = [], 0, [], []
     for r in regions:
         out += [text[pos : r.start], REGION]

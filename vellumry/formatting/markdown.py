@@ -39,8 +39,8 @@ class Renderer:
     def __init__(self, options: FormatOptions, defs: inline.Definitions, wrapper: wrap.Wrapper) -> None:
         self.options, self.defs, self.wrapper = options, defs, wrapper
 
-    def inline(self, text: str, starts_line: bool = True) -> str:
-        return inline.normalize(text, self.defs, self.options.smartquotes, self.options.ellipses, starts_line)
+    def inline(self, text: str, starts_line: bool = True, heading: bool = False) -> str:
+        return inline.normalize(text, self.defs, self.options.smartquotes, self.options.ellipses, starts_line, heading)
 
     def document(self, children: list[Block], first: str = "", other: str = "") -> str:
         out: list[str] = []
@@ -82,7 +82,7 @@ class Renderer:
         return self.wrapper(b.info + self.inline(b.text), first, other)
 
     def _heading(self, b: Block, first: str, other: str) -> str:
-        text = self.inline(b.text, False)
+        text = self.inline(b.text, False, True)
         if self.options.cleanups:
             text = unbold(text)
         text = text.replace("  \n", "\\\n").replace("\n", " ") if not _hard_end(b) else text

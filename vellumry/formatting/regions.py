@@ -32,7 +32,7 @@ PRIORITY = {
     "math_dollar_block": 50, "math_bracket_block": 50, "math_environment_block": 50,
 }
 # Reference types of the bracket form [type:id].
-REFERENCE_TYPES = "cadence|contact|epic|issue|iteration|merge_request|vulnerability|work_item"
+REFERENCE_TYPES = "cadence|contact|epic|feature_flag|issue|vulnerability|wiki_page|work_item"
 # Element names that open an HTML block up to a blank line.
 BLOCK_TAGS = (
     "address article aside base basefont blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset "
@@ -44,12 +44,19 @@ OPEN_TAG = rf"<[A-Za-z][A-Za-z0-9\-]*(?:{_ATTRIBUTE})*\s*/?>"
 CLOSE_TAG = r"</[A-Za-z][A-Za-z0-9\-]*\s*>"
 RAW_HTML = re.compile(rf"{OPEN_TAG}|{CLOSE_TAG}|<!--(?:>|->|[\s\S]*?-->)|<\?[\s\S]*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[[\s\S]*?\]\]>|<[A-Za-z][A-Za-z0-9+.\-]{{1,31}}:[^\s<>]*>|<[\w.!#$%&'*+/=?^`{{|}}~\-]+@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?>")
 _TICKS = re.compile("`+")
-_ATTRS = r"\{[:]?\s*(?:(?:#[\w\-:.]+|\.[\w\-]+|[\w\-:]+=(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s}]+))\s*)+\}"
-ATTRIBUTE_GROUP = re.compile(_ATTRS)
-_WIKI = re.compile(r"!?\[\[[^\[\]\n]+(?:\[[^\[\]\n]*\][^\[\]\n]*)*\]\]")
-_REFERENCE = re.compile(rf"\[(?:{REFERENCE_TYPES}):[^\]\s]+\]")
-_ROLE = re.compile(r"\{[A-Za-z][\w:.+\-]*\}(?=`)")
-_ENVIRONMENT = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}")
+_ATOM = r"(?:\\.|[^\s{}\"'=\\])+"
+_VALUE = r"(?:\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|(?:\\.|[^\s{}\"'\\])+)"
+_ATTRIBUTE_ITEM = rf"(?:[.#]{_ATOM}|{_ATOM}={_VALUE})"
+#: {#id .class key=value}: an attribute group on one line.
+ATTRIBUTE_GROUP = re.compile(rf"\{{[^\S\n]*{_ATTRIBUTE_ITEM}(?:[^\S\n]+{_ATTRIBUTE_ITEM})*[^\S\n]*\}}")
+# Fixed value: characters that an attribute group may follow.
+_BEARERS = ")]}`$>*_"
+_WIKI_MARK = re.compile(r"\[\[|\]\]|\n")
+_REFERENCE = re.compile(rf"\[(?:{REFERENCE_TYPES}):(?:\\.|[^\[\]\\\n])+\]")
+_ROLE = re.compile(r"\{([A-Za-z][A-Za-z0-9:_\-]*)\}\Z")
+_ENVIRONMENT = re.compile(r"\\(begin|end)\{([^{}\n]+)\}")
+_PAREN = re.compile(r"\\[()]")
+_DOLLARS = re.compile(r"\$+")
 #: Documents without any of these have no inline region.
 MAY_HOLD = re.compile(r"[`$<{\\]|\[\[|\[(?:" + REFERENCE_TYPES + "):")
 
@@ -62,60 +69,59 @@ def is_escaped(text: str, at: int) -> bool:
     return n % 2 == 1
 
 
-def _spans(text: str) -> Iterator[Region]:
-    """Code spans, with the math and role forms built on them; each run is tried once."""
-    runs = [(m.start(), m.end()) for m in _TICKS.finditer(text)]
-    last: dict[int, list[int]] = {}
-    for k, (a, b) in enumerate(runs):
-        last.setdefault(b - a, []).append(k)
-    k = 0
-    while k < len(runs):
-        a, b = runs[k]
-        same = last[b - a]
-        while same and same[0] <= k:
-            same.pop(0)
-        if is_escaped(text, a) or not same:
-            k += 1
-            continue
-        end = runs[same[0]][1]
-        inner = text[b : runs[same[0]][0]]
-        if b - a == 1 and inner.startswith("$") and inner.endswith("$") and len(inner) > 2:
-            yield Region("math_gitlab_inline", "inline", a, end, text[a:end])
-        elif a > 1 and text[a - 2 : a] == "`$":
-            pass
-        if a and text[a - 1] == "$" and text[end : end + 1] == "$" and not is_escaped(text, a - 1):
-            yield Region("math_gitlab_inline", "inline", a - 1, end + 1, text[a - 1 : end + 1])
-        if a and text[a - 1] == "}" and (start := text.rfind("{", 0, a)) >= 0 and _ROLE.match(text, start) and not is_escaped(text, start):
-            kind = "math_myst_inline" if text[start : a] == "{math}" else "myst_role_inline"
-            yield Region(kind, "inline", start, end, text[start:end])
-        yield Region("code_span", "inline", a, end, text[a:end])
-        k = same[0] + 1
+def _cut(kind: str, text: str, start: int, end: int) -> Region:
+    return Region(kind, "inline", start, end, text[start:end])
+
+
+def _backticks(text: str) -> Iterator[Region]:
+    """Code spans, and the math and role forms that are built on backticks.
+
+    A run of backticks closes the open one of its length, or opens one itself.
+    """
+    code: dict[int, int] = {}
+    role: dict[int, tuple[str, int]] = {}
+    dollar: dict[int, int] = {}
+    for m in _TICKS.finditer(text):
+        a, b = m.span()
+        n = b - a
+        if (start := code.pop(n, None)) is not None:
+            yield _cut("code_span", text, start, b)
+        else:
+            code[n] = a
+        if (opened := role.pop(n, None)) is not None:
+            yield _cut(opened[0], text, opened[1], b)
+        elif text[a - 1 : a] == "}" and (named := _ROLE.search(text, max(0, text.rfind("{", 0, a)), a)) and not is_escaped(text, named.start()):
+            role[n] = ("math_myst_inline" if named[1] == "math" else "myst_role_inline", named.start())
+        if n in dollar and text[b : b + 1] == "$":
+            yield _cut("math_gitlab_inline", text, dollar.pop(n), b + 1)
+        elif text[a - 1 : a] == "$" and a and not is_escaped(text, a - 1):
+            dollar.setdefault(n, a - 1)
 
 
 def _dollars(text: str) -> Iterator[Region]:
-    at = text.find("$")
-    while at >= 0:
-        double = text.startswith("$$", at)
-        size = 2 if double else 1
-        follow = text[at + size : at + size + 1]
-        if is_escaped(text, at) or not follow or (follow.isspace() and not double):
-            at = text.find("$", at + size)
-            continue
-        end = at + size
-        while True:
-            end = text.find("$" * size, end)
-            if end < 0 or not is_escaped(text, end):
-                break
-            end += 1
-        if end < 0 or "\n\n" in text[at:end]:
-            at = text.find("$", at + size)
-            continue
-        stop = end + size
-        if not double and (text[end - 1].isspace() or text[stop : stop + 1].isdigit() or text[end : end + 2] == "$$"):
-            at = text.find("$", at + size)
-            continue
-        yield Region("math_double_dollar_inline" if double else "math_dollar_inline", "inline", at, stop, text[at:stop])
-        at = text.find("$", stop)
+    """Dollar math: two dollars open and close display math; single ones pair up, also
+    while display math has been opened and not closed yet."""
+    display = single = None
+    for m in _DOLLARS.finditer(text):
+        at, stop = m.span()
+        if is_escaped(text, at):
+            at += 1
+        while at < stop:
+            pair = stop - at >= 2
+            if display is None and single is None:
+                display, single = (at, None) if pair else (None, at)
+                at += 1 + pair
+            elif display is not None and pair:
+                yield _cut("math_double_dollar_inline", text, display, at + 2)
+                display = single = None
+                at += 2
+            elif single is None:
+                single = at
+                at += 1
+            else:
+                yield _cut("math_dollar_inline", text, single, at + 1)
+                single = None
+                at += 1
 
 
 def _environments(text: str) -> Iterator[Region]:
@@ -126,27 +132,49 @@ def _environments(text: str) -> Iterator[Region]:
         if m[1] == "begin":
             stack.append((m[2], m.start()))
         elif stack and stack[-1][0] == m[2]:
-            _, start = stack.pop()
-            if not stack:
-                yield Region("math_environment_inline", "inline", start, m.end(), text[start : m.end()])
+            yield _cut("math_environment_inline", text, stack.pop()[1], m.end())
 
 
-def _simple(text: str) -> Iterator[Region]:
-    for kind, pattern in (("raw_html_inline", RAW_HTML), ("wikilink_inline", _WIKI), ("gitlab_reference_inline", _REFERENCE)):
+def _wikilinks(text: str) -> Iterator[Region]:
+    """Double brackets on one line; of nested ones the outermost that closes."""
+    stack: list[int] = []
+    found: list[tuple[int, int]] = []
+    for m in _WIKI_MARK.finditer(text):
+        if m.group() == "\n":
+            stack = []
+        elif is_escaped(text, m.start()):
+            continue
+        elif m.group() == "[[":
+            stack.append(m.start())
+        elif stack:
+            start = stack.pop()
+            while found and found[-1][0] > start:
+                found.pop()
+            if text[start + 2 : m.start()].strip():
+                found.append((start, m.end()))
+    for start, end in found:
+        embeds = text[start - 1 : start] == "!" and start and not is_escaped(text, start - 1)
+        yield _cut("wikilink_inline", text, start - 1 if embeds else start, end)
+
+
+def _simple(text: str, heading: bool) -> Iterator[Region]:
+    for kind, pattern in (("raw_html_inline", RAW_HTML), ("gitlab_reference_inline", _REFERENCE)):
         for m in pattern.finditer(text):
             if not is_escaped(text, m.start()):
-                yield Region(kind, "inline", m.start(), m.end(), m.group())
-    start = text.find("\\(")
-    while start >= 0:
-        end = text.find("\\)", start + 2)
-        if end < 0:
-            break
-        if not is_escaped(text, start) and "\n\n" not in text[start:end]:
-            yield Region("math_paren_inline", "inline", start, end + 2, text[start : end + 2])
-        start = text.find("\\(", start + 2 if is_escaped(text, start) else end + 2)
+                yield _cut(kind, text, *m.span())
+    opened = None
+    for m in _PAREN.finditer(text):
+        if is_escaped(text, m.start()):
+            continue
+        if m.group() == "\\(":
+            opened = m.start() if opened is None else opened
+        elif opened is not None:
+            yield _cut("math_paren_inline", text, opened, m.end())
+            opened = None
     for m in ATTRIBUTE_GROUP.finditer(text):
-        if m.start() and text[m.start() - 1] in "`])*_>" and not is_escaped(text, m.start()):
-            yield Region("attribute_group_inline", "inline", m.start(), m.end(), m.group())
+        before = text[m.start() - 1 : m.start()]
+        if before and (before in _BEARERS or heading and before.isspace()) and not is_escaped(text, m.start()):
+            yield _cut("attribute_group_inline", text, *m.span())
 
 
 def arbitrate(found: list[Region]) -> list[Region]:
@@ -161,15 +189,17 @@ def arbitrate(found: list[Region]) -> list[Region]:
     return out
 
 
-def inline_regions(text: str) -> list[Region]:
-    """The protected inline regions of one paragraph, in order."""
+def inline_regions(text: str, heading: bool = False) -> list[Region]:
+    """The protected inline regions of one paragraph or heading, in order."""
     if not MAY_HOLD.search(text):
         return []
-    found: list[Region] = list(_simple(text))
+    found: list[Region] = list(_simple(text, heading))
     if "`" in text:
-        found += _spans(text)
+        found += _backticks(text)
     if "$" in text:
         found += _dollars(text)
+    if "[[" in text:
+        found += _wikilinks(text)
     if "\\begin" in text:
         found += _environments(text)
     return arbitrate(found)

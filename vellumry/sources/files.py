@@ -15,9 +15,13 @@ from fnmatch import fnmatchcase
 
 # Directories that are never entered by default.
 DEFAULT_EXCLUDES = [
-    ".git/", ".hg/", ".svn/", ".bzr/", "_darcs/", ".venv/", "venv/", "env/", ".env/", "__pycache__/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", ".tox/", ".nox/", ".eggs/",
-    "*.egg-info/", "build/", "dist/", "target/", "out/", "_build/", ".cache/", "node_modules/", "bower_components/", ".next/", ".nuxt/", ".yarn/", ".idea/", ".vscode/", ".vs/",
-    "htmlcov/", "coverage/", ".nyc_output/", "vendor/", ".terraform/",
+    ".git/", ".hg/", ".svn/", ".bzr/", "_darcs/",
+    ".venv/", "venv/", "__pycache__/", ".tox/", ".nox/", ".mypy_cache/", ".ruff_cache/", ".pytest_cache/", ".eggs/", "*.egg-info/",
+    "build/", "dist/",
+    "node_modules/", ".next/", ".nuxt/", ".output/", ".cache/", ".parcel-cache/", ".turbo/",
+    ".idea/", ".vscode/", ".vs/", ".fleet/",
+    "coverage/", "htmlcov/", ".coverage/",
+    "vendor/", "third_party/", "Pods/", "target/", ".terraform/",
 ]
 DEFAULT_INCLUDES = ["*.md"]
 _GLOB = re.compile(r"[*?\[]")
