@@ -58,7 +58,7 @@ MATH_CLOSE = re.compile(r" {0,3}\$\$(?:[ \t]+(?:\([^()\n]*\)|\{[^{}\n]*\}))?$")
 ENVIRONMENT_LINE = re.compile(r" {0,3}\\(begin|end)\{([^{}\n]+)\}$")
 COLONS = re.compile(r" {0,3}(:{3,})[ \t]*(\S.*)?$")
 CALLOUT = re.compile(r"\[![A-Za-z][\w\-]*\][+-]?")
-DEFINED = re.compile(r" {0,3}[:~][ \t]+\S")
+DEFINED = re.compile(r" {0,2}[:~][ \t]+\S")
 GRID = re.compile(r" {0,3}\+(?:[-=:]+\+)+[ \t]*$")
 DASHES = re.compile(r" {0,3}-+(?:[ \t]+-+)*[ \t]*$")
 LINE_BLOCK = re.compile(r" {0,3}\|(?: |$)")
@@ -228,8 +228,8 @@ class _Reader:
                 break
             k += 1
         got = self._take(k - first)
-        body = "\n".join(x.text.lstrip(" \t") for x in got)
-        return Block("paragraph", got[0].n, got[-1].n, body.rstrip())
+        body = "\n".join(x.text for x in got)
+        return Block("paragraph", got[0].n, got[-1].n, body.strip())
 
     def _is_table(self, rule: int) -> bool:
         head, line = self.lines[rule - 1].text, self.lines[rule].text
@@ -265,6 +265,7 @@ class _Reader:
 
     def _quote(self) -> Block:
         inner: list[Line] = []
+        first = self.at
         while self.at < len(self.lines):
             line = self.lines[self.at]
             if not line.lazy and columns(line.text) < 4 and QUOTE.match(line.text):
@@ -277,7 +278,7 @@ class _Reader:
             self.at += 1
         source = inner[0].text.strip()
         if CALLOUT.match(source):
-            return Block("quote", inner[0].n, inner[-1].n, "\n".join(x.text for x in inner), protected="obsidian_callout")
+            return Block("raw", inner[0].n, inner[-1].n, "\n".join(x.text for x in self.lines[first : self.at]), protected="obsidian_callout")
         return Block("quote", inner[0].n, inner[-1].n, children=_Reader(inner).blocks())
 
     def _list(self) -> Block:
@@ -390,8 +391,15 @@ class _Reader:
                         return self._raw(k - self.at + 1, "math_environment_block")
             return None
         if (m := COLONS.match(text)) and m[2]:
-            depth = 0
+            depth, fence = 0, ""
             for k in range(self.at, len(self.lines)):
+                if fence or FENCE.match(self.lines[k].text):
+                    mark = self.lines[k].text.strip()
+                    if not fence:
+                        fence = FENCE.match(self.lines[k].text)[1]
+                    elif set(mark) == {fence[0]} and len(mark) >= len(fence):
+                        fence = ""
+                    continue
                 if (c := COLONS.match(self.lines[k].text)) is not None:
                     depth += 1 if c[2] else -1
                     if depth == 0:
@@ -416,7 +424,7 @@ class _Reader:
             while k < len(self.lines) and self._is_line_block(k):
                 k += 1
             return self._raw(k - self.at, "pandoc_line_block")
-        if re.fullmatch(r" {0,3}(?:-{2,}(?:[ \t]+-{2,})+|-{8,})[ \t]*", text):
+        if re.fullmatch(r" {0,3}(?:-{2,}(?:[ \t]+-{2,})+|-{3,})[ \t]*", text):
             return self._multiline_table()
         return None
 

@@ -21,6 +21,7 @@ _MASK = str.maketrans({" ": SPACE, "\n": BREAK, "\t": TAB})
 _DESTINATION = re.compile(r"\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
 _LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]", re.S)
 _BARE_URL = re.compile(r"(?:https?://|www\.)[^\s<>-\[\]]*[^\s<>?!.,:;*_~'\")\]\[-]")
+_LINE_START = re.compile(r"\n[ \t]+")
 _PERIOD = re.compile(r"\\\.")
 _NUMBERED = re.compile(r"\A\d+\\\.")
 _UNDERSCORES = re.compile(r"_+")
@@ -177,6 +178,8 @@ def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = F
         stand_ins.append(last if last and (last.isalnum() or last == "_") else " ")
         pos = r.end
     text = "".join([*out, text[pos:]])
+    if "\n " in text or "\n\t" in text:
+        text = _LINE_START.sub("\n", text)  # outside regions, indents of lines mean nothing
     targets: list[str] = []
     text = _links(text, defs, targets)
     if "_" in text:

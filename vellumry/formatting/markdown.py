@@ -112,8 +112,6 @@ class Renderer:
         return self._prefixed([line(body[0]), align, *map(line, body[1:])], first, other)
 
     def _quote(self, b: Block, first: str, other: str) -> str:
-        if b.protected:
-            return self._prefixed([("> " + x).rstrip() if x else ">" for x in b.text.split("\n")], first, other)
         out: list[str] = []
         for k, c in enumerate(b.children):
             if k and not (c.kind == "quote" and c.start <= b.children[k - 1].end + 1) and not (_hard_end(b.children[k - 1])):
