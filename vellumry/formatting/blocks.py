@@ -461,6 +461,9 @@ class _Reader:
 
     def _definition_list(self) -> Block | None:
         """Term lines, each with definitions that start with a colon or tilde."""
+        ahead = [x.text for x in self.lines[self.at + 1 : self.at + 3]]
+        if not any(x.lstrip()[:1] in (":", "~") for x in ahead):
+            return None
         k, seen = self.at, False
         while True:
             term = k

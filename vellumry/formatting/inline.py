@@ -15,7 +15,6 @@ from vellumry.formatting.regions import inline_regions
 #: Stand-ins: a protected region, a link target, and masked white space inside them.
 REGION, TARGET, SPACE, BREAK, TAB = "", "", "", "", ""
 RESERVED = re.compile("[-]")
-_UNMASK = str.maketrans({SPACE: " ", BREAK: "\n", TAB: "\t"})
 _MASK = str.maketrans({" ": SPACE, "\n": BREAK, "\t": TAB})
 
 _DESTINATION = re.compile(r"\(\s*(<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
@@ -40,8 +39,9 @@ def mask(text: str) -> str:
 
 
 def unmask(text: str) -> str:
-    if SPACE in text or BREAK in text or TAB in text:
-        return text.translate(_UNMASK)
+    for mark, c in ((SPACE, " "), (BREAK, "\n"), (TAB, "\t")):
+        if mark in text:
+            text = text.replace(mark, c)
     return text
 
 

@@ -47,6 +47,14 @@ def strip(text: str) -> str:
     return _EDGES.sub("", text)
 
 
+def collapse(text: str) -> str:
+    """``text`` with each run of white space as one space, and none at the ends."""
+    text = strip(text)
+    if text.isascii() and "  " not in text and not any(c in text for c in "\n\t\r\x0b\x0c"):
+        return text
+    return SPACES.sub(" ", text)
+
+
 def lines_of(text: str) -> list[str]:
     """Lines without their ends; a final line end adds no line."""
     parts = text.split("\n")

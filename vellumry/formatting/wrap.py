@@ -48,7 +48,7 @@ def greedy_lines(text: str, width: int, first: int = 0, other: int = 0, splitter
             text = strip(text)
         return [text] if text else []
     if collapse and first + len(text) <= width and not any(x in text for x in ("}{", "><")):
-        whole = SPACES.sub(" ", strip(text))  # it fits as it is: no words to count
+        whole = units.collapse(text)  # it fits as it is: no words to count
         return [whole] if whole else []
     out: list[str] = []
     line: list[str] = []
@@ -81,7 +81,7 @@ def sentence_lines(text: str, width: int, first_indent: str, other_indent: str,
     """One line per sentence, wrapped; a short line takes in the start of the next."""
     text = text.replace("\n", " ")
     if width <= 0:
-        return first_indent + strip(SPACES.sub(" ", text))
+        return first_indent + units.collapse(text)
     out: list[str] = []
     base = len(first_indent)
     for sentence in split_sentences(text):
@@ -165,6 +165,7 @@ def _closing_tags(text: str) -> str:
 
 def with_tag_lines(base: Wrapper) -> Wrapper:
     """Line breaks at template tags and table rows are kept; the rest is wrapped."""
+    marks = (*units.TAG_OPEN, *units.TAG_CLOSE)
 
     def segments(lines: list[str]) -> list[list[str]]:
         tagged = any(units.starts_with_tag(x) or units.ends_with_tag(x) for x in lines)
@@ -183,6 +184,8 @@ def with_tag_lines(base: Wrapper) -> Wrapper:
         return base("\n".join(lines), first, other)
 
     def run(text: str, first: str, other: str) -> str:
+        if "|" not in text and not any(mark in text for mark in marks):
+            return base(text, first, other)
         parts = segments(text.split("\n"))
         if len(parts) == 1:
             return closers_on_own_line(base(text, first, other))
