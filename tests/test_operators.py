@@ -129,6 +129,15 @@ def test_orphans_against_brute_force(spark):
     assert got == {i for k, t, i in refs if k is not None and not any(k == r and a <= t and (b is None or b > t) for r, a, b in records)}
 
 
+def test_counts_advance_as_if_counted_at_once(spark):
+    refs = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 3), ("c", 9, 4)], "key string, at bigint, i int")
+    deltas = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("b", 5, -1), ("d", 2, 1), ("d", 3, -1)], "key string, at bigint, delta int")
+    early, late = (lambda df: df.where("at <= 2")), (lambda df: df.where("at > 2"))
+    state = references.advance(references.signed_counts(early(refs), early(deltas)), references.signed_counts(late(refs), late(deltas)))
+    assert rows(state) == Counter([("a", 2, 1), ("b", 1, 0), ("c", 1, 0)])
+    assert rows(references.current_orphans(state).select("key")) == Counter([("b",), ("c",)])
+
+
 def test_keys_are_injective(spark):
     df = spark.createDataFrame([("a|1:b", None), ("a", "b"), ("a", None), ("a", ""), ("", "a")], "x string, y string")
     assert df.select(references.key_of(F.col("x"), F.col("y"))).distinct().count() == 5

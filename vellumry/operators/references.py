@@ -50,6 +50,25 @@ def orphans(references: DataFrame, deltas: DataFrame) -> DataFrame:
     return counted.where((F.col("step") == _READ) & (F.col("n_existing") <= 0)).select("key", "at", "ref.*")
 
 
+def signed_counts(references: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The state (key, n_refs, n_existing) after all deltas: references count 1 each,
+    existence its signed delta.  Aggregation is partial before the shuffle."""
+    read = references.where(F.col("key").isNotNull() & F.col("at").isNotNull()).distinct().select("key", F.lit(1).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("e"))
+    both = read.unionByName(deltas.select("key", F.lit(0).cast("bigint").alias("r"), F.col("delta").cast("bigint").alias("e")))
+    return both.groupBy("key").agg(F.sum("r").alias("n_refs"), F.sum("e").alias("n_existing"))
+
+
+def advance(state: DataFrame, change: DataFrame) -> DataFrame:
+    """A state with the counts of later deltas added; keys back at zero are dropped."""
+    summed = state.unionByName(change).groupBy("key").agg(F.sum("n_refs").alias("n_refs"), F.sum("n_existing").alias("n_existing"))
+    return summed.where((F.col("n_refs") != 0) | (F.col("n_existing") != 0))
+
+
+def current_orphans(state: DataFrame) -> DataFrame:
+    """Keys with positive references and no existence: the report as it stands now."""
+    return state.where((F.col("n_refs") > 0) & (F.col("n_existing") <= 0))
+
+
 def mapping_orphans(tests: DataFrame, mapping: DataFrame, checks: DataFrame) -> DataFrame:
     """Orphans of the test mapping and its checks, per table and period.
 
@@ -57,6 +76,12 @@ def mapping_orphans(tests: DataFrame, mapping: DataFrame, checks: DataFrame) ->
     each other; rows without a file, function, entry or moment make no reference; repeated
     rows and equal entries count once; empty tables are allowed, other columns ignored.
     """
+    found = orphans(*mapping_references(tests, mapping, checks))
+    return found.select("src_table", "sync_period", "row_id", "ref_field", "ref_key").distinct()
+
+
+def mapping_references(tests: DataFrame, mapping: DataFrame, checks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(references, existence deltas) of the test mapping and its checks."""
     is_suite = lambda s: F.col("suite") == s
     python_key = key_of(F.lit("py"), F.col("file"), F.col("class_name"), F.col("function"))
     rust_key = key_of(F.lit("rs"), F.col("file"), F.col("function"))
@@ -88,7 +113,7 @@ def mapping_orphans(tests: DataFrame, mapping: DataFrame, checks: DataFrame) ->
     entries = checks.select("check_id", "sync_period", "checked_at", F.explode("broken_rust_refs").alias("entry")).where(F.col("entry").isNotNull())
     broken = refs(entries, "mapping_checks", "check_id", "broken_rust_refs", F.col("entry"), key_of(F.lit("map"), F.col("entry")))
     every = python.unionByName(rust[0]).unionByName(rust[1]).unionByName(broken)
-    return orphans(every, deltas).select("src_table", "sync_period", "row_id", "ref_field", "ref_key").distinct()
+    return every, deltas
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -41,6 +41,14 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(p3_found(spark, d))
 
 
+def p3_current(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are referenced and do not exist once all changes have happened."""
+    every, deltas = references.mapping_references(table(spark, d, "discovered_tests"), table(spark, d, "test_mapping"), table(spark, d, "mapping_checks"))
+    names = every.where(F.col("at").isNotNull()).groupBy("key").agg(F.max("src_table").alias("src_table"), F.max("ref_key").alias("ref_key"))
+    state = references.current_orphans(references.signed_counts(every, deltas))
+    return state.join(names, "key").select("src_table", "ref_key", "n_refs")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.replay(table(spark, d, "cache_manifests"), table(spark, d, "tree_files"))
 
@@ -49,7 +57,7 @@ def p4_work_per_run(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_all_copies, p1_summary, p3_found, p3_report, p4_found, p4_work_per_run)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_all_copies, p1_summary, p3_found, p3_report, p3_current, p4_found, p4_work_per_run)}
 
 _P1 = """
 WITH u AS (SELECT * FROM (SELECT id, expected_stdout, before_tree, after_tree,
@@ -103,7 +111,27 @@ WITH runs AS (SELECT DISTINCT ON (run_id) run_id, project_root, version, exit_co
         SELECT 1 FROM known k WHERE k.run_id = s.base AND k.h = CASE WHEN regexp_full_match(s.content_hash, '0*[0-9A-Fa-f]{1,16}') THEN ltrim(lower(s.content_hash), '0') END))
 """
 
+_P3_NOW = """
+WITH live AS (SELECT * FROM test_mapping WHERE status IN ('mapped', 'partial') AND rust_file IS NOT NULL),
+ tests AS (SELECT suite, file, class_name, function FROM discovered_tests WHERE removed_at IS NULL),
+ rust AS (SELECT sync_period, mapping_id, 'rust_function' AS f, checked_at, rust_file, rust_function AS fn FROM live
+          UNION ALL SELECT sync_period, mapping_id, 'rust_functions', checked_at, rust_file, unnest(rust_functions) FROM live),
+ recorded AS (SELECT rust_file || '::' || rust_function AS k FROM test_mapping
+              UNION ALL SELECT rust_file || '::' || fn FROM (SELECT rust_file, unnest(rust_functions) AS fn FROM test_mapping)),
+ py AS (SELECT DISTINCT sync_period, mapping_id, checked_at, python_file, python_class, python_function FROM test_mapping WHERE python_file IS NOT NULL AND python_function IS NOT NULL),
+ entries AS (SELECT DISTINCT sync_period, check_id, checked_at, entry FROM (SELECT sync_period, check_id, checked_at, unnest(broken_rust_refs) AS entry FROM mapping_checks) WHERE entry IS NOT NULL)
+SELECT 'test_mapping' AS src_table, concat_ws('::', python_file, python_class, python_function) AS ref_key, count(*) AS n_refs FROM py p WHERE NOT EXISTS (
+   SELECT 1 FROM tests t WHERE t.suite = 'python' AND t.file = p.python_file AND t.function = p.python_function AND t.class_name IS NOT DISTINCT FROM p.python_class)
+ GROUP BY python_file, python_class, python_function
+UNION ALL
+SELECT 'test_mapping', rust_file || '::' || fn, count(*) FROM (SELECT DISTINCT * FROM rust WHERE fn IS NOT NULL) r WHERE NOT EXISTS (
+   SELECT 1 FROM tests t WHERE t.suite = 'rust' AND t.file = r.rust_file AND t.function = r.fn) GROUP BY rust_file, fn
+UNION ALL
+SELECT 'mapping_checks', entry, count(*) FROM entries WHERE entry NOT IN (SELECT k FROM recorded WHERE k IS NOT NULL) GROUP BY entry
+"""
+
 ORACLES = {
+    "p3_current": _P3_NOW,
     "p1_found": _P1 + "SELECT id, diff FROM found",
     "p1_summary": _P1 + "SELECT diff, count(*) AS n_ids FROM found GROUP BY diff",
     "p3_found": _P3 + "SELECT * FROM found",
