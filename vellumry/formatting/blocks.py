@@ -128,6 +128,8 @@ class _Reader:
     def __init__(self, lines: list[Line]) -> None:
         self.lines, self.at = lines, 0
         self.open_paragraph: tuple[list[Line] | None, int] = (None, 0)
+        self.no_table_from = len(lines)
+        self.colon_ends: dict[int, int] | None = None
 
     def blocks(self) -> list[Block]:
         out: list[Block] = []
@@ -391,20 +393,8 @@ class _Reader:
                         return self._raw(k - self.at + 1, "math_environment_block")
             return None
         if (m := COLONS.match(text)) and m[2]:
-            depth, fence = 0, ""
-            for k in range(self.at, len(self.lines)):
-                if fence or FENCE.match(self.lines[k].text):
-                    mark = self.lines[k].text.strip()
-                    if not fence:
-                        fence = FENCE.match(self.lines[k].text)[1]
-                    elif set(mark) == {fence[0]} and len(mark) >= len(fence):
-                        fence = ""
-                    continue
-                if (c := COLONS.match(self.lines[k].text)) is not None:
-                    depth += 1 if c[2] else -1
-                    if depth == 0:
-                        return self._raw(k - self.at + 1, "colon_container")
-            return None
+            end = self._colon_ends().get(self.at)
+            return self._raw(end - self.at + 1, "colon_container") if end is not None else None
         if bare == ">>>":
             n = self._until(lambda t: t.strip() == ">>>")
             return self._raw(n, "gitlab_multiline_blockquote") if n else None
@@ -428,6 +418,24 @@ class _Reader:
             return self._multiline_table()
         return None
 
+    def _colon_ends(self) -> dict[int, int]:
+        """The closing line of each colon container that closes; code is passed over."""
+        if self.colon_ends is None:
+            self.colon_ends, opened, fence = {}, [], ""
+            for k, line in enumerate(self.lines):
+                mark = line.text.strip()
+                if fence:
+                    if set(mark) == {fence[0]} and len(mark) >= len(fence):
+                        fence = ""
+                elif m := FENCE.match(line.text):
+                    fence = m[1]
+                elif not line.lazy and (m := COLONS.match(line.text)):
+                    if m[2]:
+                        opened.append(k)
+                    elif opened:
+                        self.colon_ends[opened.pop()] = k
+        return self.colon_ends
+
     def _is_line_block(self, k: int) -> bool:
         """A line that starts with a bar and is no row of a table."""
         bare = self.lines[k].text.strip()
@@ -447,17 +455,24 @@ class _Reader:
         return k
 
     def _multiline_table(self) -> Block | None:
-        rules = [k for k in range(self.at, len(self.lines)) if DASHES.match(self.lines[k].text)]
-        if len(rules) < 2:
+        """A header over a rule of several dashes runs, rows, and a closing rule before a
+        blank line; a solid rule may stand above the header."""
+        if self.at >= self.no_table_from:
             return None
-        ruled = next((k for k in rules if " " in self.lines[k].text.strip()), None)
-        if ruled is None:
-            return None
-        blanks = [k for k in range(self.at, rules[-1]) if self.lines[k].blank]
-        close = next((k for k in rules if k > max(ruled, self.at) and (k + 1 >= len(self.lines) or self.lines[k + 1].blank)), None)
-        if close is None or any(self.lines[k].lazy for k in range(self.at, close)) or (blanks and blanks[0] < ruled):
-            return None
-        return self._raw(self._caption(close + 1) - self.at, "pandoc_multiline_table")
+        ruled = self.at
+        if " " not in self.lines[ruled].text.strip():
+            ruled += 1
+            while ruled < len(self.lines) and not self.lines[ruled].blank and not DASHES.match(self.lines[ruled].text):
+                ruled += 1
+            if ruled == self.at + 1 or ruled >= len(self.lines) or " " not in self.lines[ruled].text.strip() or self.lines[ruled].blank:
+                return None
+        for close in range(ruled + 1, len(self.lines)):
+            if self.lines[close].lazy:
+                return None
+            if DASHES.match(self.lines[close].text) and (close + 1 >= len(self.lines) or self.lines[close + 1].blank):
+                return self._raw(self._caption(close + 1) - self.at, "pandoc_multiline_table")
+        self.no_table_from = self.at  # no closing rule from here on
+        return None
 
     def _definition_list(self) -> Block | None:
         """Term lines, each with definitions that start with a colon or tilde."""
