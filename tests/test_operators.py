@@ -181,6 +181,45 @@ def test_replay_against_brute_force(spark, monkeypatch, hot):
     r = spark.createDataFrame(runs * 2, "run_id bigint, project_root string, version int, formatter_fingerprint string, hashes array<string>, exit_code int, at int").withColumn("started_at", stamp("at"))
     f = spark.createDataFrame(files * 2, "project_root string, path string, content_hash string, deleted boolean, m int, l int").withColumn("modified_at", stamp("m")).withColumn("landed_at", stamp("l"))
     assert rows(incremental.replay(r, f)) == Counter(brute_replay(runs, files))
+    assert rows(incremental.ledger_replay(r, f)) == Counter(brute_replay(runs, files))
+
+
+def test_found_rows_are_leases_of_the_ledger(spark, data, monkeypatch):
+    from vellumry.plans import data_queries
+
+    t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    want = rows(incremental.replay(t("cache_manifests"), t("tree_files")))
+    monkeypatch.setattr(incremental, "replay", None)
+    assert rows(data_queries.p4_found(spark, data)) == want and want
+
+
+def test_ledger_of_a_root():
+    ledger = incremental.RootLedger()
+    ledger.enqueue("p", 7)
+    ledger.enqueue("q", None)
+    assert ledger.state("p", 1) == "pending" and sorted(ledger.lease(1, 10, 1)) == ["p", "q"] and ledger.state("p", 1) == "leased"
+    assert sorted(ledger.lease(2, 20, 1)) == ["p", "q"]  # the first run was killed
+    ledger.succeed(1, 1, 1)  # it comes back: fenced off
+    ledger.complete(1, 7)
+    assert sorted(ledger.lease(3, 30, 1)) == ["p", "q"]
+    ledger.succeed(3, 1, 1)
+    ledger.complete(3, 7)
+    ledger.enqueue("p", 8)  # changed while it was leased
+    assert ledger.state("p", 1) == "pending" and sorted(ledger.lease(4, 40, 1)) == ["p", "q"]
+    ledger.enqueue("p", 7)
+    assert ledger.state("p", 1) == "done" and ledger.lease(5, 50, 1) == ["q"] and sorted(ledger.lease(6, 60, 2)) == ["p", "q"]
+
+
+def test_ledger_keeps_what_is_enqueued_while_leased(spark, tmp_path):
+    ledger = incremental.Ledger(spark, str(tmp_path))
+    item = spark.createDataFrame([("a",)], "item string")
+    ledger.enqueue(item, "first", 0)
+    token = ledger.lease(1, seconds=10)
+    ledger.enqueue(item, "second", 2)  # changed after the worker had read it
+    ledger.complete(token, 3)
+    assert [r["state"] for r in ledger.state(4).collect()] == ["pending"]
+    ledger.complete(ledger.lease(5, seconds=10), 6)
+    assert [r["state"] for r in ledger.state(7).collect()] == ["done"]
 
 
 def test_replay_of_empty_tables(spark, data):

@@ -2,19 +2,22 @@
 
 Two parts share one model of a work-item ledger:
 
-* ``replay`` derives, from the recorded runs and file versions, which items each run
-  had to take up: a run holds a fencing token (its order among the runs of a root),
-  its items are pending unless the last committed run before it marked them done,
-  and a run that failed or was killed commits nothing, so its leases fall back to
-  pending.
+* ``ledger_replay`` drives the recorded runs and file versions through the ledger of
+  each root: versions are enqueued and withdrawn as they land, a run takes the next
+  fencing token and leases what is pending, and exit code 0 completes the run.  A run
+  that failed or was killed commits nothing: its leases end with the next token.
 * ``Ledger`` keeps such a state for running jobs, as append-only files under
   deterministic paths in a shared folder.
+
+``replay`` states the same answer as plain joins, as a second opinion for tests.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +122,133 @@ def replay(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return cold.unionByName(warm).join(done, ["base_run", "done_key"], "left_anti").select("run_id", "path")
 
 
+#: Events of one instant in the order in which they take effect.
+WITHDRAW, ENQUEUE, RUN, DONE = range(4)
+
+
+class RootLedger:
+    """The ledger of one root (or of one salt of it), fed with events in order of time.
+
+    An item is a current path with its content.  It is done if its content was completed
+    under the newest committed token and that commit fits the run that asks; leased if
+    the newest token took it and nothing has ended that lease; pending otherwise.
+    """
+
+    def __init__(self) -> None:
+        self.items: dict[str, int | None] = {}
+        self.leased: set[str] = set()
+        self.token = self.instant = None
+        self.commit, self.done = None, set()
+        self.next_commit, self.next_done = None, set()
+
+    def enqueue(self, path: str, key: int | None) -> None:
+        self.items[path] = key
+        self.leased.discard(path)  # another content: what is under way does not cover it
+
+    def withdraw(self, path: str) -> None:
+        self.items.pop(path, None)
+        self.leased.discard(path)
+
+    def state(self, path: str, fingerprint: int | None) -> str:
+        if self._fits(fingerprint) and self.items[path] in self.done:
+            return "done"
+        return "leased" if path in self.leased else "pending"
+
+    def _fits(self, fingerprint: int | None) -> bool:
+        return self.commit is not None and self.commit[1] == 1 and fingerprint is not None and self.commit[2] == fingerprint
+
+    def lease(self, token: int, at: int, fingerprint: int | None) -> list[str]:
+        """Take ``token``, which ends the leases of older ones; the paths leased under it."""
+        if at != self.instant:
+            # Runs that start in the same instant do not see each other.
+            if self.next_commit is not None:
+                self.commit, self.done = self.next_commit, self.next_done
+                self.next_commit, self.next_done = None, set()
+            self.instant = at
+        self.token = token
+        done = self.done if self._fits(fingerprint) else ()
+        taken = [path for path, key in self.items.items() if key not in done]
+        self.leased = set(taken)
+        return taken
+
+    def succeed(self, token: int, version: int | None, fingerprint: int | None) -> None:
+        """Exit code 0: ``token`` commits, and nothing older counts from then on."""
+        if token == self.token:
+            self.next_commit, self.next_done = (token, version, fingerprint), set()
+            self.leased = set()
+
+    def complete(self, token: int, key: int) -> None:
+        """A content marked done; ignored unless ``token`` is the newest to commit."""
+        if self.next_commit is not None and self.next_commit[0] == token:
+            self.next_done.add(key)
+
+
+def _events(runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """Events of all ledgers: (root, salt, at, kind, token, path, key, ok, version).
+
+    A hot root is divided by content, so that completions meet the items they concern;
+    its runs go to each part.
+    """
+    files = file_versions(versions)
+    rows = runs.where(F.col("run_id").isNotNull() & F.col("project_root").isNotNull()).select(
+        _root("project_root"), micros("started_at").alias("at"), F.col("run_id").alias("token"), hex64(F.col("formatter_fingerprint")).alias("key"),
+        (F.col("exit_code") == 0).alias("ok"), "version", "hashes",
+    ).where(F.col("at").isNotNull())
+    hot = hot_buckets(files.select("root").unionByName(rows.select("root")), ["root"])
+    cold_files, hot_files = split_hot(files, ["root"], hot)
+    one = F.lit(1).alias("salts")
+    cold = current_intervals(cold_files).select("root", "path", "done_key", "start", "stop", one)
+    current = cold.unionByName(current_intervals(hot_files, hot=True).select("root", "path", "done_key", "start", "stop", "salts"))
+    cold_rows, hot_rows = split_hot(rows, ["root"], hot)
+    rows = cold_rows.select("*", one).unionByName(hot_rows)
+    none = lambda kind: F.lit(None).cast(kind)
+    part = lambda c: F.pmod(c, F.col("salts")).cast("int").alias("salt")
+    ends = F.array(F.struct(F.col("start").alias("at"), F.lit(ENQUEUE).alias("kind")), F.struct(F.col("stop").alias("at"), F.lit(WITHDRAW).alias("kind")))
+    moves = current.select("root", part(F.coalesce(F.xxhash64("done_key", F.lit(0)), F.xxhash64("path"))).alias("salt"), F.inline(ends), none("bigint").alias("token"), "path", F.col("done_key").alias("key"), none("boolean").alias("ok"), none("int").alias("version"))
+    starts = rows.drop("hashes").dropDuplicates(["root", "token"]).select("root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "at", F.lit(RUN).alias("kind"), "token", none("string").alias("path"), "key", "ok", "version")
+    marks = rows.where(F.col("ok") & (F.col("version") == 1)).select("root", "salts", "at", "token", F.explode("hashes").alias("h")).withColumn("key", hex64(F.col("h"))).where(F.col("key").isNotNull())
+    marks = marks.select("root", part(F.xxhash64("key", F.lit(0))).alias("salt"), "at", F.lit(DONE).alias("kind"), "token", none("string").alias("path"), "key", none("boolean").alias("ok"), none("int").alias("version"))
+    return moves.where(F.col("at").isNotNull()).unionByName(starts).unionByName(marks)
+
+
+def _drive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run_id, path) of each lease; the events of a ledger are adjacent and in order."""
+    at_root, ledger = None, RootLedger()
+    ids: list[int] = []
+    paths: list[str] = []
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(paths, pa.string())], names=["run_id", "path"])
+    for batch in batches:
+        for root, salt, at, kind, token, path, key, ok, version in zip(*(c.to_pylist() for c in batch.columns)):
+            if (root, salt) != at_root:
+                at_root, ledger = (root, salt), RootLedger()
+            if kind == DONE:
+                ledger.complete(token, key)
+            elif kind == ENQUEUE:
+                ledger.enqueue(path, key)
+            elif kind == WITHDRAW:
+                ledger.withdraw(path)
+            else:
+                taken = ledger.lease(token, at, key)
+                ids += [token] * len(taken)
+                paths += taken
+                if ok:
+                    ledger.succeed(token, version, key)
+                if len(ids) > 50_000:
+                    yield flush()
+                    ids, paths = [], []
+    yield flush()
+
+
+def ledger_replay(runs: DataFrame, versions: DataFrame) -> DataFrame:
+    """The items each run leases from the ledger of its root: distinct (run_id, path).
+
+    Events are partitioned by ledger, sorted by time and streamed; a task holds the
+    current items and the newest completions of one ledger at a time.
+    """
+    events = _events(runs, versions).repartition("root", "salt").sortWithinPartitions("root", "salt", "at", "kind", "token")
+    return events.mapInArrow(_drive, "run_id bigint, path string")
+
+
 class Ledger:
     """A ledger of work items in a shared folder.
 
@@ -162,14 +292,19 @@ class Ledger:
                 token += 1
 
     def state(self, now: float) -> DataFrame:
-        """(item, state, token): done wins only under the item's newest lease token."""
+        """(item, state, token): done wins only under the item's newest lease token.
+
+        An item enqueued again after it was leased is not covered by that lease: it is
+        pending from then on, whatever the lease completes.
+        """
         of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
         items = self.events().groupBy("item").agg(
-            of("lease", "token").alias("lease"), F.max(F.when(F.col("kind") == "lease", F.struct("token", "expires"))).alias("held"),
-            of("done", "token").alias("done"), of("enqueue", "at").alias("queued"), F.max(F.when(F.col("kind") == "done", F.struct("token", "at"))).alias("finished"),
+            of("lease", "token").alias("lease"), F.max(F.when(F.col("kind") == "lease", F.struct("token", "at", "expires"))).alias("held"),
+            of("done", "token").alias("done"), of("enqueue", "at").alias("queued"),
         )
-        done = (F.col("done") == F.col("lease")) & (F.col("finished.at") >= F.col("queued"))
-        leased = F.col("held.expires") > now
+        covered = F.col("held.at") >= F.col("queued")
+        done = covered & (F.col("done") == F.col("lease"))
+        leased = covered & (F.col("held.expires") > now)
         return items.select("item", F.when(done, "done").when(leased & ~F.coalesce(F.col("done") == F.col("lease"), F.lit(False)), "leased").otherwise("pending").alias("state"), F.col("lease").alias("token"))
 
     def lease(self, now: float, seconds: float, most: int | None = None) -> int:

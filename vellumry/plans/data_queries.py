@@ -50,7 +50,7 @@ def p3_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.replay(table(spark, d, "cache_manifests"), table(spark, d, "tree_files"))
+    return incremental.ledger_replay(table(spark, d, "cache_manifests"), table(spark, d, "tree_files"))
 
 
 def p4_work_per_run(spark: SparkSession, d: str) -> DataFrame:
