@@ -84,3 +84,25 @@ def test_operator(spark):
     assert sorted(map(tuple, leakage.find_leaks(docs, items).collect())) == want
     assert sorted(map(tuple, leakage.find_leaks(docs, items, block_chars=100).collect())) == want
     assert leakage.find_leaks(docs.limit(0), items).count() == 0 and leakage.find_leaks(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [12, 13])
+@pytest.mark.parametrize("place", [1, -2])
+def test_an_edit_next_to_an_end_is_part_of_the_passage(n, place):
+    own = [f"w{i}" for i in range(30)]
+    part = own[8 : 8 + n]
+    part[place] = "other"
+    items = leakage.Items([(1, " ".join(own))])
+    assert items.find(["before it " + " ".join(part) + " behind it"]) == [(0, 1)]
+    part[4] = "more"
+    assert items.find(["before it " + " ".join(part) + " behind it"]) == []
+
+
+def test_edits_in_chinese_count_half_a_word():
+    own = "".join(map(chr, range(0x4E00, 0x4E00 + 40)))
+    items = leakage.Items([(1, own)])
+    part = own[5:29]
+    assert items.find([part[:21] + "鼠龙" + part[23:]]) == [(0, 1)]  # a word replaced before the last character
+    assert items.find([part[:8] + "鼠" + part[8:16] + "龙" + part[16:]]) == [(0, 1)]  # two characters added
+    assert items.find([part[:6] + "鼠" + part[6:12] + "龙" + part[12:18] + "龟" + part[18:]]) == [(0, 1)]
+    assert items.find([part[:5] + "鼠" + part[5:10] + "龙" + part[10:15] + "龟" + part[15:20] + "鼎" + part[20:]]) == []

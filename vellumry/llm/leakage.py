@@ -5,7 +5,7 @@ white space, punctuation, markup, character variants and invisible characters.
 run of five item tokens is a seed.  A passage of at least 12 words with at most one
 edit in eight always holds an unbroken run of five, so seeds miss no leak.  Pairs of a
 document and an item that share a seed are compared by Smith-Waterman alignment,
-rarest seeds first, and the alignment decides.
+rarest seeds first, scored by the leak rule itself, and the alignment decides.
 """
 
 from __future__ import annotations
@@ -99,6 +99,8 @@ class Items:
                 postings[h].append((len(self.names), at))
             self.names.append(name)
             self.tokens.append(np.array(ids, np.int64))
+        # Weights in half words; the ids of unknown tokens are 0 and, from the end, -1 (Chinese).
+        self.halves = np.array([2, *(int(2 * w) for w in self.weights[1:]), 1], np.int64)
         self.postings = dict(postings)
         self.seeds = np.array(sorted(postings), np.uint64)
 
@@ -109,7 +111,10 @@ class Items:
         starts = []
         for text in texts:
             starts.append(len(ids))
-            ids += [get(t, 0) for t in tokens(text)]
+            if text and not text.isascii():
+                ids += [get(t) or (-1 if _CJK.match(t) else 0) for t in tokens(text)]
+            else:
+                ids += [get(t, 0) for t in tokens(text)]
             ids.append(0)
         if not ids or not len(self.seeds):
             return []
@@ -138,6 +143,9 @@ class Items:
         if len({where for _, _, where in seeds}) < 2:
             return False
         own = self.tokens[item]
+        weights = self.halves[own]
+        # A Chinese passage has twice the tokens of one in words.
+        reach = 16 if (weights == 2).all() else 32
         covered: set[tuple[int, int]] = set()
         failed: set[tuple[int, int, bytes]] = set()
         for _, at, where in seeds:
@@ -145,40 +153,28 @@ class Items:
                 continue
             slack = len(own) // 4 + 8
             a, b = max(low, at - where - slack), min(high, at + len(own) - where + slack)
-            near = set(flat[max(a, at - 18) : at + SEED + 18].tolist())
-            around = own[max(0, where - 16) : where + SEED + 16]
+            near = set(flat[max(a, at - reach - 2) : at + SEED + reach + 2].tolist())
+            around = own[max(0, where - reach) : where + SEED + reach]
             if sum(self.weights[t] for t in around.tolist() if t in near) < LEAST_WORDS * (1 - 1 / WORDS_PER_EDIT):
                 continue
             surroundings = (where, at - a, flat[a:b].tobytes())
             if surroundings in failed:
                 continue  # the same words again, as in a text that repeats itself
-            path = align(flat[a:b], own, at - a, where)
-            covered.update((a + i, j) for i, j in path if i >= 0 and j >= 0)
-            if self._enough(path, flat[a:b], own):
+            doc = flat[a:b]
+            if _holds(doc, own, self.halves[doc], weights, at - a, where):
                 return True
+            # A stretch through another seed of the same unbroken run may as well take in this one.
+            k = 1
+            while at + k + SEED <= b and where + k + SEED <= len(own) and flat[at + k + SEED - 1] == own[where + k + SEED - 1]:
+                covered.add((at + k, where + k))
+                k += 1
+            k = 1
+            while at - k >= a and where - k >= 0 and flat[at - k] == own[where - k]:
+                covered.add((at - k, where - k))
+                k += 1
             failed.add(surroundings)
         return False
 
-    def _enough(self, path: list[tuple[int, int]], doc: np.ndarray, own: np.ndarray) -> bool:
-        length, edits = [0.0], [0.0]
-        match = []
-        for i, j in path:
-            w = self.weights[own[j]] if j >= 0 else self.weights[doc[i]] or 1.0
-            good = i >= 0 and j >= 0 and doc[i] == own[j]
-            length.append(length[-1] + (w if j >= 0 else 0.0))
-            edits.append(edits[-1] + (0.0 if good else w))
-            match.append(good)
-        n = len(path)
-        for a in range(n):
-            if match[a] and (a == 0 or not (match[a - 1] and a > 1 and match[a - 2])):
-                for b in range(n - 1, a, -1):
-                    size = length[b + 1] - length[a]
-                    if size < LEAST_WORDS:
-                        break
-                    if match[b] and (edits[b + 1] - edits[a]) * WORDS_PER_EDIT <= size:
-                        return True
-        return False
-
 
 def _hashes_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(at), np.uint64)
@@ -187,50 +183,49 @@ def _hashes_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(doc: np.ndarray, own: np.ndarray, at: int, where: int) -> list[tuple[int, int]]:
-    """The best local alignment (Smith-Waterman) through the seed doc[at:], own[where:].
+def _holds(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_weights: np.ndarray, at: int, where: int) -> bool:
+    """Whether a leak runs through the seed doc[at:], own[where:]; weights in half words.
 
-    Match +1, edit -1.  The path has (i, j) per step; -1 marks a gap.  Both ends of the
-    seed are extended, backwards and forwards, and end on a match.
+    A stretch of the item is a leak if it is long enough and its slack, the length less
+    WORDS_PER_EDIT for each edit, is not negative.  Both sides of the seed are aligned for
+    the most slack at each length, so the rule itself chooses the stretch.
     """
-    mid = [(at + k, where + k) for k in range(SEED)]
-    left = _extend(doc[:at][::-1], own[:where][::-1])
-    right = _extend(doc[at + SEED :], own[where + SEED :])
-    back = [(at - 1 - i if i >= 0 else -1, where - 1 - j if j >= 0 else -1) for i, j in reversed(left)]
-    ahead = [(at + SEED + i if i >= 0 else -1, where + SEED + j if j >= 0 else -1) for i, j in right]
-    return back + mid + ahead
+    size, slack = _stretches(doc[:at][::-1], own[:where][::-1], doc_weights[:at][::-1], own_weights[:where][::-1])
+    stop, end = at + SEED, where + SEED
+    size_2, slack_2 = _stretches(doc[stop:], own[end:], doc_weights[stop:], own_weights[end:])
+    seed = int(own_weights[where:end].sum())
+    long = size[:, None] + size_2[None, :] >= 2 * LEAST_WORDS - seed
+    return bool((long & (slack[:, None] + slack_2[None, :] >= -seed)).any())
 
 
-def _extend(doc: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
-    """The best-scoring alignment that starts at both beginnings, as a path."""
+def _stretches(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(length, most slack) of the stretches that start at both beginnings and end on a match.
+
+    Smith-Waterman with the weights of the leak rule: a match is worth its own weight, a
+    word replaced or missing costs WORDS_PER_EDIT - 1 times it, an added one WORDS_PER_EDIT.
+    """
     n, m = len(own), len(doc)
     run = 0
     while run < min(n, m) and doc[run] == own[run]:
         run += 1
-    path = [(k, k) for k in range(run)]
+    size = np.concatenate([[0], np.cumsum(own_weights)])
     if run >= min(n, m):
-        return path
-    doc, own, n, m = doc[run:], own[run:], n - run, m - run
-    steps = np.arange(m + 1)
-    score = np.empty((n + 1, m + 1), np.int32)
-    score[0] = -steps
-    for i in range(1, n + 1):
-        row = score[i - 1] - 1
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(doc == own[i - 1], 1, -1))
-        score[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = divmod(int(np.argmax(score)), m + 1)
-    back = []
-    while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (1 if own[i - 1] == doc[j - 1] else -1):
-            i, j = i - 1, j - 1
-            back.append((run + j, run + i))
-        elif i and score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-            back.append((-1, run + i))
-        else:
-            j -= 1
-            back.append((run + j, -1))
-    return path + back[::-1]
+        return size[: run + 1], size[: run + 1]
+    most = np.full(n + 1, -(1 << 30), np.int64)
+    most[: run + 1] = size[: run + 1]
+    doc = doc[run:]
+    added = np.concatenate([[0], np.cumsum(doc_weights[run:] * int(WORDS_PER_EDIT))])
+    row = size[run] - added
+    for i in range(run, n):
+        w = int(own_weights[i])
+        lost = w * int(WORDS_PER_EDIT - 1)
+        same = doc == own[i]
+        new = row - lost
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(same, w, -lost))
+        if same.any():
+            most[i + 1] = (row[:-1][same] + w).max()
+        row = np.maximum.accumulate(new + added) - added
+    return size, most
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
