@@ -216,3 +216,30 @@ def test_long_and_odd_texts_stay_linear():
     for text in ("`" * 20_000, "[" * 20_000, "$a " * 20_000, "> " * 200 + "x", "a " * 100_000, "x" * 300_000, "* " * 2_000, "<" * 20_000, "{%" * 20_000, "\\(" * 20_000):
         fill_markdown(text, AUTO)
     assert time.time() - start < 60
+
+
+@given(st.text(alphabet="ab `[](<>{}%#!-/\n", max_size=40))
+@settings(max_examples=1000)
+def test_unclosable_openings_change_no_word(text):
+    joined = units.join_adjacent(text)
+    assert units.atomic_words(text) == units._WORDS.findall(joined)
+    masked = units._closable(text, units._LINK_OPENINGS)
+    assert [m.span() for m in units._INLINE_WORDS.finditer(masked)] == [m.span() for m in units._INLINE_WORDS.finditer(text)]
+
+
+def test_atoms_stay_whole_in_long_texts():
+    import time
+
+    start = time.time()
+    atoms = ["`a. b c`", "[d. e](f g)", "<i class='x y'>", "{% a b %}"]
+    head = " ".join(atoms)
+    for noise in ("a < b ", "a [ b ", "{% a ", "{{ a ", "{# a ", "<!-- a ", "[x]( a "):
+        text = head + " Then done. " + noise * 20_000 + ("" if noise == "a < b " else head)
+        assert units.atomic_words(text)[:4] == atoms
+        assert units.sentences_atomic(text)[0] == head + " Then done."
+    assert units.atomic_words("1 << 2 " * 2_000 + "`a b`")[-1] == "`a b`"
+    assert "a. b c" in format_text("a < b and " * 3_000 + "x `a. b c` y", SEM).replace("\n`", "`")
+    for opening in ("[", "<", "<a", "{{", "{%", "{#", "<!--", "[x](", "[x]["):
+        units.atomic_words(opening * 50_000)
+        units.sentences_atomic(opening * 50_000)
+    assert time.time() - start < 60

@@ -77,16 +77,36 @@ def split_adjacent(text: str) -> str:
     return _SPACED.sub(lambda m: "".join(filter(None, m.groups())), text)
 
 
-def _hopeless(text: str) -> bool:
-    """Very many openings without ends, each of which would be followed to the end."""
-    return len(text) > 10_000 and any(text.count(a) > text.count(b) + 500 for a, b in (*zip(TAG_OPEN, TAG_CLOSE), ("<", ">"), ("[", "]")))
+#: Openings with the mark that each needs behind it, and the character without which an
+#: opening is none.  No other construct needs that character at such a place.
+_LINK_OPENINGS = [("[", "]", re.compile(r"\[")), ("](", ")", re.compile(r"(?<=\])\("))]
+_OPENINGS = [
+    *_LINK_OPENINGS, ("<", ">", re.compile("<")), ("<!--", "-->", re.compile("<(?=!--)")),
+    ("{%", "%}", re.compile(r"(?<=\{)%")), ("{#", "#}", re.compile(r"(?<=\{)#")), ("{{", "}}", re.compile(r"\{(?=\{)")),
+]
+
+
+def _closable(text: str, openings: list[tuple[str, str, re.Pattern]]) -> str:
+    """``text``, of equal length, without the openings behind the last of their closing
+    marks: each of them would be followed to the end of the text, for nothing."""
+    for mark, close, needed in openings:
+        if mark not in text:
+            continue
+        at = text.find(mark, text.rfind(close) + 1)
+        if at >= 0:
+            text = text[:at] + needed.sub("\0", text[at:])
+    return text
 
 
 def atomic_words(text: str) -> list[str]:
     """Words, where code, links, template tags and HTML tags stay whole."""
-    if not any(c in text for c in "`[<{") or _hopeless(text):
+    if not any(c in text for c in "`[<{"):
         return plain_words(text)
-    return _WORDS.findall(join_adjacent(text))
+    text = join_adjacent(text)
+    closable = _closable(text, _OPENINGS)
+    if closable is text:
+        return _WORDS.findall(text)
+    return [text[m.start() : m.end()] for m in _WORDS.finditer(closable)]
 
 
 #: Characters a sentence can end on; words with other ends need no look.
@@ -121,7 +141,7 @@ def sentences_plain(text: str, min_length: int = 0) -> list[str]:
 def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
     """Sentences as slices of the text, never cut inside code, links or addresses."""
     out: list[str] = []
-    if not min_length and (not any(c in text for c in ("`", "[", "<", "://", "www.")) or _hopeless(text)):
+    if not min_length and not any(c in text for c in ("`", "[", "<", "://", "www.")):
         # Without atoms only words that end on a mark need a look.
         m = _FIRST.search(text)
         for end in _CANDIDATE.finditer(text):
@@ -132,12 +152,12 @@ def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
             out.append(text[m.start() :].rstrip(WS_CHARS))
         return out
     start, size, end = None, -1, 0
-    for m in _INLINE_WORDS.finditer(text):
+    for m in _INLINE_WORDS.finditer(_closable(text, _LINK_OPENINGS)):
         if start is None:
             start = m.start()
         end = m.end()
         size += end - m.start() + 1
-        if size >= min_length and ends_sentence(m.group()):
+        if size >= min_length and ends_sentence(text[m.start() : end]):
             out.append(text[start:end])
             start, size = None, -1
     if start is not None:
