@@ -187,6 +187,21 @@ def test_protected_blocks(text, kind):
     assert md(text) == text
 
 
+def test_regions_of_a_document():
+    text = (
+        "---\nt: `no`\n---\n\n# H `a` {#id}\n\n```\n$x$ `no`\n\n<b> [[no]]\n```\n\n    `no`\n\n$$\nx `no`\n$$\n\n- <div>\n  `no`\n  </div>\n- b `c\n  d` e\n\n"
+        "> q $y$\n> <i a=b>\n\n| `k|l` | $m |\n|---|---|\n| $n$ | o$ |\n\n> [!note]\n> `no`\n\nterm\n: `no`\n\n:::n\n`no`\n:::\n"
+    )
+    found = blocks.protected_regions(text)
+    assert all(text[r.start : r.end] == r.source for r in found) and all(a.end <= b.start for a, b in zip(found, found[1:]))
+    assert [(r.kind, r.source) for r in found] == [
+        ("code_span", "`a`"), ("attribute_group_inline", "{#id}"), ("math_dollar_block", "$$\nx `no`\n$$\n"), ("raw_html_block", "- <div>\n  `no`\n  </div>\n"),
+        ("code_span", "`c\n  d`"), ("math_dollar_inline", "$y$"), ("raw_html_inline", "<i a=b>"), ("code_span", "`k|l`"), ("math_dollar_inline", "$n$"),
+        ("obsidian_callout", "> [!note]\n> `no`\n"), ("definition_list", "term\n: `no`\n"), ("colon_container", ":::n\n`no`\n:::\n"),
+    ]
+    assert {r.form for r in found if r.kind.endswith(("block", "callout", "list", "container"))} == {"block"}
+
+
 PIECES = ["# h", "a b c", "- x", "1. y", "> q", "```\nz\n```", "    i", "|a|b|\n|-|-|\n|1|2|", "***", "<b>t</b>", "$m$", "[l](u)", "\"s\" it's...", "{% t %}", "**b** _i_", "\\* e", "[r]: u", "", "***x", "`c", "a  \nb", ":::n\nv\n:::"]
 
 
@@ -243,3 +258,11 @@ def test_atoms_stay_whole_in_long_texts():
         units.atomic_words(opening * 50_000)
         units.sentences_atomic(opening * 50_000)
     assert time.time() - start < 60
+
+
+@given(st.lists(st.sampled_from([*PIECES, "$$\nx\n$$", "<div>\n$a$", "| `a|b` | c$ |", "> $x\n> y$"]), max_size=10), st.sampled_from(["\n", "\n\n"]))
+@settings(max_examples=300, deadline=None)
+def test_regions_of_documents_are_disjoint_and_exact(parts, joint):
+    text = source.normalize(joint.join(parts))[0]
+    found = blocks.protected_regions(text)
+    assert all(text[r.start : r.end] == r.source for r in found) and all(a.end <= b.start for a, b in zip(found, found[1:]))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from vellumry.formatting.regions import ATTRIBUTE_GROUP, BLOCK_TAGS, CLOSE_TAG, OPEN_TAG
+from vellumry.formatting.regions import ATTRIBUTE_GROUP, BLOCK_TAGS, CLOSE_TAG, OPEN_TAG, Region, arbitrate, cell_spans, inline_candidates
 
 
 @dataclass
@@ -555,3 +555,54 @@ def flatten(blocks: list[Block], parent: int = -1, depth: int = 0, out: list | N
         out.append((ord_, parent, depth, b.protected or b.kind, b.start, b.end, b.text))
         flatten(b.children, ord_, depth + 1, out)
     return out
+
+
+def protected_regions(text: str) -> list[Region]:
+    """The protected regions of a normalized document, in order and disjoint.
+
+    Protected blocks are whole lines with their ends, marks of containers included.  Code
+    and front matter hold no region.  Inline regions are searched in each paragraph,
+    heading and table cell that remains.
+    """
+    lines = text.split("\n")
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    skipped = 0
+    if lines[0] == "---":
+        skipped = next((k + 1 for k in range(1, len(lines)) if lines[k] in ("---", "...")), 0)
+    found: list[Region] = []
+    inline: list[Region] = []
+
+    def scan(a: int, b: int, heading: bool = False, tags: bool | None = None) -> None:
+        """Inline regions of text[a:b]; with ``tags`` only raw HTML, or all but it."""
+        for r in inline_candidates(text[a:b], heading):
+            if tags is None or tags == (r.kind == "raw_html_inline"):
+                inline.append(r._replace(start=r.start + a, end=r.end + a))
+
+    def walk(tree: list[Block]) -> None:
+        for b in tree:
+            first, last = b.start + skipped, b.end + skipped
+            begin, end = starts[first], min(starts[last + 1], len(text))
+            if b.protected:
+                found.append(Region(b.protected, "block", begin, end, text[begin:end]))
+            elif b.kind == "table":
+                scan(begin, end, tags=True)
+                for k in range(first, last + 1):
+                    for x, y in cell_spans(lines[k]):
+                        scan(starts[k] + x, starts[k] + y, tags=False)
+            elif b.kind in ("paragraph", "heading", "definition"):
+                # The marks of containers before the first line of text are not part of it.
+                bare, own = lines[first].rstrip(), b.text.split("\n")[0].rstrip()
+                at = max(0, bare.rfind(own)) if b.kind != "heading" or last > first else max(0, bare.find("#" * b.level))
+                scan(begin + at, end, b.kind == "heading")
+            walk(b.children)
+
+    try:
+        walk(parse("\n".join(lines[skipped:])))
+    except (RecursionError, IndexError, ValueError):  # no tree, so no blocks: paragraphs by blank lines
+        found, inline, at = [], [], 0
+        for paragraph in text.split("\n\n"):
+            scan(at, at + len(paragraph))
+            at += len(paragraph) + 2
+    return sorted(found + arbitrate(inline), key=lambda r: r.start)

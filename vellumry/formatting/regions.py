@@ -20,7 +20,8 @@ class Region(NamedTuple):
 
     @property
     def widths(self) -> list[int]:
-        return [len(x) for x in self.source.split("\n")]
+        """Per line of an inline region; a block has none."""
+        return [len(x) for x in self.source.split("\n")] if self.form == "inline" else []
 
 
 # Kinds of regions and their priorities; the lower wins.
@@ -191,6 +192,11 @@ def arbitrate(found: list[Region]) -> list[Region]:
 
 def inline_regions(text: str, heading: bool = False) -> list[Region]:
     """The protected inline regions of one paragraph or heading, in order."""
+    return arbitrate(inline_candidates(text, heading))
+
+
+def inline_candidates(text: str, heading: bool = False) -> list[Region]:
+    """What the inline scanners find in one scope, overlaps included."""
     if not MAY_HOLD.search(text):
         return []
     found: list[Region] = list(_simple(text, heading))
@@ -202,4 +208,19 @@ def inline_regions(text: str, heading: bool = False) -> list[Region]:
         found += _wikilinks(text)
     if "\\begin" in text:
         found += _environments(text)
-    return arbitrate(found)
+    return found
+
+
+def cell_spans(row: str) -> list[tuple[int, int]]:
+    """The cells of a table row; pipes in code, links and references do not divide."""
+    closed = arbitrate([r for r in inline_candidates(row) if r.kind in ("code_span", "math_myst_inline", "myst_role_inline", "wikilink_inline", "gitlab_reference_inline")])
+    out, start, k = [], 0, 0
+    for at, c in enumerate(row):
+        if c != "|":
+            continue
+        while k < len(closed) and closed[k].end <= at:
+            k += 1
+        if not (k < len(closed) and closed[k].start <= at) and not is_escaped(row, at):
+            out.append((start, at))
+            start = at + 1
+    return [(a, b) for a, b in [*out, (start, len(row))] if a < b]

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumry.formatting import blocks, regions, source, typography, units, wrap
+from vellumry.formatting import blocks, source, typography, units, wrap
 from vellumry.formatting.inline import unmask
 from vellumry.formatting.markdown import format_text
 from vellumry.options import FormatOptions
@@ -94,17 +94,11 @@ REGION = "array<struct<idx int, kind string, form string, start int, end int, so
 
 
 def _regions(text: str) -> list[dict]:
-    out: list[dict] = []
-    at = 0
-    for paragraph in text.split("\n\n"):
-        for r in regions.inline_regions(paragraph):
-            out.append({"idx": len(out), "kind": r.kind, "form": r.form, "start": at + r.start, "end": at + r.end, "source": r.source, "widths": r.widths})
-        at += len(paragraph) + 2
-    return out
+    return [{"idx": k, "kind": r.kind, "form": r.form, "start": r.start, "end": r.end, "source": r.source, "widths": r.widths} for k, r in enumerate(blocks.protected_regions(text))]
 
 
-def inline_regions(c: Column) -> Column:
-    """Protected inline regions of each paragraph of a normalized document."""
+def protected_regions(c: Column) -> Column:
+    """Protected blocks and inline regions of a normalized document."""
     return of(_regions, REGION)(c)
 
 

@@ -77,8 +77,8 @@ def blocks(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
 
 
 def regions(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, idx, kind, form, start, end, source, widths): protected inline regions."""
-    return df.select(*keys, F.inline(arrow.inline_regions(text.normalize_source(F.col(text_col)))))
+    """(keys, idx, kind, form, start, end, source, widths): protected blocks and inline regions."""
+    return df.select(*keys, F.inline(arrow.protected_regions(text.normalize_source(F.col(text_col)))))
 
 
 #: [text][label], [text][] and [label], not followed by a target and not a definition.
