@@ -61,6 +61,32 @@ def test_copy_differences(spark, exact_rows, exact):
         assert got[k][0] == cost if exact else got[k][0] >= cost
 
 
+def test_transport_is_least(seed=6):
+    rng = np.random.default_rng(seed)
+    for _ in range(60):
+        n, m = map(int, rng.integers(1, 6, 2))
+        cost, supply, demand = rng.integers(0, 4, (n, m)).astype(float), rng.integers(1, 5, n).tolist(), rng.integers(1, 5, m).tolist()
+        demand[-1] += max(0, sum(supply) - sum(demand))
+        flow = copydiff.transport(cost, supply, demand)
+        each = np.repeat(np.repeat(cost, supply, axis=0), demand, axis=1)
+        assert flow.min() >= 0 and flow.sum(axis=1).tolist() == supply and (flow.sum(axis=0) <= demand).all()
+        assert (flow * cost).sum() == sum(each[i, j] for i, j in enumerate(copydiff.assign(each)))
+
+
+def test_hot_keys_are_paired_at_least_cost(spark):
+    rng = random.Random(8)
+    make = lambda n: [("hot", f"a{rng.randrange(40)}" if rng.random() < 0.8 else None, f"b{rng.randrange(60)}", rng.choice(["same", "same"])) for _ in range(n)] + [
+        ("parts", f"x{k // 3}.{rng.randrange(3)}", f"y{k // 3}.{rng.randrange(3)}", f"z{k}.{rng.randrange(2)}") for k in range(n // 2)]
+    left, right = (spark.createDataFrame(make(n), CASE) for n in (330, 300))
+    totals = {}
+    for rows_, most in ((100_000, 0), (20, 1500), (20, 0)):
+        found = copydiff.copy_differences(left, right, ["id"], ["a", "b", "c"], exact_rows=rows_, most=most).collect()
+        totals[rows_, most] = {k: tuple(sum(r["n"] for r in found if r["id"] == k and (r["diff"] == x if x else r["diff"] in "abc")) for x in (None, "only_left", "only_right")) for k in ("hot", "parts")}
+    assert totals[20, 1500] == totals[100_000, 0]
+    for k, (cost, *ends) in totals[20, 0].items():  # parts too large for that: all rows, at some excess
+        assert cost >= totals[20, 1500][k][0] and ends == list(totals[20, 1500][k][1:])
+
+
 def test_copy_differences_of_empty_tables(spark):
     none, one = spark.createDataFrame([], CASE), spark.createDataFrame([("k", "1", None, "")], CASE)
     diff = lambda a, b: rows(copydiff.copy_differences(a, b, ["id"], ["a", "b", "c"]))
