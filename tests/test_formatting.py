@@ -237,7 +237,7 @@ def test_long_and_odd_texts_stay_linear():
 @settings(max_examples=1000)
 def test_unclosable_openings_change_no_word(text):
     joined = units.join_adjacent(text)
-    assert units.atomic_words(text) == units._WORDS.findall(joined)
+    assert [m.span() for m in units._WORDS.finditer(units._closable(joined, units._OPENINGS))] == [m.span() for m in units._WORDS.finditer(joined)]
     masked = units._closable(text, units._LINK_OPENINGS)
     assert [m.span() for m in units._INLINE_WORDS.finditer(masked)] == [m.span() for m in units._INLINE_WORDS.finditer(text)]
 
@@ -266,3 +266,15 @@ def test_regions_of_documents_are_disjoint_and_exact(parts, joint):
     text = source.normalize(joint.join(parts))[0]
     found = blocks.protected_regions(text)
     assert all(text[r.start : r.end] == r.source for r in found) and all(a.end <= b.start for a, b in zip(found, found[1:]))
+
+
+@given(st.lists(st.sampled_from(["a", "`b c`", "[d](e \"f\")", "*g*", "x.\ny", "# h\n", "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\U000f0000", "$m$"]), max_size=12))
+@settings(deadline=None)
+def test_authored_private_characters_are_like_any_other(parts):
+    text = " ".join(parts)
+    other = {0xE000 + k: chr(0xE100 + k) for k in range(5)}
+    assert format_text(text, AUTO).translate(other) == format_text(text.translate(other), AUTO)
+
+
+def test_a_document_with_a_private_character_is_formatted():
+    assert md("icon \ue001\nand `a\ue002b` text\n") == "icon \ue001 and `a\ue002b` text\n"

@@ -30,6 +30,18 @@ _PUNCTUATION = re.compile(r"[^\w\s]|_")
 Definitions = dict[str, tuple[str, str]]
 
 
+def escape_reserved(text: str) -> tuple[str, dict[int, str]]:
+    """``text`` with other private characters, that it does not hold, for authored
+    stand-ins; and the table that brings them back."""
+    authored = sorted(set(RESERVED.findall(text)))
+    if not authored:
+        return text, {}
+    held = set(text)
+    spare = (chr(n) for n in range(0xF0000, 0xFFFFE) if chr(n) not in held)
+    pairs = [(c, next(spare)) for c in authored]
+    return text.translate({ord(c): s for c, s in pairs}), {ord(s): c for c, s in pairs}
+
+
 def label_key(label: str) -> str:
     return " ".join(label.split()).lower()
 

@@ -183,13 +183,13 @@ def fill_markdown(text: str, options: FormatOptions = FormatOptions(), wrapper:
         lead = ""
         if not front:
             lead, rest = source.leading_blanks(rest)
-        if inline.RESERVED.search(rest):
-            return source.finalize(body, had_bom)
+        rest, authored = inline.escape_reserved(rest)
         tree = blocks.parse(units.space_blocks_in_tags(rest))
         own = wrapper or wrap.line_wrapper(options.width, options.semantic)
         done = Renderer(options, definitions(tree), own).document(tree)
         joint = "\n" if front and rest.startswith("\n") else ""
-        return source.finalize(front + joint + lead + inline.unmask(done), had_bom)
+        done = inline.unmask(done).translate(authored)
+        return source.finalize(front + joint + lead + done, had_bom)
     except (ValueError, IndexError, KeyError, AttributeError, RecursionError, StopIteration, RuntimeError):
         return source.finalize(body, had_bom)
 

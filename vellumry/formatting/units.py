@@ -86,6 +86,10 @@ _OPENINGS = [
 ]
 
 
+#: Shorter texts are scanned as they are: the words are the same, and the scan is cheap.
+_SHORT = 1000
+
+
 def _closable(text: str, openings: list[tuple[str, str, re.Pattern]]) -> str:
     """``text``, of equal length, without the openings behind the last of their closing
     marks: each of them would be followed to the end of the text, for nothing."""
@@ -103,7 +107,7 @@ def atomic_words(text: str) -> list[str]:
     if not any(c in text for c in "`[<{"):
         return plain_words(text)
     text = join_adjacent(text)
-    closable = _closable(text, _OPENINGS)
+    closable = text if len(text) < _SHORT else _closable(text, _OPENINGS)
     if closable is text:
         return _WORDS.findall(text)
     return [text[m.start() : m.end()] for m in _WORDS.finditer(closable)]
@@ -152,7 +156,7 @@ def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
             out.append(text[m.start() :].rstrip(WS_CHARS))
         return out
     start, size, end = None, -1, 0
-    for m in _INLINE_WORDS.finditer(_closable(text, _LINK_OPENINGS)):
+    for m in _INLINE_WORDS.finditer(text if len(text) < _SHORT else _closable(text, _LINK_OPENINGS)):
         if start is None:
             start = m.start()
         end = m.end()
