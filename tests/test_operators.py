@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellumry.functions import text
 from vellumry.operators import copydiff, documents, incremental, manifest, references
 from vellumry.options import FormatOptions
-from vellumry.runtime import checkpointed, hot_buckets, micros, running, split_hot
+from vellumry.runtime import bucket_of, checkpointed, hot_buckets, micros, running, split_hot
 
 CASE = "id string, a string, b string, c string"
 
@@ -125,7 +125,7 @@ def test_running(spark, how, descending):
 
 def test_hot_buckets_find_the_hot_key(spark):
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
-    hot = hot_buckets(df, ["k"])
+    hot = hot_buckets(df, ["k"], rows=5_000)
     cold, warm = split_hot(df, ["k"], hot)
     assert warm.where("k = 'hot'").count() == 20_000 and cold.where("k = 'hot'").count() == 0
     assert cold.count() + warm.count() == 60_000 and warm.first()["salts"] > 1
@@ -144,13 +144,16 @@ def test_micros_do_not_depend_on_the_zone(spark):
 # -- references ----------------------------------------------------------------------------
 
 
-def test_orphans_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_orphans_against_brute_force(spark, monkeypatch, hot):
     rng = random.Random(11)
     ts = lambda n: None if n is None else f"2025-01-{1 + n // 24:02d} {n % 24:02d}:00:00"
     records = [(rng.choice("abc"), a := rng.randrange(100), rng.choice([None, a + rng.randrange(-5, 60)])) for _ in range(40)]
     refs = [(rng.choice(["a", "b", "c", "d", None]), rng.randrange(100), i) for i in range(150)]
     rec = spark.createDataFrame([(k, ts(a), ts(b)) for k, a, b in records], "k string, a string, b string").select("k", F.to_timestamp_ntz("a").alias("a"), F.to_timestamp_ntz("b").alias("b"))
     ref = spark.createDataFrame([(k, ts(t), i) for k, t, i in refs], "k string, t string, i int").select(F.col("k").alias("key"), micros(F.to_timestamp_ntz("t")).alias("at"), "i")
+    if hot:
+        monkeypatch.setattr(references, "hot_buckets", lambda df, keys: df.select(bucket_of(keys).alias("bucket")).distinct().withColumn("salts", F.lit(3)))
     got = {r["i"] for r in references.orphans(ref.unionByName(ref), references.existence(rec, F.col("k"), F.col("a"), F.col("b"))).collect()}
     assert got == {i for k, t, i in refs if k is not None and not any(k == r and a <= t and (b is None or b > t) for r, a, b in records)}
 
@@ -198,7 +201,7 @@ def brute_replay(runs, files):
 @pytest.mark.parametrize("hot", [False, True])
 def test_replay_against_brute_force(spark, monkeypatch, hot):
     if hot:  # every bucket counts as hot
-        monkeypatch.setattr(incremental, "hot_buckets", lambda df, keys: df.select(F.pmod(F.xxhash64(*keys), F.lit(4096)).cast("int").alias("bucket")).distinct().withColumn("salts", F.lit(3)))
+        monkeypatch.setattr(incremental, "hot_buckets", lambda df, keys: df.select(bucket_of(keys).alias("bucket")).distinct().withColumn("salts", F.lit(3)))
     rng = random.Random(2)
     hashes = ["0a", "A", "00b", "c", "zz", "", None, "ffffffffffffffff", "10000000000000000"]
     runs = [(i, rng.choice(["r1", "r2"]), rng.choice([1, 1, 1, 2, None]), rng.choice(["f", "0F", "e", None]), rng.choice([None, rng.choices(hashes, k=4)]), rng.choice([0, 0, 1, None]), i * 10) for i in range(24)]
@@ -248,6 +251,25 @@ def test_ledger_keeps_what_is_enqueued_while_leased(spark, tmp_path):
     assert [r["state"] for r in ledger.state(7).collect()] == ["done"]
 
 
+def test_ledger_is_compacted(spark, tmp_path):
+    ledger = incremental.Ledger(spark, f"file://{tmp_path}/shared")
+    items = lambda *names: spark.createDataFrame([(n,) for n in names], "item string")
+    state = lambda now: {r["item"]: r["state"] for r in ledger.state(now).collect()}
+    ledger.enqueue(items("a", "b", "c"), "one", 0)
+    first = ledger.lease(1, seconds=5)
+    ledger.complete(first, 2, items("a"))
+    want = [state(3), state(20)]
+    ledger.compact()
+    assert [state(3), state(20)] == want and want[1] == {"a": "done", "b": "pending", "c": "pending"}
+    ledger.enqueue(items("a"), "two", 21)
+    second = ledger.lease(22, seconds=5)
+    ledger.compact()
+    assert second > first and state(23) == {"a": "leased", "b": "leased", "c": "leased"}
+    ledger.complete(second, 24)
+    ledger.compact()
+    assert state(25) == dict.fromkeys("abc", "done") and len(ledger.folder.names("events")) <= 4
+
+
 def test_replay_of_empty_tables(spark, data):
     t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
     assert incremental.replay(t("cache_manifests").limit(0), t("tree_files")).count() == 0

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellumry.runtime import hot_buckets, micros, running, salted_pair, split_hot
+from vellumry.runtime import found_hot, hot_buckets, micros, running, salted_pair, split_hot
 
 
 def hex64(column: Column) -> Column:
@@ -109,17 +110,19 @@ def replay(runs: DataFrame, versions: DataFrame) -> DataFrame:
     hot buckets take another way: time buckets instead of windows, and a salted join.
     """
     files, starts = file_versions(versions), run_starts(runs)
-    hot = hot_buckets(files.select("root").unionByName(starts.select("root")), ["root"])
-    files, hot_files = split_hot(files, ["root"], hot)
-    starts, hot_starts = split_hot(starts, ["root"], hot)
-    cold = _pending(current_intervals(files.repartition("root")), fenced_runs(starts.repartition("root")), ["root"])
-    many = current_intervals(hot_files, hot=True)
-    salts = hot_starts.groupBy("root").agg(F.max("salts").alias("salts"))
-    few = fenced_runs(hot_starts.drop("salts"), hot=True).join(salts, "root")
-    warm = _pending(*salted_pair(many, few, F.xxhash64("path")), ["root", "salt"])
+    hot = found_hot(hot_buckets(files.select("root").unionByName(starts.select("root")), ["root"]))
+    if hot is not None:
+        files, hot_files = split_hot(files, ["root"], hot)
+        starts, hot_starts = split_hot(starts, ["root"], hot)
+    found = _pending(current_intervals(files.repartition("root")), fenced_runs(starts.repartition("root")), ["root"])
+    if hot is not None:
+        many = current_intervals(hot_files, hot=True)
+        salts = hot_starts.groupBy("root").agg(F.max("salts").alias("salts"))
+        few = fenced_runs(hot_starts.drop("salts"), hot=True).join(salts, "root")
+        found = found.unionByName(_pending(*salted_pair(many, few, F.xxhash64("path")), ["root", "salt"]))
     committed = runs.where((F.col("exit_code") == 0) & (F.col("version") == 1)).select(F.col("run_id").alias("base_run"), F.explode("hashes").alias("h"))
     done = committed.select("base_run", hex64(F.col("h")).alias("done_key")).where(F.col("done_key").isNotNull())
-    return cold.unionByName(warm).join(done, ["base_run", "done_key"], "left_anti").select("run_id", "path")
+    return found.join(done, ["base_run", "done_key"], "left_anti").select("run_id", "path")
 
 
 #: Events of one instant in the order in which they take effect.
@@ -194,13 +197,15 @@ def _events(runs: DataFrame, versions: DataFrame) -> DataFrame:
         _root("project_root"), micros("started_at").alias("at"), F.col("run_id").alias("token"), hex64(F.col("formatter_fingerprint")).alias("key"),
         (F.col("exit_code") == 0).alias("ok"), "version", "hashes",
     ).where(F.col("at").isNotNull())
-    hot = hot_buckets(files.select("root").unionByName(rows.select("root")), ["root"])
-    cold_files, hot_files = split_hot(files, ["root"], hot)
-    one = F.lit(1).alias("salts")
-    cold = current_intervals(cold_files).select("root", "path", "done_key", "start", "stop", one)
-    current = cold.unionByName(current_intervals(hot_files, hot=True).select("root", "path", "done_key", "start", "stop", "salts"))
-    cold_rows, hot_rows = split_hot(rows, ["root"], hot)
-    rows = cold_rows.select("*", one).unionByName(hot_rows)
+    hot = found_hot(hot_buckets(files.select("root").unionByName(rows.select("root")), ["root"]))
+    one, shown = F.lit(1).alias("salts"), ["root", "path", "done_key", "start", "stop"]
+    if hot is None:
+        current, rows = current_intervals(files).select(*shown, one), rows.select("*", one)
+    else:
+        cold_files, hot_files = split_hot(files, ["root"], hot)
+        cold_rows, hot_rows = split_hot(rows, ["root"], hot)
+        current = current_intervals(cold_files).select(*shown, one).unionByName(current_intervals(hot_files, hot=True).select(*shown, "salts"))
+        rows = cold_rows.select("*", one).unionByName(hot_rows)
     none = lambda kind: F.lit(None).cast(kind)
     part = lambda c: F.pmod(c, F.col("salts")).cast("int").alias("salt")
     ends = F.array(F.struct(F.col("start").alias("at"), F.lit(ENQUEUE).alias("kind")), F.struct(F.col("stop").alias("at"), F.lit(WITHDRAW).alias("kind")))
@@ -249,32 +254,80 @@ def ledger_replay(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return events.mapInArrow(_drive, "run_id bigint, path string")
 
 
+class SharedFolder:
+    """A folder on any file system that Hadoop knows, as all machines see it."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path, self._jvm = path.rstrip("/"), spark._jvm
+        root = self._at("")
+        self._fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = self._fs.getScheme() == "file"
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, below: str) -> list[str]:
+        at = self._at(below)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def claim(self, name: str) -> bool:
+        """Create an empty file; False if it exists.  Of several callers one succeeds."""
+        if self._local:  # Hadoop's local file system looks first and creates then
+            path = urlparse(self.path).path + "/" + name
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            try:
+                os.close(os.open(path, os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        if self.exists(name):
+            return False
+        try:
+            self._fs.create(self._at(name), False).close()
+        except Exception:  # noqa: BLE001 - someone else was faster, or the storage is away
+            if not self.exists(name):
+                raise
+            return False
+        return True
+
+
 class Ledger:
-    """A ledger of work items in a shared folder.
+    """A ledger of work items in a folder that all machines share.
 
     States of an item: pending, leased (until ``expires``), done.  Every ``lease``
-    call takes the next fencing token by creating the token's folder atomically; a
-    ``complete`` under a token that is not the item's newest is ignored when the state
-    is read.  Files are written under names derived from the token and renamed into
-    place, so a retried task overwrites its own file and nothing is counted twice.
-    The state is a DataFrame computed from the files; nothing is held by the driver.
+    call takes the next fencing token by creating the token's file, which only one caller
+    can; a ``complete`` under a token that is not the item's newest is ignored when the
+    state is read.  Files are written under names derived from the token, so a retried
+    step finds its own result and nothing is counted twice.  The state is a DataFrame
+    computed from the files; nothing is held by the driver.  ``compact`` bounds the files.
     """
 
     SCHEMA = "item string, kind string, token bigint, at double, expires double"
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        os.makedirs(f"{folder}/events", exist_ok=True)
-        os.makedirs(f"{folder}/tokens", exist_ok=True)
+        self.spark, self.folder = spark, SharedFolder(spark, folder)
 
     def _write(self, df: DataFrame, name: str) -> None:
-        target = f"{self.folder}/events/{name}"
-        if os.path.exists(f"{target}/_SUCCESS"):
-            return  # a retry of a step that had finished
-        df.write.mode("overwrite").parquet(target)
+        if not self.folder.exists(f"events/{name}/_SUCCESS"):  # else a retry of a step that had finished
+            df.write.mode("overwrite").parquet(f"{self.folder.path}/events/{name}")
+
+    def _finished(self) -> list[str]:
+        """Names of finished parts: the newest base and what it does not cover."""
+        names = [n for n in self.folder.names("events") if self.folder.exists(f"events/{n}/_SUCCESS")]
+        bases = [n for n in names if n.startswith("base-")]
+        if not bases:
+            return names
+        covered = {r["name"] for r in self.spark.read.parquet(f"{self.folder.path}/covers/{bases[-1]}").collect()}
+        return [n for n in names if n not in covered]
 
     def events(self) -> DataFrame:
-        finished = [f"{self.folder}/events/{d}" for d in sorted(os.listdir(f"{self.folder}/events")) if os.path.exists(f"{self.folder}/events/{d}/_SUCCESS")]
+        finished = [f"{self.folder.path}/events/{n}" for n in self._finished()]
         return self.spark.read.schema(self.SCHEMA).parquet(*finished) if finished else self.spark.createDataFrame([], self.SCHEMA)
 
     def enqueue(self, items: DataFrame, batch: str, at: float) -> None:
@@ -283,13 +336,10 @@ class Ledger:
         self._write(rows.select("item", F.lit("enqueue").alias("kind"), F.lit(0).cast("bigint").alias("token"), F.lit(float(at)).alias("at"), F.lit(None).cast("double").alias("expires")), f"enqueue-{batch}")
 
     def _next_token(self) -> int:
-        token = 1 + max((int(t) for t in os.listdir(f"{self.folder}/tokens")), default=0)
-        while True:
-            try:
-                os.mkdir(f"{self.folder}/tokens/{token}")
-                return token
-            except FileExistsError:
-                token += 1
+        token = 1 + max((int(t) for t in self.folder.names("tokens")), default=0)
+        while not self.folder.claim(f"tokens/{token}"):
+            token += 1
+        return token
 
     def state(self, now: float) -> DataFrame:
         """(item, state, token): done wins only under the item's newest lease token.
@@ -323,3 +373,20 @@ class Ledger:
         """Mark the items of a lease done; the file's name depends on the token only."""
         mine = self.leased(token) if items is None else items.select("item").join(self.leased(token), "item", "left_semi")
         self._write(mine.select("item", F.lit("done").alias("kind"), F.lit(token).cast("bigint").alias("token"), F.lit(float(now)).alias("at"), F.lit(None).cast("double").alias("expires")), f"done-{token:012d}")
+
+    def compact(self) -> None:
+        """Keep one row per item and kind, which is all that the state depends on.
+
+        The new base names the parts it covers before it is written; until it is finished
+        the old parts count.  Parts covered by the base before it are removed.  A batch
+        or token that has been compacted must not be written again.
+        """
+        before = self._finished()
+        token = self._next_token()
+        old = [n for n in self.folder.names("events") if n not in before]
+        newest = self.events().groupBy("item", "kind").agg(F.max(F.struct("token", "at", "expires")).alias("n")).select("item", "kind", "n.*")
+        name = f"base-{token:012d}"
+        self.spark.createDataFrame([(n,) for n in before], "name string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder.path}/covers/{name}")
+        self._write(newest, name)
+        for n in old:
+            self.folder.remove(f"events/{n}")

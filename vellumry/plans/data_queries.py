@@ -33,6 +33,10 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("diff").agg(F.count(F.lit(1)).alias("n_ids"))
 
 
+def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return references.mapping_references(table(spark, d, "discovered_tests"), table(spark, d, "test_mapping"), table(spark, d, "mapping_checks"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return references.mapping_orphans(table(spark, d, "discovered_tests"), table(spark, d, "test_mapping"), table(spark, d, "mapping_checks"))
 
@@ -43,10 +47,14 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_current(spark: SparkSession, d: str) -> DataFrame:
     """Keys that are referenced and do not exist once all changes have happened."""
-    every, deltas = references.mapping_references(table(spark, d, "discovered_tests"), table(spark, d, "test_mapping"), table(spark, d, "mapping_checks"))
-    names = every.where(F.col("at").isNotNull()).groupBy("key").agg(F.max("src_table").alias("src_table"), F.max("ref_key").alias("ref_key"))
-    state = references.current_orphans(references.signed_counts(every, deltas))
-    return state.join(names, "key").select("src_table", "ref_key", "n_refs")
+    every, deltas = _references(spark, d)
+    state = references.current_orphans(references.signed_counts(every, deltas, "src_table", "ref_key"))
+    return state.select("src_table", "ref_key", "n_refs")
+
+
+def p3_history(spark: SparkSession, d: str) -> DataFrame:
+    """Referenced keys that do not exist, at the end of each month."""
+    return references.orphan_history(*_references(spark, d), "src_table")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +65,7 @@ def p4_work_per_run(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_all_copies, p1_summary, p3_found, p3_report, p3_current, p4_found, p4_work_per_run)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_all_copies, p1_summary, p3_found, p3_report, p3_current, p3_history, p4_found, p4_work_per_run)}
 
 _P1 = """
 WITH u AS (SELECT * FROM (SELECT id, expected_stdout, before_tree, after_tree,
@@ -130,7 +138,25 @@ UNION ALL
 SELECT 'mapping_checks', entry, count(*) FROM entries WHERE entry NOT IN (SELECT k FROM recorded WHERE k IS NOT NULL) GROUP BY entry
 """
 
+_P3_HISTORY = """
+WITH tests AS (SELECT DISTINCT suite, file, class_name, function, discovered_at, removed_at, test_id FROM discovered_tests WHERE suite IN ('python', 'rust') AND discovered_at IS NOT NULL AND (removed_at IS NULL OR removed_at > discovered_at)),
+ ids AS (SELECT *, CASE suite WHEN 'python' THEN ['py', file, class_name, function] ELSE ['rs', file, function] END AS k FROM tests),
+ live AS (SELECT * FROM test_mapping WHERE status IN ('mapped', 'partial') AND rust_file IS NOT NULL),
+ refs AS (SELECT DISTINCT 'test_mapping' AS src, ['py', python_file, python_class, python_function] AS k, checked_at, mapping_id AS id, sync_period, 'p' AS f FROM test_mapping WHERE python_file IS NOT NULL AND python_function IS NOT NULL
+   UNION SELECT 'test_mapping', ['rs', rust_file, rust_function], checked_at, mapping_id, sync_period, 'r' FROM live WHERE rust_function IS NOT NULL
+   UNION SELECT 'test_mapping', ['rs', rust_file, fn], checked_at, mapping_id, sync_period, 'rs' FROM (SELECT *, unnest(rust_functions) AS fn FROM live) WHERE fn IS NOT NULL
+   UNION SELECT 'mapping_checks', ['map', e], checked_at, check_id, sync_period, 'b' FROM (SELECT *, unnest(broken_rust_refs) AS e FROM mapping_checks) WHERE e IS NOT NULL),
+ moves AS (SELECT src, k, strftime(checked_at, '%Y-%m') AS m, 1 AS r, 0 AS e FROM refs WHERE checked_at IS NOT NULL
+   UNION ALL SELECT 'test_mapping', k, strftime(discovered_at, '%Y-%m'), 0, 1 FROM ids
+   UNION ALL SELECT 'test_mapping', k, strftime(removed_at, '%Y-%m'), 0, -1 FROM ids WHERE removed_at IS NOT NULL
+   UNION ALL SELECT 'mapping_checks', ['map', rust_file || '::' || n], strftime(checked_at, '%Y-%m'), 0, 1 FROM (SELECT rust_file, checked_at, unnest(list_concat([rust_function], coalesce(rust_functions, []))) AS n FROM test_mapping) WHERE n IS NOT NULL AND rust_file IS NOT NULL AND checked_at IS NOT NULL),
+ months AS (SELECT DISTINCT src, m FROM moves),
+ stands AS (SELECT o.src, o.m, v.k, sum(v.r) AS r, sum(v.e) AS e FROM months o JOIN moves v ON v.src = o.src AND v.m <= o.m GROUP BY ALL)
+SELECT src AS src_table, m AS period, count_if(r > 0 AND e <= 0)::bigint AS n_keys FROM stands GROUP BY ALL
+"""
+
 ORACLES = {
+    "p3_history": _P3_HISTORY,
     "p3_current": _P3_NOW,
     "p1_found": _P1 + "SELECT id, diff FROM found",
     "p1_summary": _P1 + "SELECT diff, count(*) AS n_ids FROM found GROUP BY diff",

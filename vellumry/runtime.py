@@ -29,11 +29,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that setting is
-    absent (tests, a laptop) a folder of this machine is chosen.
+    The cluster names it in ``spark.checkpoint.dir``.  A session on this machine alone
+    (``local[..]``) may do without and gets a folder of its own; elsewhere it is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = tempfile.mkdtemp(prefix="vellumry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", given)
     context = spark.sparkContext
@@ -56,24 +58,35 @@ def micros(column: Column | str) -> Column:
     return (day * 86_400 + seconds) * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
-def bucket_of(keys: list[str], buckets: int = 4096) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+#: Hash buckets of keys; a bucket is hot from so many rows on, or from so many times the mean.
+BUCKETS, HOT_ROWS, HOT_MEANS = 1 << 14, 1_000_000, 4
 
 
-def hot_buckets(df: DataFrame, keys: list[str], share: int = 200, parts: int = 64) -> DataFrame:
-    """Hash buckets of the keys that hold at least one row in ``share``, with their salts.
+def bucket_of(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-    A key with that share of the rows makes its bucket hot, so no hot key is missed.  At
-    most ``share`` buckets can be hot, whatever the size of ``df``: the result (bucket,
-    salts) is safe to broadcast.  Finding it shuffles one counter per bucket and task.
+
+def hot_buckets(df: DataFrame, keys: list[str], rows: int = HOT_ROWS, most_salts: int = 1024) -> DataFrame:
+    """Hash buckets of the keys with more rows than one task should get, with their salts.
+
+    A bucket is hot from ``rows`` rows on; where the mean bucket comes near that, from
+    ``HOT_MEANS`` times the mean on.  So at most a fourth of the 16,384 buckets can be hot
+    whatever the size of ``df``, and the result (bucket, salts) is safe to broadcast.
+    Finding it shuffles one counter per bucket and task.
     """
     counts = df.groupBy(bucket_of(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # at most 4096 rows
-    return (
-        counts.withColumn("n_all", F.sum("n").over(every))
-        .where((F.col("n") * share >= F.col("n_all")) & (F.col("n_all") > 100 * share))
-        .select("bucket", F.least(F.ceil(F.col("n") * parts / F.col("n_all")), F.lit(parts)).cast("int").alias("salts"))
-    )
+    every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # at most BUCKETS rows
+    size = F.greatest(F.lit(rows), F.ceil(F.sum("n").over(every) * HOT_MEANS / BUCKETS))
+    return counts.withColumn("size", size).where("n > size").select("bucket", F.least(F.ceil(F.col("n") / F.col("size")), F.lit(most_salts)).cast("int").alias("salts"))
+
+
+def found_hot(hot: DataFrame) -> DataFrame | None:
+    """The result of ``hot_buckets``, worked out once; None if no bucket is hot.
+
+    At most a fourth of ``BUCKETS`` small rows come to the driver.
+    """
+    rows = hot.collect()
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
