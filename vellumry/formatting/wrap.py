@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 from enum import Enum
+from itertools import accumulate
 
 from vellumry.formatting import units
 from vellumry.formatting.units import SPACES, strip
@@ -19,8 +21,6 @@ _BULLET = re.compile(r"[-*+>]|#+")
 _HARD_BREAK = re.compile(r"\\\n|  +\n")
 _PARAGRAPHS = re.compile(r"\n{2,}")
 _MISPLACED_CLOSER = re.compile(r"%\}\s*(\{%\s*/)|#\}\s*(\{#\s*/)|\}\}\s*(\{\{\s*/)|-->\s*(<!--\s*/)")
-#: Backslashes before punctuation are not part of the printed width.
-_ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
 def escape_word(word: str) -> str:
@@ -50,22 +50,16 @@ def greedy_lines(text: str, width: int, first: int = 0, other: int = 0, splitter
     if collapse and first + len(text) <= width and not any(x in text for x in ("}{", "><")):
         whole = units.collapse(text)  # it fits as it is: no words to count
         return [whole] if whole else []
+    words = splitter(text)
+    ends = list(accumulate(len(w) + 1 for w in words))  # where each word ends on an endless line
     out: list[str] = []
-    line: list[str] = []
-    used = first
-    for word in splitter(text):
-        gap = 1 if line else 0
-        if used + gap + len(word) <= width:
-            line.append(word)
-            used += gap + len(word)
-            continue
-        if line:
-            out.append(" ".join(line))
-        if markdown and out:
-            word = escape_word(word)
-        line, used = [word], other + len(word)
-    if line:
-        out.append(" ".join(line))
+    k, taken = 0, first if words and first + len(words[0]) <= width else other
+    while k < len(words):
+        head = escape_word(words[k]) if markdown and out else words[k]
+        room = width - taken + 1 - (len(head) - len(words[k])) + (ends[k - 1] if k else 0)
+        stop = max(k + 1, bisect_right(ends, room, k))
+        out.append(" ".join([head, *words[k + 1 : stop]]))
+        k, taken = stop, other
     return out
 
 
@@ -83,16 +77,16 @@ def sentence_lines(text: str, width: int, first_indent: str, other_indent: str,
     if width <= 0:
         return first_indent + units.collapse(text)
     out: list[str] = []
-    base = len(first_indent)
     for sentence in split_sentences(text):
-        held = len(out[-1]) if out and len(out[-1]) < short else 0
-        new = greedy_lines(sentence, width, base + held, len(other_indent), splitter, markdown)
-        base = len(other_indent)
-        if held and new and held + 1 + len(new[0]) <= width:
-            out[-1] += " " + new.pop(0)
-        elif markdown and out and new:
-            new[0] = escape_first(new[0])
-        out += new
+        last = out.pop() if out and len(out[-1]) < short else None
+        start = len(other_indent if out or last else first_indent) + len(last or "")
+        head, *rest = greedy_lines(sentence, width, start, len(other_indent), splitter, markdown) or [""]
+        if last and head and len(last) + 1 + len(head) <= width:
+            head = f"{last} {head}"
+        else:
+            out += [last] if last else []
+            head = escape_first(head) if markdown and out else head
+        out += [line for line in (head, *rest) if line]
     done = "\n".join((other_indent if k else first_indent) + line for k, line in enumerate(out))
     return units.split_adjacent(done)
 
