@@ -304,8 +304,8 @@ def test_covered_against_brute_force(spark):
     make = lambda n: [(rng.choice("xy"), a := rng.randrange(40), a + rng.randrange(6), i) for i in range(n)]
     left, right = make(60), make(25)
     schema = "k string, start bigint, end bigint, i int"
-    got = rows(documents.covered(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k"))
-    assert got == Counter(x for x in left if any(x[0] == y[0] and y[1] < y[2] and (x[1] < y[2] and y[1] < x[2] if x[1] < x[2] else y[1] < x[1] < y[2]) for y in right))
+    got = rows(documents.covered(spark.createDataFrame(left * 2, schema), spark.createDataFrame(right, schema), "k"))
+    assert got == Counter(x for x in left * 2 if any(x[0] == y[0] and y[1] < y[2] and (x[1] < y[2] and y[1] < x[2] if x[1] < x[2] else y[1] < x[1] < y[2]) for y in right))
 
 
 def test_format_documents(spark):
@@ -332,7 +332,7 @@ def test_native_functions_on_very_long_texts(spark):
     assert documents.lines(df, ["id"]).groupBy("kind").count().count() > 2
     assert documents.sentences(df, ["id"]).count() == 100_000 + sum(bool(t.strip()) for t in long) - 1
     assert documents.words(df, ["id"], atomic=False).count() > 0 and documents.words(df, ["id"]).count() > 0
-    assert documents.references(df, "id").count() >= 0
+    assert documents.references(df, ["id"]).count() >= 0
     c = F.col("text")
     assert df.select(text.front_matter(text.normalize_source(c)).alias("f"), text.fence_length(c, F.lit(0)), text.common_indent(c), text.join_adjacent(c), text.hard_break_pieces(c)).where("f <> ''").count() == 1
     assert documents.format_documents(df).where("formatted is null").count() == 0
@@ -340,12 +340,56 @@ def test_native_functions_on_very_long_texts(spark):
 
 
 def test_references_last_definition_wins(spark):
-    df = spark.createDataFrame([(1, "[a][X] [b][x] [c][y]\n\n[x]: one\n[X]: two\n"), (2, None)], "id int, text string")
-    assert rows(documents.references(df, "id")) == Counter([(1, "x", "two", 2), (1, "y", None, 1)])
+    df = spark.createDataFrame([(1, "[a][X] [b][x] [c][y]\n\n[x]: one\n[X]: two\n"), (2, None), (3, "[p][] [P] [q] [r](p) `[p]` ![p] \\[p]\n\n```\n[p]\n[q]: no\n```\n\n[p]: /p\n"), (4, "")], "id int, text string")
+    assert rows(documents.references(df, ["id"])) == Counter([(1, "x", "two", 2), (1, "y", None, 1), (3, "p", "/p", 3)])
+
+
+def test_sentences_keep_every_character(spark):
+    df = spark.createDataFrame([(1, "a\u0001b Cd. Ef gh. \u0001"), (2, "Ab. Cd"), (3, "x" * 100_000), (4, " "), (5, None)], "id int, text string")
+    got = rows(documents.sentences(df, ["id"]).select("id", "sentence"))
+    assert got == Counter([(1, "a\u0001b Cd."), (1, "Ef gh."), (1, "\u0001"), (2, "Ab."), (2, "Cd"), (3, "x" * 100_000)])
+
+
+def test_front_matter_natively_and_in_python(spark):
+    from vellumry.formatting import source
+
+    texts = ["---\na\n---\nb\n", "\n \n --- \na\n\u00a0---\nb\n", "---\nopen\n", "--- a\n", "a\n---\n", "\n", "---\n---\n", "---\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["f"] for r in df.select("id", text.front_matter(F.col("text")).alias("f")).collect()}
+    assert got == {i: source.split_front_matter(t)[0] for i, t in enumerate(texts)}
+
+
+def test_blank_lines_in_code_stay(spark):
+    df = spark.createDataFrame([(1, "a\n\n\n```\nb\n\n\nc\n```\n\n\n\nd"), (2, None), (3, "---\n\n\n---\n\n\nx\n")], "id int, text string")
+    got = {r["id"]: r["text"] for r in documents.collapse_blank_lines(df).collect()}
+    assert got == {1: "a\n\n```\nb\n\n\nc\n```\n\nd\n", 2: None, 3: "---\n\n\n---\n\nx\n"}
+
+
+def test_why_a_document_keeps_its_source(spark, monkeypatch):
+    from vellumry.formatting import markdown
+
+    df = spark.createDataFrame([(1, "a  b", None), (2, "c", "no such file"), (3, None, None)], "id int, text string, error string")
+    got = {r["id"]: (r["formatted"], r["error"]) for r in documents.format_documents(df, read_error="error").collect()}
+    assert got == {1: ("a b\n", None), 2: ("c\n", "no such file"), 3: (None, None)}
+    monkeypatch.setattr(markdown.blocks, "parse", lambda text: {}["gone"])
+    assert markdown.checked_markdown("a  b") == ("a  b\n", "KeyError: 'gone'")
+
+
+def test_paths_are_selected(spark):
+    from vellumry.operators.selection import select_paths
+    from vellumry.sources.files import Selection
+
+    paths = ["a.md", "d/b.md", "node_modules/p/c.md", "x.egg-info/d.md", "venv.md", "e.MD", "f.txt", "d/venv/g.md", "ü [1].md", None]
+    df = spark.createDataFrame([(p, 5 + i) for i, p in enumerate(paths)], "path string, size int")
+    chosen = lambda **o: [r["path"] for r in select_paths(df, Selection(**o), size_col="size").collect()]
+    assert chosen() == ["a.md", "d/b.md", "venv.md", "ü [1].md"]
+    assert chosen(max_size=6) == ["a.md", "d/b.md"] and chosen(include=["?.txt"]) == ["f.txt"] and chosen(exclude=[], include=["[c-d].md"]) == ["node_modules/p/c.md", "x.egg-info/d.md"]
+    assert select_paths(df.limit(0)).count() == 0
 
 
 def test_manifest(spark, tmp_path):
     path = str(tmp_path / "manifest")
+    (tmp_path / "manifest" / "v-000000001").mkdir(parents=True)  # left by a run that was stopped
     docs = manifest.hashed(spark.createDataFrame([("p", bytearray(b"1")), ("q", bytearray(b"2"))], "path string, content binary"))
     assert manifest.read(spark, path).count() == 0
     done = docs.where("path = 'p'").select(F.lit("x").alias("project"), F.lit("f").alias("fingerprint"), "content_hash")
@@ -353,6 +397,16 @@ def test_manifest(spark, tmp_path):
     manifest.write(checkpointed(manifest.merged(manifest.read(spark, path), done)), path)
     known = manifest.read(spark, path)
     assert known.count() == 1
+    for _ in range(2):
+        manifest.write(manifest.merged(manifest.read(spark, path), done), path)
+    assert sorted(p.name for p in (tmp_path / "manifest").iterdir()) == ["v-000000003", "v-000000004"]
+    for part in (tmp_path / "manifest" / "v-000000004").glob("*.parquet"):
+        part.write_bytes(b"damaged")
+    with pytest.warns(UserWarning):
+        known = manifest.read(spark, path)  # the version before it
+    assert known.count() == 1
+    counts = manifest.hit_counts(docs, known, "f", [])
+    assert counts.first() == (1, 1, "50.0%")
     assert [r["path"] for r in manifest.unformatted(docs, known, "f").collect()] == ["q"] and manifest.unformatted(docs, known, "g").count() == 2
     assert manifest.fingerprint(FormatOptions()) != manifest.fingerprint(FormatOptions(width=80))
     assert manifest.hit_rate(1, 2) == "33.3%" and manifest.hit_rate(0, 0) == "0.0%" and manifest.human_bytes(1536) == "1.5 KB" and manifest.human_bytes(12) == "12 B"

@@ -32,6 +32,7 @@ def test_walk(tree):
     assert "big.md" not in names(tree, max_size=2000) and "big.md" in names(tree, max_size=0)
     assert names(tree, include=["*.rs"]) == ["src/main.rs"]
     assert "drafts/wip.md" not in names(tree, extend_exclude=["drafts/"])
+    assert "drafts/wip.md" in names(tree, extend_exclude=["wip.md"])  # patterns of files prune no folder
     os.symlink(tree, tree / "docs" / "loop")
     assert len(names(tree)) == 6
 
@@ -79,7 +80,9 @@ def test_config(tmp_path):
 
 
 def test_read_and_write(spark, tree):
-    done = format_documents(corpus.read_corpus(spark, [str(tree)]).drop("error"), "content", FormatOptions())
+    done = format_documents(corpus.read_corpus(spark, [str(tree)]), "content", FormatOptions(), read_error="error")
+    lost = format_documents(corpus.read_paths(spark, [str(tree / "lost.md")]), "content", read_error="error").first()
+    assert lost["formatted"] is None and "lost.md" in lost["error"]
     assert [os.path.basename(r["path"]) for r in corpus.check(done).collect()] == ["h.md", "README.md", "big.md", "api.md", "x.md", "wip.md"]
     os.chmod(tree / "README.md", 0o640)
     assert corpus.write_in_place(done).where("written").count() == 6
@@ -107,6 +110,9 @@ def test_command_line(spark, tree, capsys, monkeypatch):
     assert cli.main(["-i", "-"]) == 2 and cli.main(["missing.md"]) == 2
     (tree / "bad.md").write_bytes(b"\xff")
     assert cli.main(["--check", "bad.md"]) == 2
+    monkeypatch.setattr(cli.Resolver, "resolve", lambda self, inputs: [str(tree / "vanished.md")])
+    capsys.readouterr()
+    assert cli.main(["--check", "vanished.md"]) == 2 and "vanished.md: " in capsys.readouterr().err
 
 
 def test_streams(spark, tmp_path):

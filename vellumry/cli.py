@@ -82,13 +82,15 @@ def main(argv: list[str] | None = None) -> int:
     cached = inplace and run["cache"] and values.get("cache", values.get("incremental", True))
     if run["verbose"]:
         print(f"{len(paths)} files, width {options.width}, cache {folder if cached else 'off'}", file=sys.stderr)
-    if cached:
-        docs = manifest.unformatted(manifest.hashed(docs), manifest.read(spark, folder), mark).drop("content_hash")
-    done = format_documents(docs.drop("error"), "content", options).cache()
-    failed = [r["path"] for r in done.where(F.col("error").isNotNull()).select("path").orderBy("path").toLocalIterator()]
-    for name in failed:
-        print(f"{name}: invalid UTF-8", file=sys.stderr)
-    code = 2 if failed else 0
+    if cached:  # only digests are joined; the misses are read again
+        seen = manifest.hashed(docs).select("path", "content_hash")
+        misses = manifest.unformatted(seen, manifest.read(spark, folder), mark).select("path")
+        docs = corpus.read_paths(spark, [r["path"] for r in misses.toLocalIterator()])
+    done = format_documents(docs, "content", options, read_error="error").cache()
+    code = 0
+    for row in done.where(F.col("error").isNotNull()).select("path", "error").orderBy("path").toLocalIterator():
+        print(f"{row['path']}: {row['error']}", file=sys.stderr)
+        code = 2
     if run["check"]:
         for row in corpus.check(done).toLocalIterator():
             print(f"Would reformat: {row['path']}")

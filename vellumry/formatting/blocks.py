@@ -43,6 +43,8 @@ class Line:
         return not self.text.strip()
 
 
+_CONTAINERS = ("quote", "list", "item", "footnote")
+
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})[ \t]*(.*?)[ \t]*$")
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))??(?:[ \t]+#+)?[ \t]*$")
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
@@ -127,7 +129,8 @@ def parse(text: str) -> list[Block]:
 class _Reader:
     def __init__(self, lines: list[Line]) -> None:
         self.lines, self.at = lines, 0
-        self.open_paragraph: tuple[list[Line] | None, int] = (None, 0)
+        #: Lines of the container being read that were parsed, how many, and their blocks.
+        self.parsed: tuple[list[Line] | None, int, list[Block]] = (None, 0, [])
         self.no_table_from = len(lines)
         self.colon_ends: dict[int, int] | None = None
 
@@ -253,18 +256,36 @@ class _Reader:
         line = self.lines[self.at]
         if line.blank or (columns(line.text) < 4 and (interrupts(line.text) or ITEM.match(line.text))):
             return False
-        known, n = self.open_paragraph
-        if known is inner and all(x.lazy or x.text[:1].isalpha() for x in inner[n:]):
-            self.open_paragraph = (inner, len(inner))  # plain lines leave a paragraph open
-            return True
-        last = _Reader(inner).blocks()[-1]
-        while last.children and last.kind in ("quote", "list", "item", "footnote"):
+        known, n, _ = self.parsed
+        if known is inner and all(x.lazy for x in inner[n:]):
+            return True  # what continues a paragraph leaves it open
+        tree = _Reader(inner).blocks()
+        self.parsed = (inner, len(inner), tree)
+        last = tree[-1]
+        while last.children and last.kind in _CONTAINERS:
             last = last.children[-1]
         if last.kind == "paragraph" and last.end == inner[-1].n:
-            self.open_paragraph = (inner, len(inner))
             return True
+        self.parsed = (None, 0, [])
         return False
 
+    def _inside(self, inner: list[Line]) -> list[Block]:
+        """The blocks of a container.  Where all that followed the last look at them continues
+        a paragraph, it is added there, so that nesting is read once."""
+        known, n, tree = self.parsed
+        rest = inner[n:]
+        if known is not inner or not all(x.lazy and x.text[:1] not in (":", "~", "[") for x in rest):
+            return _Reader(inner).blocks()
+        if rest:
+            last = tree[-1]
+            while last.children and last.kind in _CONTAINERS:
+                last.end = rest[-1].n
+                last = last.children[-1]
+            last.end = rest[-1].n
+            ends = inner[n - 1].text  # its white space may make a hard break
+            last.text = "\n".join([last.text + ends[len(ends.rstrip()) :], *(x.text for x in rest)]).rstrip()
+        return tree
+
     def _quote(self) -> Block:
         inner: list[Line] = []
         first = self.at
@@ -281,7 +302,7 @@ class _Reader:
         source = inner[0].text.strip()
         if CALLOUT.match(source):
             return Block("raw", inner[0].n, inner[-1].n, "\n".join(x.text for x in self.lines[first : self.at]), protected="obsidian_callout")
-        return Block("quote", inner[0].n, inner[-1].n, children=_Reader(inner).blocks())
+        return Block("quote", inner[0].n, inner[-1].n, children=self._inside(inner))
 
     def _list(self) -> Block:
         m = ITEM.match(self.lines[self.at].text)
@@ -333,7 +354,7 @@ class _Reader:
         for _ in range(trailing):
             inner.pop()
         self.at -= trailing
-        out = Block("item", first.n, inner[-1].n, children=_Reader(inner).blocks())
+        out = Block("item", first.n, inner[-1].n, children=self._inside(inner))
         out.marker = m[2]
         if out.children and out.children[0].kind == "paragraph" and (t := re.match(r"\[([ xX])\][ \t]+(?=\S)", out.children[0].text)):
             out.info = "[ ] " if t[1] == " " else "[x] "
@@ -361,7 +382,7 @@ class _Reader:
         for _ in range(trailing):
             inner.pop()
         self.at -= trailing
-        return Block("footnote", first.n, inner[-1].n, info=m[1], children=_Reader(inner).blocks())
+        return Block("footnote", first.n, inner[-1].n, info=m[1], children=self._inside(inner))
 
     # -- protected ------------------------------------------------------------------
 
@@ -557,6 +578,62 @@ def flatten(blocks: list[Block], parent: int = -1, depth: int = 0, out: list | N
     return out
 
 
+def front_lines(lines: list[str]) -> int:
+    """Lines of front matter at the start: from ``---`` to ``---`` or ``...``."""
+    if not lines or lines[0] != "---":
+        return 0
+    return next((k + 1 for k in range(1, len(lines)) if lines[k] in ("---", "...")), 0)
+
+
+def _split(text: str) -> list[str]:
+    lines = text.split("\n")
+    return lines[:-1] if lines[-1] == "" else lines
+
+
+def opaque_lines(text: str) -> list[bool]:
+    """Per line of a normalized document: code, its fences included, or front matter."""
+    lines = _split(text)
+    skipped = front_lines(lines)
+    out = [k < skipped for k in range(len(lines))]
+    for _, _, _, kind, first, last, _ in flatten(parse("\n".join(lines[skipped:]))):
+        if kind in ("code", "toml_frontmatter"):
+            out[skipped + first : skipped + last + 1] = [True] * (last + 1 - first)
+    return out
+
+
+def single_blanks(text: str) -> str:
+    """``text`` with each run of blank lines as one line; those of code and front matter stay."""
+    out: list[str] = []
+    before = False
+    for line, opaque in zip(_split(text), opaque_lines(text)):
+        blank = not opaque and not line.strip()
+        if not (blank and before):
+            out.append(line)
+        before = blank
+    return "\n".join(out) + "\n"
+
+
+_NUMBER = re.compile(r"[0-9]{1,9}[.)]")
+
+
+def renumbered(text: str) -> str:
+    """``text`` with the items of each ordered list counted on from its first number, each
+    with a full stop."""
+    lines = _split(text)
+    skipped = front_lines(lines)
+
+    def walk(tree: list[Block]) -> None:
+        for b in tree:
+            if b.kind == "list" and b.number >= 0:
+                for k, item in enumerate(b.children):
+                    at = skipped + item.start
+                    lines[at] = _NUMBER.sub(f"{b.number + k}.", lines[at], count=1)
+            walk(b.children)
+
+    walk(parse("\n".join(lines[skipped:])))
+    return "\n".join(lines) + "\n"
+
+
 def protected_regions(text: str) -> list[Region]:
     """The protected regions of a normalized document, in order and disjoint.
 
@@ -568,9 +645,7 @@ def protected_regions(text: str) -> list[Region]:
     starts = [0]
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
-    skipped = 0
-    if lines[0] == "---":
-        skipped = next((k + 1 for k in range(1, len(lines)) if lines[k] in ("---", "...")), 0)
+    skipped = front_lines(lines)
     found: list[Region] = []
     inline: list[Region] = []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from vellumry.formatting import blocks, inline, source, units, wrap
 from vellumry.formatting.blocks import Block
@@ -172,31 +173,51 @@ def definitions(tree: list[Block], out: inline.Definitions | None = None) -> inl
     return out
 
 
-def fill_markdown(text: str, options: FormatOptions = FormatOptions(), wrapper: wrap.Wrapper | None = None) -> str:
-    """A Markdown document in normal form.  Never raises: on any failure the source with
-    normalized line ends is returned."""
-    body, had_bom = source.normalize(text)
+#: Frames of the interpreter for nested blocks; the reader and the renderer call themselves.
+_FRAMES = 100_000
+
+
+def _filled(body: str, options: FormatOptions, wrapper: wrap.Wrapper | None) -> str:
     if options.dedent:
         body = source.dedent(body)
+    front, rest = source.split_front_matter(body)
+    lead = ""
+    if not front:
+        lead, rest = source.leading_blanks(rest)
+    rest, authored = inline.escape_reserved(rest)
+    tree = blocks.parse(units.space_blocks_in_tags(rest))
+    own = wrapper or wrap.line_wrapper(options.width, options.semantic)
+    done = Renderer(options, definitions(tree), own).document(tree)
+    joint = "\n" if front and rest.startswith("\n") else ""
+    return front + joint + lead + inline.unmask(done).translate(authored)
+
+
+def checked_markdown(text: str, options: FormatOptions = FormatOptions(), wrapper: wrap.Wrapper | None = None) -> tuple[str, str | None]:
+    """(document in normal form, None), or (source with normalized line ends, what failed)."""
+    body, had_bom = source.normalize(text)
+    before = sys.getrecursionlimit()
     try:
-        front, rest = source.split_front_matter(body)
-        lead = ""
-        if not front:
-            lead, rest = source.leading_blanks(rest)
-        rest, authored = inline.escape_reserved(rest)
-        tree = blocks.parse(units.space_blocks_in_tags(rest))
-        own = wrapper or wrap.line_wrapper(options.width, options.semantic)
-        done = Renderer(options, definitions(tree), own).document(tree)
-        joint = "\n" if front and rest.startswith("\n") else ""
-        done = inline.unmask(done).translate(authored)
-        return source.finalize(front + joint + lead + done, had_bom)
-    except (ValueError, IndexError, KeyError, AttributeError, RecursionError, StopIteration, RuntimeError):
-        return source.finalize(body, had_bom)
+        sys.setrecursionlimit(max(before, _FRAMES))
+        return source.finalize(_filled(body, options, wrapper), had_bom), None
+    except Exception as e:  # noqa: BLE001 - one document must not end the job; the cause is reported
+        return source.finalize(body, had_bom), f"{type(e).__name__}: {e}"
+    finally:
+        sys.setrecursionlimit(before)
 
 
-def format_text(text: str, options: FormatOptions = FormatOptions()) -> str:
-    """A document formatted as Markdown or, with ``plaintext``, filled as plain text."""
+def fill_markdown(text: str, options: FormatOptions = FormatOptions(), wrapper: wrap.Wrapper | None = None) -> str:
+    """A Markdown document in normal form; ``checked_markdown`` without the cause of a failure."""
+    return checked_markdown(text, options, wrapper)[0]
+
+
+def checked_text(text: str, options: FormatOptions = FormatOptions()) -> tuple[str, str | None]:
+    """(formatted document, cause of a failure or None): Markdown or, with ``plaintext``, filled text."""
     if options.plaintext:
         mode = wrap.Wrap.WRAP if options.width > 0 else wrap.Wrap.NONE
-        return wrap.fill_text(text, mode, options.width)
-    return fill_markdown(text, options)
+        return wrap.fill_text(text, mode, options.width), None
+    return checked_markdown(text, options)
+
+
+def format_text(text: str, options: FormatOptions = FormatOptions()) -> str:
+    """A document formatted as Markdown or, with ``plaintext``, filled as plain text."""
+    return checked_text(text, options)[0]

@@ -47,9 +47,10 @@ def greedy_lines(text: str, width: int, first: int = 0, other: int = 0, splitter
         if drop:
             text = strip(text)
         return [text] if text else []
-    if collapse and first + len(text) <= width and not any(x in text for x in ("}{", "><")):
-        whole = units.collapse(text)  # it fits as it is: no words to count
-        return [whole] if whole else []
+    if collapse:
+        text = units.collapse(text)
+        if first + len(text) <= width and "}{" not in text and "><" not in text:
+            return [text] if text else []  # it fits as it is: no words to count
     words = splitter(text)
     ends = list(accumulate(len(w) + 1 for w in words))  # where each word ends on an endless line
     out: list[str] = []

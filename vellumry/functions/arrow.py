@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from vellumry.formatting import blocks, source, typography, units, wrap
 from vellumry.formatting.inline import unmask
-from vellumry.formatting.markdown import format_text
+from vellumry.formatting.links import reference_links
+from vellumry.formatting.markdown import checked_text, format_text
 from vellumry.options import FormatOptions
 
 
@@ -37,7 +38,8 @@ def of(function: Callable[[str], Any], kind: T.DataType | str):
 
 
 def formatted(c: Column, options: FormatOptions = FormatOptions()) -> Column:
-    return of(lambda t: format_text(t, options), "string")(c)
+    """struct<formatted, error>: ``error`` says why a document kept its source."""
+    return of(lambda t: dict(zip(("formatted", "error"), checked_text(t, options))), "struct<formatted string, error string>")(c)
 
 
 def timed(c: Column, options: FormatOptions = FormatOptions()) -> Column:
@@ -120,15 +122,23 @@ def block_rows(c: Column) -> Column:
 
 
 def opaque_flags(c: Column) -> Column:
-    """Per line of a normalized document: inside code or front matter."""
-
-    def flags(text: str) -> list[bool]:
-        lines = units.lines_of(text)
-        out = [False] * len(lines)
-        for b in blocks.flatten(blocks.parse(text)):
-            if b[3] in ("code", "toml_frontmatter"):
-                for k in range(b[4], min(b[5] + 1, len(out))):
-                    out[k] = True
-        return out
-
-    return of(flags, "array<boolean>")(c)
+    """Per line of a normalized document: code or front matter."""
+    return of(blocks.opaque_lines, "array<boolean>")(c)
+
+
+def single_blanks(c: Column) -> Column:
+    """A normalized document with runs of blank lines outside code as one blank line."""
+    return of(blocks.single_blanks, "string")(c)
+
+
+def renumbered(c: Column) -> Column:
+    """A normalized document with the items of its ordered lists counted on."""
+    return of(blocks.renumbered, "string")(c)
+
+
+REFERENCE = "array<struct<label string, url string, n int>>"
+
+
+def reference_uses(c: Column) -> Column:
+    """Reference links of a normalized document, with their targets."""
+    return of(lambda t: [dict(zip(("label", "url", "n"), r)) for r in reference_links(t)], REFERENCE)(c)

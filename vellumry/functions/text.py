@@ -39,13 +39,17 @@ def is_utf8(content: Column) -> Column:
     return F.is_valid_utf8(content)
 
 
+_LINE_WS = WS.replace(r"\n", "", 1)
 #: Front matter of a normalized document: blank lines, ``---``, lines, ``---``.
-FRONT_MATTER = r"(?s)\A(?:[ \t\n]*\n)?[ \t]*---[ \t]*\n(?:.*?\n)??[ \t]*---[ \t]*(?:\n|\z)"
+FRONT_START = rf"\A(?:{WS}*\n)?{_LINE_WS}*---{_LINE_WS}*\n"
+FRONT_MATTER = rf"(?s)\A(?:{WS}*\n)?({_LINE_WS}*---{_LINE_WS}*\n(?:.*?\n)??{_LINE_WS}*---{_LINE_WS}*(?:\n|\z))"
 
 
 def front_matter(c: Column) -> Column:
-    """Front matter with its fences, or the empty string."""
-    return F.regexp_extract(c, FRONT_MATTER, 0)
+    """Front matter with its fences, without blank lines before it; the empty string where
+    there is none.  Front matter that never closes is the whole document."""
+    found = F.regexp_extract(c, FRONT_MATTER, 1)
+    return F.when(found != "", found).when(c.rlike(FRONT_START), c).otherwise("")
 
 
 def collapse(c: Column) -> Column:
@@ -58,8 +62,8 @@ def words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with white space collapsed (no least length)."""
-    cut = F.regexp_replace(collapse(c), rf"((?<!{WORD})\p{{L}}+\p{{Ll}}{END_MARK}) ", "$1\u0001")
-    return F.filter(F.split(cut, "\u0001"), lambda x: x != "")
+    found = F.regexp_extract_all(collapse(c), F.lit(rf"(?s)(.*?(?<!{WORD})\p{{L}}+\p{{Ll}}{END_MARK}(?: |\z)|.+\z)"), 1)
+    return F.transform(found, lambda x: F.rtrim(x))
 
 
 def first_sentences(c: Column, n: int) -> Column:

@@ -16,20 +16,24 @@ from vellumry.options import FormatOptions
 from vellumry.runtime import running
 
 
-def format_documents(df: DataFrame, text_col: str = "text", options: FormatOptions = FormatOptions()) -> DataFrame:
+def format_documents(df: DataFrame, text_col: str = "text", options: FormatOptions = FormatOptions(), read_error: str | None = None) -> DataFrame:
     """``df`` with formatted, changed and error.
 
     The text may be a string or a binary column; bytes that are not UTF-8 are reported in
-    ``error`` and have no formatted text.
+    ``error`` and have no formatted text.  A document that cannot be parsed keeps its
+    source with normalized line ends, and ``error`` says why.  ``read_error`` names a column with the
+    error of reading the document, which comes first.  Columns of these names are replaced.
     """
     c = F.col(text_col)
+    failed = F.col(read_error).cast("string") if read_error else F.lit(None).cast("string")
     if df.schema[text_col].dataType.typeName() == "binary":
         good = text.is_utf8(c)
-        df = df.withColumn("_text", F.when(good, F.decode(c, "UTF-8"))).withColumn("error", F.when(~good, F.lit("invalid UTF-8")))
+        df = df.withColumn("_failed", F.coalesce(failed, F.when(~good, F.lit("invalid UTF-8")))).withColumn("_text", F.when(good, F.decode(c, "UTF-8")))
     else:
-        df = df.withColumn("_text", c).withColumn("error", F.lit(None).cast("string"))
-    done = df.withColumn("formatted", arrow.formatted(F.col("_text"), options))
-    return done.withColumn("changed", F.col("formatted") != F.col("_text")).drop("_text")
+        df = df.withColumn("_failed", failed).withColumn("_text", c)
+    done = df.withColumn("_done", arrow.formatted(F.col("_text"), options))
+    done = done.withColumn("formatted", F.col("_done.formatted")).withColumn("error", F.coalesce("_failed", "_done.error"))
+    return done.withColumn("changed", F.col("formatted") != F.col("_text")).drop("_text", "_failed", "_done")
 
 
 def format_metrics(df: DataFrame, text_col: str = "text", options: FormatOptions = FormatOptions()) -> DataFrame:
@@ -81,31 +85,22 @@ def regions(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
     return df.select(*keys, F.inline(arrow.protected_regions(text.normalize_source(F.col(text_col)))))
 
 
-#: [text][label], [text][] and [label], not followed by a target and not a definition.
-LINK = r"(!?)\[([^\[\]\n]+)\](?:\[([^\[\]\n]*)\])?(?:[^(:\[]|\z)"
-DEFINITION = r"\A {0,3}\[([^\[\]^][^\[\]]*)\]:[ \t]*(\S+)(?:[ \t].*)?\z"
+def references(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """Reference links with their targets: (keys, label, url, n); url is null where the
+    label has no definition.  Of several definitions of a label the last one counts; code
+    holds neither links nor definitions."""
+    return df.select(*keys, F.inline(arrow.reference_uses(text.normalize_source(F.col(text_col)))))
 
 
-def references(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """Reference links with their targets: (key, label, url, n); url is null where the
-    label has no definition.  Of several definitions of a label the last one counts."""
-    rows = lines(df.where(F.col(key).isNotNull()), [key], text_col)
-    defined = rows.select(key, "i", F.lower(F.regexp_extract("line", DEFINITION, 1)).alias("label"), F.regexp_extract("line", DEFINITION, 2).alias("url")).where("label <> ''")
-    last = defined.groupBy(key, "label").agg(F.max_by("url", "i").alias("url"))
-    found = rows.where(~F.col("line").rlike(DEFINITION)).select(key, F.explode(F.regexp_extract_all("line", F.lit(r"\[[^\[\]\n]+\]\[([^\[\]\n]+)\]"), 1)).alias("label"))
-    used = found.groupBy(key, F.lower("label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return used.join(last, [key, "label"], "left").select(key, "label", "url", "n")
-
-
-def arbitrate(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """The best candidate at each start: by priority, greater length, then name."""
+def arbitrate(candidates: DataFrame, keys: list[str], ties: list[str] | None = None) -> DataFrame:
+    """The best candidate at each start: by priority, greater length, name, then ``ties``."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("kind")], F.lit(99))
-    best = Window.partitionBy(*keys, "start").orderBy(rank, F.col("start") - F.col("end"), "kind")
+    best = Window.partitionBy(*keys, "start").orderBy(rank, F.col("start") - F.col("end"), "kind", *(ties or []))
     return candidates.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
 def covered(left: DataFrame, right: DataFrame, key: str, bucket: int = 1 << 20) -> DataFrame:
-    """Rows of ``left`` whose half-open interval overlaps one of ``right``'s, same key.
+    """Rows of ``left`` (each as often as given) whose half-open interval overlaps one of ``right``'s, same key.
 
     Counting ends instead of pairing: the intervals that start before a row's end minus
     those that end by its start are those that overlap it, so no pairs are formed.
@@ -119,14 +114,18 @@ def covered(left: DataFrame, right: DataFrame, key: str, bucket: int = 1 << 20)
     events = at(r, "b", 0, 0, 1, none).unionByName(at(l, "a", 1, 0, 0, F.col("row"))).unionByName(at(l, "b", 2, 0, 0, F.col("row"))).unionByName(at(r, "a", 3, 1, 0, none))
     run = running(events, [key], "at", F.col("o"), "sum", "opened", ties=[F.col("step")], bucket_us=bucket)
     run = running(run, [key], "at", F.col("c"), "sum", "closed", ties=[F.col("step")], bucket_us=bucket).where("row is not null")
-    both = run.groupBy(key, "row").agg(F.max(F.when(F.col("step") == 2, F.col("opened"))).alias("o"), F.max(F.when(F.col("step") == 1, F.col("closed"))).alias("c"))
-    return both.where(F.col("o") > F.col("c")).select("row.*")
+    both = run.groupBy(key, "row").agg(F.max(F.when(F.col("step") == 2, F.col("opened"))).alias("o"), F.max(F.when(F.col("step") == 1, F.col("closed"))).alias("c"), F.count_if(F.col("step") == 1).cast("int").alias("n"))
+    return both.where(F.col("o") > F.col("c")).select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")
+
+
+def collapse_blank_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with its texts normalized and runs of blank lines outside code as one."""
+    return df.withColumn(text_col, arrow.single_blanks(text.normalize_source(F.col(text_col))))
 
 
-def collapse_blank_lines(rows: DataFrame, key: str) -> DataFrame:
-    """Lines without the second and further blank lines of a run."""
-    before = F.lag("kind").over(Window.partitionBy(key).orderBy("i"))
-    return rows.withColumn("_b", before).where(~((F.col("kind") == "blank") & (F.coalesce(F.col("_b"), F.lit("")) == "blank"))).drop("_b")
+def renumber_lists(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with its texts normalized and the items of ordered lists counted on."""
+    return df.withColumn(text_col, arrow.renumbered(text.normalize_source(F.col(text_col))))
 
 
 def would_change(formatted: DataFrame, by: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import shutil
+import warnings
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from vellumry import __version__
 from vellumry.functions.text import content_hash
 from vellumry.options import FormatOptions
+from vellumry.sources.folders import SharedFolder
 
 SCHEMA = "project string, fingerprint string, content_hash string"
 
@@ -46,14 +48,26 @@ def cache_root(given: str | None = None, environment: dict[str, str] | None = No
     return f"{env.get('TMPDIR', '/tmp')}/vellumry", "temporary"
 
 
+def _versions(folder: SharedFolder) -> list[str]:
+    """Finished versions of a manifest, the newest last."""
+    return [n for n in folder.names() if n.startswith("v-") and folder.exists(f"{n}/_SUCCESS")]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest at ``path``; one that is missing or unreadable is empty."""
-    try:
-        found = spark.read.schema(SCHEMA).parquet(path)
-        found.isEmpty()
-        return found
-    except Exception:  # noqa: BLE001 - a damaged cache must never stop a run
-        return spark.createDataFrame([], SCHEMA)
+    """The manifest in the folder ``path``; one that is missing or damaged is empty.
+
+    Damage is warned of: it must not stop a run, but costs formatting everything again.
+    Where the folder itself cannot be listed the error is raised.
+    """
+    folder = SharedFolder(spark, path)
+    for name in reversed(_versions(folder)):
+        try:
+            found = spark.read.schema(SCHEMA).parquet(f"{path}/{name}")
+            found.isEmpty()
+            return found
+        except Exception as e:  # noqa: BLE001 - whatever a damaged file raises
+            warnings.warn(f"manifest {path}/{name} is damaged: {str(e).splitlines()[0]}", stacklevel=2)
+    return spark.createDataFrame([], SCHEMA)
 
 
 def hashed(docs: DataFrame, content_col: str = "content") -> DataFrame:
@@ -76,15 +90,31 @@ def merged(manifest: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def write(manifest: DataFrame, path: str) -> None:
-    """Replace the manifest: written beside the old one, then renamed into place."""
-    fresh, old = f"{path}.new", f"{path}.old"
-    manifest.write.mode("overwrite").parquet(fresh)
-    if os.path.exists(path):
-        os.replace(path, old) if not os.path.exists(old) else None
-    os.replace(fresh, path)
-    if os.path.exists(old):
-
-        shutil.rmtree(old)
+    """Write a manifest as the next version in the folder ``path``, in order of hashes.
+
+    A version counts once it is finished, so a run that stops in between leaves the version
+    before it.  Older ones are removed, except the one that ``manifest`` may come from.
+    """
+    folder = SharedFolder(manifest.sparkSession, path)
+    last = _versions(folder)
+    n = int(last[-1][2:]) + 1 if last else 1
+    manifest.sort("project", "fingerprint", "content_hash").write.mode("overwrite").parquet(f"{path}/v-{n:09d}")
+    for name in last[:-1]:
+        folder.remove(name)
+
+
+def hit_counts(docs: DataFrame, manifest: DataFrame, mark: str, by: list[str]) -> DataFrame:
+    """(by, hits, misses, rate): documents that are known under ``mark``, and the others.
+
+    A document without a hash is a miss.  Hashes are joined, and counted before the
+    result is shuffled by group.
+    """
+    marks = manifest.where(F.col("fingerprint") == mark).select("content_hash", F.lit(1).alias("_hit")).distinct()
+    seen = docs.select(*by, "content_hash").join(marks, "content_hash", "left")
+    counts = seen.groupBy(*by).agg(F.count("_hit").alias("hits"), F.count_if(F.col("_hit").isNull()).alias("misses"))
+    total = F.col("hits") + F.col("misses")
+    tenths = F.floor((F.col("hits") * 2000 + total) / (2 * total))
+    return counts.withColumn("rate", F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))
 
 
 def hit_rate(hits: int, misses: int) -> str:

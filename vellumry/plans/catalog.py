@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from vellumry.plans import data_queries, format_queries
+from vellumry.plans import data_queries, format_queries, golden
 
 FLAGSHIP = "format_markdown_auto"
-_MODULES = [data_queries, format_queries]
+_MODULES = [data_queries, format_queries, golden]
 
 
 def queries() -> dict:

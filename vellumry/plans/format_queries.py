@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumry.formatting.units import ATOM, INLINE_ATOM
 from vellumry.formatting.wrap import Wrap
 from vellumry.functions import arrow, text
-from vellumry.functions.text import END_MARK, NON_WORD, NON_WS, WS
-from vellumry.operators import documents, manifest
+from vellumry.functions.text import NON_WS
+from vellumry.operators import documents, manifest, selection
 from vellumry.options import FormatOptions, ListSpacing
-from vellumry.runtime import spread, table
+from vellumry.runtime import running, spread, table
+from vellumry.sources.files import Selection
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,8 +38,19 @@ def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return spread(table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text", *more), "doc_id")
 
 
+# The patterns of the SQL are written out from the rules; they share nothing with the operators.
+SQL_WS = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL_SOLID = SQL_WS.replace("[", "[^", 1)
+_LINKS = r"\[[^\]]*\]\([^)]*\)|\[[^\]]*\]\[[^\]]*\]|\[[^\]]*\]"
+_TICKS = r"`{4}(?:.|\n)*?`{4}|`{3}(?:.|\n)*?`{3}|`{2}(?:.|\n)+?`{2}|`[^`]+`"
+_PAIRED = r"\{%\s*[^/%\s][^%]*%\}\s*\{%\s*/[^%]*%\}|\{#\s*[^/#\s][^#]*#\}\s*\{#\s*/[^#]*#\}|\{\{\s*[^/}\s][^}]*\}\}\s*\{\{\s*/[^}]*\}\}|<!--\s*[^/\s-][^-]*(?:-[^-]+)*-->\s*<!--\s*/[^-]*(?:-[^-]+)*-->"
+_SINGLE = r"\{%(?:.|\n)*?%\}|\{#(?:.|\n)*?#\}|\{\{(?:.|\n)*?\}\}|<!--(?:.|\n)*?-->"
+SQL_ATOM = "|".join((_TICKS, _LINKS, _PAIRED, _SINGLE, "</?[a-zA-Z][^>]*>"))
+SQL_INLINE = "|".join((_TICKS, _LINKS, r"<[A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*>", r"<[^\s<>@]+@[^\s<>]+>", r"(?:http://|https://|www\.)[^\s<>]*[^]\s<>?!.,:;*_~'\")]"))
+SQL_JOINED = "regexp_replace(regexp_replace(regexp_replace(replace(text, '--><!--', '--> <!--'), '(%[}])([{]%)', '\\1 \\2', 'g'), '(#[}])([{]#)', '\\1 \\2', 'g'), '([}][}])([{][{])', '\\1 \\2', 'g')"
+_STOPS = r"""(?:[.?!]['"’”)]?|['"’”)][.?!])"""
 NORM = "rtrim(regexp_replace(CASE WHEN starts_with(text, chr(65279)) THEN substr(text, 2) ELSE text END, '\\r\\n?', chr(10), 'g'), chr(10)) || chr(10)"
-FLAT = f"trim(regexp_replace(text, {_q(WS + '+')}, ' ', 'g'))"
+FLAT = f"trim(regexp_replace(text, {_q(SQL_WS + '+')}, ' ', 'g'))"
 N_DOCS = f"docs AS (SELECT doc_id, kind, lang, source, {NORM} AS text FROM documents WHERE text IS NOT NULL)"
 LINES = N_DOCS + ", lines AS (SELECT doc_id, kind, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS line FROM (SELECT doc_id, kind, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM docs))"
 
@@ -66,32 +77,38 @@ def utf8_verdict(spark, d):
     return _docs(spark, d, "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(text.is_utf8(content)).alias("n_valid"))
 
 
-_FRONT = "(?s)^(?:[ \\t\\n]*\\n)?[ \\t]*---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|$)"
+_OPENED = "CASE WHEN kind = 'spec' THEN chr(10) || ' --- ' || chr(10) || 'open: 1' || chr(10) || replace(text, '---', '- -') ELSE text END"
 
 
-@query(f"WITH {N_DOCS}, f AS (SELECT doc_id, text, regexp_extract(text, {_q(_FRONT)}) AS front FROM docs) SELECT doc_id, front, length(text) - length(front) AS n_body FROM f WHERE front <> ''")
+@query(f"""WITH docs AS (SELECT doc_id, {NORM} AS text FROM (SELECT doc_id, {_OPENED} AS text FROM documents WHERE text IS NOT NULL)),
+l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, {_q(SQL_WS + '+')}, ' ', 'g'))) AS bare FROM docs),
+n AS (SELECT *, list_min(list_filter(generate_series(1, len(l)), lambda k: bare[k] <> '')) AS a FROM l),
+m AS (SELECT *, list_min(list_filter(generate_series(a + 1, len(l)), lambda k: bare[k] = '---')) AS b FROM n WHERE bare[a] = '---')
+SELECT doc_id, CASE WHEN b IS NULL THEN text ELSE array_to_string(l[a:b], chr(10)) || chr(10) END AS front FROM m""")
 def front_matter(spark, d):
-    c = text.normalize_source(F.col("text"))
-    rows = _docs(spark, d).select("doc_id", c.alias("text"), text.front_matter(c).alias("front")).where("front <> ''")
-    return rows.select("doc_id", "front", (F.length("text") - F.length("front")).cast("bigint").alias("n_body"))
+    """Front matter; documents of one kind get one that never closes."""
+    opened = F.when(F.col("kind") == "spec", F.concat(F.lit("\n --- \nopen: 1\n"), F.replace(F.col("text"), F.lit("---"), F.lit("- -")))).otherwise(F.col("text"))
+    rows = _docs(spark, d, "kind").select("doc_id", text.front_matter(text.normalize_source(opened)).alias("front"))
+    return rows.where("front <> ''")
 
 
-@query("SELECT project, count(*) AS n_files, sum(n_bytes) AS n_bytes FROM (SELECT DISTINCT project, path, n_bytes FROM tree_files) WHERE regexp_matches(path, '[.]md$') AND NOT regexp_matches(path, '(^|/)(vendor|node_modules|build|dist|target|out)/') AND n_bytes <= 1048576 AND n_bytes > 0 GROUP BY project")
+@query(r"SELECT project, count(*) AS n_files, sum(n_bytes) AS n_bytes FROM (SELECT DISTINCT project, path, n_bytes FROM tree_files) WHERE path LIKE '%.md' AND NOT regexp_matches(path, '(^|/)(vendor|third_party|node_modules|build|dist|target|o[^/]t|coverage|htmlcov|venv|Pods|__pycache__|_darcs|[^/]*\.egg-info|\.(git|hg|svn|bzr|venv|tox|nox|mypy_cache|ruff_cache|pytest_cache|eggs|next|nuxt|output|cache|parcel-cache|turbo|idea|vscode|vs|fleet|coverage|terraform))/') AND coalesce(n_bytes <= 1048576, true) GROUP BY project")
 def selected_files(spark, d):
     """File selection over a table of paths: include, excluded folders, size limit."""
     rows = table(spark, d, "tree_files").select("project", "path", "n_bytes").distinct()
-    kept = rows.where(F.col("path").rlike("[.]md$") & ~F.col("path").rlike("(^|/)(vendor|node_modules|build|dist|target|out)/") & (F.col("n_bytes") <= 1 << 20) & (F.col("n_bytes") > 0))
+    kept = selection.select_paths(rows, Selection(extend_exclude=["o?t/"]), size_col="n_bytes")
     return kept.groupBy("project").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
 
 
-@query("SELECT DISTINCT project, path FROM tree_files WHERE path LIKE '%.md' ORDER BY project, path")
+@query("SELECT DISTINCT project, path FROM tree_files WHERE path LIKE '%.rs' OR path LIKE '%/READM_.md' ORDER BY project, path")
 def sorted_paths(spark, d):
-    return table(spark, d, "tree_files").where(F.col("path").like("%.md")).select("project", "path").distinct().orderBy("project", "path")
+    chosen = Selection(include=["*.rs"], extend_include=["READM?.md"], exclude=[])
+    return selection.select_paths(table(spark, d, "tree_files"), chosen).select("project", "path").distinct().orderBy("project", "path")
 
 
 # -- words and sentences ---------------------------------------------------------------
 
-_END = rf"(?:^|{NON_WORD})\p{{L}}+\p{{Ll}}{END_MARK}$"
+_END = r"(?:^|[^\pL\pM\pN_])\pL+\p{Ll}" + _STOPS + "$"
 _SENTENCES = f"""
 words AS (SELECT doc_id, lang, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (
     SELECT doc_id, lang, list_filter(string_split({FLAT}, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)),
@@ -132,14 +149,14 @@ def sentences_min_length(spark, d):
     return documents.sentences(_docs(spark, d), ["doc_id"], min_length=15)
 
 
-_INLINE = "(?s)(?:" + INLINE_ATOM + "|" + NON_WS + ")+"
+_INLINE = "(?:" + SQL_INLINE + "|" + SQL_SOLID + ")+"
 
 
 @query(f"""WITH words AS (SELECT doc_id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (
     SELECT doc_id, regexp_extract_all(text, {_q(_INLINE)}) AS w FROM documents WHERE text IS NOT NULL)),
 ended AS (SELECT *, CASE WHEN regexp_matches(word, {_q(_END)}) THEN 1 ELSE 0 END AS e FROM words),
 counted AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS i FROM ended)
-SELECT doc_id, i, trim(regexp_replace(string_agg(word, ' ' ORDER BY k), {_q(WS + '+')}, ' ', 'g')) AS sentence FROM counted GROUP BY doc_id, i""")
+SELECT doc_id, i, trim(regexp_replace(string_agg(word, ' ' ORDER BY k), {_q(SQL_WS + '+')}, ' ', 'g')) AS sentence FROM counted GROUP BY doc_id, i""")
 def sentences_atomic(spark, d):
     """Sentences never cut inside code, links or addresses; white space collapsed for comparison."""
     rows = documents.sentences(_docs(spark, d), ["doc_id"], atomic=True)
@@ -151,13 +168,10 @@ def words_simple(spark, d):
     return documents.words(_docs(spark, d), ["doc_id"], atomic=False)
 
 
-_JOINED = "text"
-for _a, _b in ((r"%\}", r"\{%"), (r"#\}", r"\{#"), (r"\}\}", r"\{\{"), ("-->", "<!--")):
-    _JOINED = f"regexp_replace({_JOINED}, {_q(f'({_a})({_b})')}, '\\1 \\2', 'g')"
-_ATOMIC = "(?s)(?:" + ATOM + "|" + NON_WS + ")+"
+_ATOMIC = "(?:" + SQL_ATOM + "|" + SQL_SOLID + ")+"
 
 
-@query(f"SELECT doc_id, unnest(generate_series(0, len(w) - 1))::int AS i, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all({_JOINED}, {_q(_ATOMIC)}) AS w FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, unnest(generate_series(0, len(w) - 1))::int AS i, unnest(w) AS word FROM (SELECT doc_id, regexp_extract_all({SQL_JOINED}, {_q(_ATOMIC)}) AS w FROM documents WHERE text IS NOT NULL)")
 def words_atomic(spark, d):
     return documents.words(_docs(spark, d), ["doc_id"], atomic=True)
 
@@ -175,7 +189,7 @@ wrapped AS (SELECT id, line, string_agg(word, ' ' ORDER BY k) AS text FROM fold
 """
 
 
-_BY_LINE = f"SELECT doc_id * 1000000 + i AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, i, list_filter(string_split(trim(regexp_replace(line, {_q(WS + '+')}, ' ', 'g')), ' '), lambda x: x <> '') AS w FROM lines)"
+_BY_LINE = f"SELECT doc_id * 1000000 + i AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, i, list_filter(string_split(trim(regexp_replace(line, {_q(SQL_WS + '+')}, ' ', 'g')), ' '), lambda x: x <> '') AS w FROM lines)"
 _BY_DOC = f"SELECT doc_id AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, list_filter(string_split({FLAT}, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)"
 
 
@@ -197,7 +211,7 @@ def wrap_width_0(spark, d):
     return rows.select("doc_id", F.md5(F.array_join("w", "\n").cast("binary")).alias("digest"))
 
 
-_PARAGRAPHS = f"SELECT doc_id * 100000 + p AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, p, list_filter(string_split(trim(regexp_replace(t, {_q(WS + '+')}, ' ', 'g')), ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(generate_series(1, len(ps))) AS p, unnest(ps) AS t FROM (SELECT doc_id, string_split_regex(text, '\\n{{2,}}') AS ps FROM docs)))"
+_PARAGRAPHS = f"SELECT doc_id * 100000 + p AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, p, list_filter(string_split(trim(regexp_replace(t, {_q(SQL_WS + '+')}, ' ', 'g')), ' '), lambda x: x <> '') AS w FROM (SELECT doc_id, unnest(generate_series(1, len(ps))) AS p, unnest(ps) AS t FROM (SELECT doc_id, string_split_regex(text, '\\n{{2,}}') AS ps FROM docs)))"
 
 
 @query(_greedy(_PARAGRAPHS, 72) + ", filled AS (SELECT id, replace(replace(replace(replace(string_agg(text, chr(10) ORDER BY line), '}} {{', '}}{{'), '%} {%', '%}{%'), '#} {#', '#}{#'), '--> <!--', '--><!--') AS p FROM wrapped GROUP BY id) SELECT id // 100000 AS doc_id, md5(string_agg(p, chr(10) || chr(10) ORDER BY id)) AS digest FROM filled GROUP BY doc_id")
@@ -206,7 +220,24 @@ def fill_paragraphs(spark, d):
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query()
+_STRIPPED = f"trim(regexp_replace(t, {_q(SQL_WS + '+')}, ' ', 'g'))"
+_MODES_SQL = f"""WITH RECURSIVE {N_DOCS},
+parts AS (SELECT doc_id, kind, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS p, t FROM (SELECT doc_id, kind, p, {_STRIPPED} AS t FROM (
+  SELECT doc_id, kind, unnest(generate_series(1, len(ps))) AS p, unnest(ps) AS t FROM (SELECT doc_id, kind, string_split_regex(text, '\\n{{2,}}') AS ps FROM docs))) WHERE t <> ''),
+modes AS (SELECT * FROM (VALUES ('wrap_indent', 4, 4), ('hanging_indent', 0, 4), ('markdown_item', 0, 2)) v(mode, head, other)),
+laid AS (SELECT mode, doc_id, p, other, CASE WHEN p = 1 THEN head ELSE other END AS head, regexp_extract_all({SQL_JOINED.replace("text", "t")}, {_q("(?:" + SQL_ATOM + "|" + SQL_SOLID + ")+")}) AS w FROM parts, modes),
+words AS (SELECT mode, doc_id, p, head, other, unnest(generate_series(0, len(w) - 1)) AS k, unnest(list_transform(w, lambda x: length(x))) AS n FROM laid),
+fold AS (SELECT mode, doc_id, p, k, other, n + CASE WHEN head + n <= 72 THEN head ELSE other END AS used, 0 AS line FROM words WHERE k = 0
+  UNION ALL SELECT w.mode, w.doc_id, w.p, w.k, w.other, CASE WHEN f.used + 1 + w.n <= 72 THEN f.used + 1 + w.n ELSE w.other + w.n END, f.line + (f.used + 1 + w.n > 72)::int
+  FROM fold f JOIN words w ON w.mode = f.mode AND w.doc_id = f.doc_id AND w.p = f.p AND w.k = f.k + 1),
+sized AS (SELECT mode, doc_id, p, max(line) + 1 AS n FROM fold GROUP BY ALL),
+filled AS (SELECT mode, doc_id, sum(n) + count(*) - 1 AS n FROM sized GROUP BY ALL),
+plain AS (SELECT doc_id, kind, length(text) - length(replace(text, chr(10), '')) + 1 AS n FROM docs)
+SELECT kind, sum(n) AS "none", sum(coalesce(a, 1)) AS wrap_indent, sum(n) AS indent_only, sum(coalesce(b, 1)) AS hanging_indent, sum(coalesce(c, 1)) AS markdown_item
+FROM plain LEFT JOIN (SELECT doc_id, max(n) FILTER (mode = 'wrap_indent') AS a, max(n) FILTER (mode = 'hanging_indent') AS b, max(n) FILTER (mode = 'markdown_item') AS c FROM filled GROUP BY doc_id) USING (doc_id) GROUP BY kind"""
+
+
+@query(_MODES_SQL)
 def fill_modes(spark, d):
     """Lines per mode of plain-text filling."""
     c = text.normalize_source(F.col("text"))
@@ -214,7 +245,30 @@ def fill_modes(spark, d):
     return _docs(spark, d, "kind").groupBy("kind").agg(*counts)
 
 
-@query()
+_SEMANTIC_SQL = f"""WITH RECURSIVE
+flat AS (SELECT doc_id, {FLAT} AS text FROM documents WHERE text IS NOT NULL),
+units AS (SELECT doc_id, unnest(generate_series(0, len(u) - 1)) AS k, unnest(u) AS unit FROM (SELECT doc_id, regexp_extract_all(text, {_q("(?:" + SQL_INLINE + "|" + SQL_SOLID + ")+")}) AS u FROM flat)),
+ends AS (SELECT *, coalesce(sum(regexp_matches(unit, {_q(r"(?:^|[^\pL\pM\pN_])\pL+\p{Ll}" + _STOPS + "$")})::int) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::int AS s FROM units),
+said AS (SELECT doc_id, s, string_agg(unit, ' ' ORDER BY k) AS text FROM ends GROUP BY ALL),
+w AS (SELECT doc_id, s, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, s, regexp_extract_all({SQL_JOINED}, {_q("(?:" + SQL_ATOM + "|" + SQL_SOLID + ")+")}) AS w FROM said)),
+words AS (SELECT doc_id, s, k, word, regexp_replace(regexp_replace(word, '^([0-9]+)([.)])$', '\\1\\\\\\2'), '^([-*+>]|#+)$', '\\\\\\1') AS safe, row_number() OVER (PARTITION BY doc_id ORDER BY s, k) AS pos FROM w),
+fold AS (SELECT doc_id, pos, s, word, 0 AS line, 0 AS held, length(word) AS n, 2 + length(word) AS used, 0 AS more FROM words WHERE pos = 1
+  UNION ALL SELECT x.doc_id, x.pos, x.s, CASE WHEN x.s = f.s AND f.used + 1 + length(x.word) > 88 THEN x.safe ELSE x.word END,
+   CASE WHEN x.s <> f.s THEN 0 WHEN f.used + 1 + length(x.word) <= 88 THEN f.line ELSE f.line + 1 END,
+   CASE WHEN x.s = f.s THEN f.held ELSE x.h END,
+   CASE WHEN x.s <> f.s THEN length(x.word) WHEN f.used + 1 + length(x.word) <= 88 THEN f.n + 1 + length(x.word) ELSE length(x.safe) END,
+   CASE WHEN x.s <> f.s THEN length(x.word) + CASE WHEN 2 + x.h + length(x.word) <= 88 THEN 2 + x.h ELSE 2 END WHEN f.used + 1 + length(x.word) <= 88 THEN f.used + 1 + length(x.word) ELSE 2 + length(x.safe) END,
+   CASE WHEN x.s <> f.s THEN length(x.safe) - length(x.word) ELSE f.more END
+  FROM fold f JOIN LATERAL (SELECT y.*, CASE WHEN l.len < 20 THEN l.len ELSE 0 END AS h FROM words y, (SELECT CASE WHEN f.line > 0 THEN f.n WHEN f.held > 0 AND f.held + 1 + f.n <= 88 THEN f.held + 1 + f.n ELSE f.n + f.more END AS len) l WHERE y.doc_id = f.doc_id AND y.pos = f.pos + 1) x ON true),
+lines AS (SELECT doc_id, s, line, any_value(held) AS held, string_agg(word, ' ' ORDER BY pos) AS text FROM fold GROUP BY ALL),
+joined AS (SELECT *, line = 0 AND held > 0 AND held + 1 + length(text) <= 88 AS joins FROM lines),
+ready AS (SELECT doc_id, s, line, joins, CASE WHEN line = 0 AND s > 0 AND NOT joins THEN regexp_replace(regexp_replace(text, '^([0-9]+)([.)])( |$)', '\\1\\\\\\2\\3'), '^([-*+>]|#+)( |$)', '\\\\\\1\\2') ELSE text END AS text FROM joined),
+whole AS (SELECT doc_id, string_agg(CASE WHEN joins THEN ' ' WHEN s = 0 AND line = 0 THEN '> ' ELSE chr(10) || '> ' END || text, '' ORDER BY s, line) AS text FROM ready GROUP BY doc_id),
+tight AS (SELECT doc_id, replace(replace(replace(replace(text, '%}} {{%', '%}}{{%'), '#}} {{#', '#}}{{#'), '}}}} {{{{', '}}}}{{{{'), '--> <!--', '--><!--') AS text FROM whole)
+SELECT doc_id, coalesce(t, '') AS wrapped FROM flat LEFT JOIN (SELECT doc_id, text AS t FROM tight) USING (doc_id)"""
+
+
+@query(_SEMANTIC_SQL)
 def semantic_wrap(spark, d):
     return _docs(spark, d).select("doc_id", arrow.semantic_lines(text.collapse(F.col("text")), 88, "> ", "> ").alias("wrapped"))
 
@@ -227,14 +281,14 @@ def hard_breaks(spark, d):
 
 # -- lines -----------------------------------------------------------------------------
 
-_KIND = f"""CASE WHEN trim(regexp_replace(line, {_q(WS + '+')}, ' ', 'g')) = '' THEN 'blank'
+_KIND = f"""CASE WHEN trim(regexp_replace(line, {_q(SQL_WS + '+')}, ' ', 'g')) = '' THEN 'blank'
  WHEN regexp_matches(line, '^ {{0,3}}(?:`{{3,}}[^`]*|~{{3,}}.*)$') THEN 'fence'
  WHEN regexp_matches(line, '^ {{0,3}}[*_-]') AND regexp_matches(regexp_replace(line, '[ \\t]+', '', 'g'), '^(?:\\*{{3,}}|-{{3,}}|_{{3,}})$') THEN 'break'
  WHEN regexp_matches(line, '^ {{0,3}}#{{1,6}}(?:[ \\t]|$)') THEN 'heading'
- WHEN regexp_matches(line, {_q(f'^{WS}*[|](?:{WS}*:?-+:?{WS}*[|])+{WS}*$')}) THEN 'separator'
- WHEN regexp_matches(line, {_q(f'^{WS}*[|]')}) THEN 'table'
- WHEN regexp_matches(line, {_q(f'^{WS}*(?:[-*+]|[0-9]{{1,9}}[.)])[ ' + chr(92) + 't]')}) THEN 'list'
- WHEN regexp_matches(line, {_q('(?s)^(?:[{]%|[{]#|[{][{]|<!--).*(?:%[}]|#[}]|[}][}]|-->)' + WS + '*$')}) THEN 'tag' ELSE 'text' END"""
+ WHEN regexp_matches(line, {_q(f'^{SQL_WS}*[|](?:{SQL_WS}*:?-+:?{SQL_WS}*[|])+{SQL_WS}*$')}) THEN 'separator'
+ WHEN regexp_matches(line, {_q(f'^{SQL_WS}*[|]')}) THEN 'table'
+ WHEN regexp_matches(line, {_q(f'^{SQL_WS}*(?:[-*+]|[0-9]{{1,9}}[.)])[ ' + chr(92) + 't]')}) THEN 'list'
+ WHEN regexp_matches(line, {_q('(?s)^(?:[{]%|[{]#|[{][{]|<!--).*(?:%[}]|#[}]|[}][}]|-->)' + SQL_WS + '*$')}) THEN 'tag' ELSE 'text' END"""
 
 
 @query(f"WITH {LINES} SELECT kind AS doc_kind, {_KIND} AS kind, count(*) AS n_lines FROM lines GROUP BY ALL")
@@ -244,49 +298,62 @@ def line_classification(spark, d):
 
 
 @query(f"""WITH {LINES}, rules AS (SELECT DISTINCT line FROM lines WHERE {_KIND} = 'separator')
-SELECT line, '| ' || array_to_string(list_transform(string_split(regexp_replace(regexp_replace(line, {_q(f'^{WS}*[|]')}, ''), {_q(f'[|]{WS}*$')}, ''), '|'),
+SELECT line, '| ' || array_to_string(list_transform(string_split(regexp_replace(regexp_replace(line, {_q(f'^{SQL_WS}*[|]')}, ''), {_q(f'[|]{SQL_WS}*$')}, ''), '|'),
  lambda x: (CASE WHEN starts_with(trim(x), ':') THEN ':' ELSE '' END) || '---' || (CASE WHEN ends_with(trim(x), ':') THEN ':' ELSE '' END)), ' | ') || ' |' AS normal FROM rules""")
 def table_separator_normalize(spark, d):
     rows = documents.lines(_docs(spark, d), ["doc_id"]).where("kind = 'separator'").select("line").distinct()
     return rows.select("line", text.separator_row(F.col("line")).alias("normal"))
 
 
-@query(f"""WITH {LINES}, w AS (SELECT DISTINCT regexp_extract(line, {_q(NON_WS + '+')}) AS word FROM lines)
+@query(f"""WITH {LINES}, w AS (SELECT DISTINCT regexp_extract(line, {_q(SQL_SOLID + '+')}) AS word FROM lines)
 SELECT word, regexp_replace(regexp_replace(word, '^([0-9]+)([.)])$', '\\1\\\\\\2'), '^([-*+>]|#+)$', '\\\\\\1') AS escaped FROM w WHERE word <> ''""")
 def escape_line_start(spark, d):
     rows = documents.lines(_docs(spark, d), ["doc_id"]).select(F.regexp_extract("line", f"{NON_WS}+", 0).alias("word")).where("word <> ''").distinct()
     return rows.select("word", text.escape_word(F.col("word")).alias("escaped"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, replace(replace(text, '}}}} {{{{', '}}}}{{{{'), '%}} {{%', '%}}{{%') AS text FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, md5({_JOINED}) AS joined, length({_JOINED}) - length(text) AS n FROM t""")
+_TIGHT = "replace(replace(text, '}} {{', '}}{{'), '%} {%', '%}{%')"
+
+
+@query("WITH t AS (SELECT doc_id, " + _TIGHT + " AS text FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(" + SQL_JOINED + """) AS joined,
+md5(replace(replace(replace(replace(text, '%} {%', '%}{%'), '#} {#', '#}{#'), '}} {{', '}}{{'), '--> <!--', '--><!--')) AS split, length(""" + SQL_JOINED + ") - length(text) AS n FROM t")
 def adjacent_tags(spark, d):
     """One space between adjacent tags, and its removal."""
-    c = text.split_adjacent(F.col("text"))
     tight = F.replace(F.replace(F.col("text"), F.lit("}} {{"), F.lit("}}{{")), F.lit("%} {%"), F.lit("%}{%"))
-    rows = _docs(spark, d).select("doc_id", tight.alias("text"), text.join_adjacent(tight).alias("j"), c.alias("s"))
-    return rows.select("doc_id", F.md5(F.col("j").cast("binary")).alias("joined"), (F.length("j") - F.length("text")).cast("bigint").alias("n"))
+    rows = _docs(spark, d).select("doc_id", tight.alias("text"), text.join_adjacent(tight).alias("j"), text.split_adjacent(text.join_adjacent(tight)).alias("s"))
+    return rows.select("doc_id", F.md5(F.col("j").cast("binary")).alias("joined"), F.md5(F.col("s").cast("binary")).alias("split"), (F.length("j") - F.length("text")).cast("bigint").alias("n"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, i, line, {_KIND} AS kind FROM lines),
-b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)
-SELECT doc_id, count(*) AS n_lines, count_if(kind = 'blank') AS n_blank FROM b WHERE NOT (kind = 'blank' AND coalesce(before, '') = 'blank') GROUP BY doc_id""")
-def collapse_blank_lines(spark, d):
-    rows = documents.collapse_blank_lines(documents.lines(_docs(spark, d), ["doc_id"]), "doc_id")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("kind") == "blank").alias("n_blank"))
+_GAPS = "replace(text, chr(10) || chr(10), chr(10) || chr(10) || chr(10))"
 
 
-@query(f"""WITH {LINES}, o AS (SELECT doc_id, i, line, regexp_matches(line, '^[0-9]{{1,9}}[.)][ \\t]') AS item FROM lines),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o WHERE item)
-SELECT doc_id, i::int AS i, (first_value(regexp_extract(line, '^[0-9]+')::bigint) OVER (PARTITION BY doc_id, run ORDER BY i) + row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1)
- || '. ' || regexp_replace(line, '^[0-9]{{1,9}}[.)][ \\t]', '') AS line FROM g""")
+@query(f"""WITH RECURSIVE {LINES.replace(NORM + " AS text", NORM.replace("text", _GAPS) + " AS text")},
+marked AS (SELECT doc_id, i, line, regexp_extract(line, '^[ ]*(?:[-*+>] +|[0-9]+[.)] +)*(`{{3,}}|~{{3,}})', 1) AS mark FROM lines),
+walk AS (SELECT doc_id, i, line, mark AS fence, mark <> '' AS opaque FROM marked WHERE i = 0
+  UNION ALL SELECT m.doc_id, m.i, m.line, CASE WHEN w.fence = '' THEN m.mark WHEN m.mark <> '' AND left(m.mark, 1) = left(w.fence, 1) AND length(m.mark) >= length(w.fence) AND regexp_matches(m.line, '[`~] *$') THEN '' ELSE w.fence END,
+  w.fence <> '' OR m.mark <> '' FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.i = w.i + 1),
+b AS (SELECT *, NOT opaque AND trim(regexp_replace(line, {_q(SQL_WS + '+')}, ' ', 'g')) = '' AS blank FROM walk),
+c AS (SELECT *, lag(blank) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM b)
+SELECT doc_id, count(*) AS n_lines, count_if(blank) AS n_blank FROM c WHERE NOT (blank AND coalesce(before, false)) GROUP BY doc_id""")
+def collapse_blank_lines(spark, d):
+    """Every gap doubled, then blank runs outside code collapsed."""
+    wide = F.replace(F.col("text"), F.lit("\n\n"), F.lit("\n\n\n"))
+    rows = documents.collapse_blank_lines(_docs(spark, d).withColumn("text", wide))
+    c = F.col("text")
+    lines, opaque = text.lines(c), arrow.opaque_flags(c)
+    return rows.select("doc_id", lines.alias("l"), opaque.alias("o")).select(
+        "doc_id", F.size("l").cast("bigint").alias("n_lines"), F.size(F.filter(F.arrays_zip("l", "o"), lambda x: ~x["o"] & (text.collapse(x["l"]) == ""))).cast("bigint").alias("n_blank"))
+
+
+@query(f"""WITH {LINES}, o AS (SELECT doc_id, i, line, regexp_matches(line, '^[0-9]{{1,9}}[.)][ \\t]+[A-Za-z]') AS item FROM lines),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o WHERE item),
+n AS (SELECT *, first_value(regexp_extract(line, '^[0-9]+')::bigint) OVER w + row_number() OVER w - 1 AS n, first_value(i) OVER w AS first FROM g WINDOW w AS (PARTITION BY doc_id, run ORDER BY i))
+SELECT doc_id, string_agg(n || '. ' || regexp_replace(line, '^[0-9]{{1,9}}[.)][ \\t]', ''), chr(10) ORDER BY i) AS items FROM n GROUP BY doc_id, first""")
 def ordered_list_renumber(spark, d):
     """Items of an ordered list counted on from the first number; the delimiter is a stop."""
-    rows = documents.lines(_docs(spark, d), ["doc_id"]).where(F.col("line").rlike(r"\A[0-9]{1,9}[.)][ \t]"))
-    run = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    w = Window.partitionBy("doc_id", "run").orderBy("i")
-    number = F.first(F.regexp_extract("line", "^[0-9]+", 0).cast("bigint")).over(w) + F.row_number().over(w) - 1
-    return rows.withColumn("run", run).select("doc_id", "i", F.concat(number.cast("string"), F.lit(". "), F.regexp_replace("line", r"\A[0-9]{1,9}[.)][ \t]", "")).alias("line"))
+    runs = F.regexp_extract_all(text.normalize_source(F.col("text")), F.lit(r"(?m)^((?:[0-9]{1,9}[.)][ \t]+[A-Za-z][^\n]*\n)+)"), 1)
+    rows = documents.renumber_lists(_docs(spark, d).select("doc_id", F.explode(runs).alias("text")))
+    return rows.select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("items"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, i::int AS i, regexp_replace(regexp_replace(line, '^( {{0,3}}#{{1,6}}[ \\t]+)\\*\\*\\*([^*]+)\\*\\*\\*[ \\t]*$', '\\1*\\2*'), '^( {{0,3}}#{{1,6}}[ \\t]+)\\*\\*([^*]+)\\*\\*[ \\t]*$', '\\1\\2') AS line
@@ -306,7 +373,7 @@ def smart_quotes(spark, d):
     return rows.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("new", F.lit("[“”‘’]"), 0)).alias("n_marks"))
 
 
-@query(f"SELECT DISTINCT word, replace(word, '''', '’') AS new FROM (SELECT unnest(string_split({FLAT}, ' ')) AS word FROM documents) WHERE regexp_matches(word, {_q(text.WORD + chr(39) + text.WORD)}) AND length(word) - length(replace(word, '''', '')) = 1 AND NOT contains(word, '\"')")
+@query(f"SELECT DISTINCT word, replace(word, '''', '’') AS new FROM (SELECT unnest(string_split({FLAT}, ' ')) AS word FROM documents) WHERE regexp_matches(word, '[\\pL\\pM\\pN_]''[\\pL\\pM\\pN_]') AND length(word) - length(replace(word, '''', '')) = 1 AND NOT contains(word, '\"')")
 def apostrophes(spark, d):
     """Words with one apostrophe between word characters."""
     rows = _docs(spark, d).select(F.explode(F.split(text.collapse(F.col("text")), " ")).alias("word")).distinct()
@@ -336,15 +403,15 @@ def reference_resolution(spark, d):
     """Inline links turned into reference links, with definitions in all but one kind."""
     more = F.concat(F.lit("\n\n[guide]: https://old.example/\n[GUIDE]: https://new.example/"), F.col("doc_id").cast("string"))
     linked = F.concat(F.replace(F.col("text"), F.lit("[the guide]("), F.lit("[The Guide][Guide] (")), F.when(F.col("kind") == "spec", "").otherwise(more))
-    return documents.references(_docs(spark, d, "kind").withColumn("text", linked), "doc_id")
+    return documents.references(_docs(spark, d, "kind").withColumn("text", linked), ["doc_id"])
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     """Regions of a batch laid end to end; every region begins before its forerunner ends."""
     rows = table(spark, d, "inline_regions").select("region_id", "batch_id", "idx", "kind", F.coalesce(F.length("source"), F.lit(0)).cast("bigint").alias("n")).distinct()
-    upto = Window.partitionBy("batch_id").orderBy("idx", "region_id").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / 2)
-    return rows.withColumn("start", start.cast("bigint")).withColumn("end", F.col("start") + F.col("n")).drop("n", "idx")
+    rows = running(rows.withColumn("idx", F.col("idx").cast("bigint")), ["batch_id"], "idx", F.col("n"), "sum", "upto", ties=[F.col("region_id")], bucket_us=1 << 12)
+    start = F.floor((F.col("upto") - F.col("n")) / 2)
+    return rows.withColumn("start", start.cast("bigint")).withColumn("end", F.col("start") + F.col("n")).drop("n", "idx", "upto")
 
 
 _INTERVALS = """cut AS (SELECT DISTINCT region_id, batch_id, idx, kind, coalesce(length(source), 0) AS n FROM inline_regions),
@@ -360,9 +427,7 @@ def region_overlap_join(spark, d):
 @query(f"WITH {_INTERVALS} SELECT batch_id, s AS start, region_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, s ORDER BY CASE kind WHEN 'code_span' THEN 20 ELSE 99 END, -n, kind, region_id) AS k FROM placed) WHERE k = 1")
 def region_arbitration(spark, d):
     rows = _intervals(spark, d)
-    rank = F.when(F.col("kind") == "code_span", 20).otherwise(99)
-    best = Window.partitionBy("batch_id", "start").orderBy(rank, F.col("start") - F.col("end"), "kind", "region_id")
-    return rows.withColumn("k", F.row_number().over(best)).where("k = 1").select("batch_id", "start", "region_id")
+    return documents.arbitrate(rows, ["batch_id"], ties=["region_id"]).select("batch_id", "start", "region_id")
 
 
 _MARK = "fm AS (SELECT DISTINCT h FROM (SELECT unnest(hashes) AS h FROM cache_manifests WHERE version = 1))"
@@ -391,6 +456,20 @@ def manifest_union(spark, d):
     return manifest.merged(_manifest(spark, d), fresh).groupBy("project").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {_MARK}, seen AS (SELECT project, content_hash IN (SELECT h FROM fm WHERE h IS NOT NULL) AS hit FROM tree_files), n AS (SELECT project, count_if(hit) AS hits, count(*) - count_if(hit) AS misses FROM seen GROUP BY project) SELECT project, hits, misses, printf('%.1f', round(hits * 100.0::DECIMAL(18, 4) / (hits + misses), 1)) || '%' AS rate FROM n")
+def cache_hits(spark, d):
+    """Hits, misses and hit rate of each project's file versions."""
+    return manifest.hit_counts(table(spark, d, "tree_files"), _manifest(spark, d), "x", ["project"])
+
+
+@query("SELECT kind, count(*) AS n_docs, sum(length(text))::bigint AS n_chars, true AS timed FROM documents WHERE text IS NOT NULL GROUP BY kind")
+def stage_timings(spark, d):
+    """Documents and characters per kind; ``timed``: each stage of each document took time."""
+    rows = documents.format_metrics(_docs(spark, d, "kind"), options=FormatOptions.auto())
+    good = (F.col("parse_us") >= 0) & (F.col("render_us") >= 0) & (F.col("parse_us") + F.col("render_us") > 0)
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"), F.bool_and(good).alias("timed"))
+
+
 @query("SELECT lower(hex(encode(lower(path)))) AS code, lower(path) AS label FROM (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL)")
 def label_codec(spark, d):
     rows = table(spark, d, "documents").where("path is not null").select("path").distinct()

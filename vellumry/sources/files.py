@@ -183,7 +183,6 @@ class Resolver:
     def _walk(self, root: str) -> Iterator[str]:
         names = ([".gitignore"] if self.selection.respect_gitignore else []) + [f".{self.selection.tool}ignore"]
         rules: dict[str, list[Ignore]] = {}
-        plain = [p for p in self.selection.excludes if not p.endswith("/")]
         for folder, dirs, files in os.walk(root, followlinks=False):
             inherited = rules.get(os.path.dirname(folder), []) if folder != root else []
             here = rules[folder] = inherited + [r for n in names if n in files and (r := Ignore.read(os.path.join(folder, n)))]
@@ -195,10 +194,10 @@ class Resolver:
             dirs[:] = sorted(d for d in dirs if not self._pruned(d) and not ignored(d, True) and not os.path.islink(os.path.join(folder, d)))
             for name in files:
                 path = os.path.join(folder, name)
-                if self._included(name) and not ignored(name, False) and not os.path.islink(path) and not matches(path, plain, root) and self._fits(path):
+                if self._included(name) and not ignored(name, False) and not os.path.islink(path) and self._fits(path):
                     yield path
 
     def _glob(self, pattern: str) -> Iterator[str]:
         for path in glob.glob(pattern, recursive=True, include_hidden=True):
-            if os.path.isfile(path) and self._included(os.path.basename(path)) and self._fits(path) and not any(self._pruned(p) for p in os.path.relpath(path, self.cwd).split(os.sep)[:-1]):
+            if os.path.isfile(path) and self._included(os.path.basename(path)) and self._fits(path) and not any(map(self._pruned, path.split(os.sep)[:-1])):
                 yield path
