@@ -23,12 +23,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", named.alias("diff")).distinct()
 
 
-def p1_all_copies(spark: SparkSession, d: str) -> DataFrame:
-    """All revisions of all ids as duplicate-key copies, paired at least cost."""
+def p1_method(spark: SparkSession, d: str) -> DataFrame:
+    """All revisions of all ids as duplicate-key copies: identical rows cancel by multiplicity,
+    what is left of an id is paired at least cost."""
     left, right = _cases(spark, d)
     return copydiff.copy_differences(left, right, ["id"], CASE_FIELDS)
 
 
+def p1_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Differing fields and unpaired rows of each id, at least cost."""
+    of = lambda good: F.sum(F.when(good, F.col("n")).otherwise(0)).cast("bigint")
+    ends = F.col("diff").isin(copydiff.ONLY_LEFT, copydiff.ONLY_RIGHT)
+    return p1_method(spark, d).groupBy("id").agg(of(~ends).alias("n_fields"), of(F.col("diff") == copydiff.ONLY_LEFT).alias("n_upstream"), of(F.col("diff") == copydiff.ONLY_RIGHT).alias("n_port"))
+
+
 def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return p1_found(spark, d).groupBy("diff").agg(F.count(F.lit(1)).alias("n_ids"))
 
@@ -65,7 +73,7 @@ def p4_work_per_run(spark: SparkSession, d: str) -> DataFrame:
     return p4_found(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_all_copies, p1_summary, p3_found, p3_report, p3_current, p3_history, p4_found, p4_work_per_run)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_method, p1_cost, p1_summary, p3_found, p3_report, p3_current, p3_history, p4_found, p4_work_per_run)}
 
 _P1 = """
 WITH u AS (SELECT * FROM (SELECT id, expected_stdout, before_tree, after_tree,
@@ -80,6 +88,22 @@ UNION ALL SELECT u.id, 'before_tree' FROM u JOIN p ON u.id = p.id WHERE u.before
 UNION ALL SELECT u.id, 'after_tree' FROM u JOIN p ON u.id = p.id WHERE u.after_tree IS DISTINCT FROM p.after_tree)
 """
 
+# All pairings of what is left of an id after identical rows have cancelled; the cheapest counts.
+_P1_COST = """
+WITH RECURSIVE u AS (SELECT id, expected_stdout AS a, before_tree AS b, after_tree AS c, count(*) AS n FROM upstream_cases GROUP BY ALL),
+ p AS (SELECT id, expected_stdout AS a, before_tree AS b, after_tree AS c, count(*) AS n FROM port_cases GROUP BY ALL),
+ l AS (SELECT u.*, u.n - coalesce(p.n, 0) AS left_over FROM u LEFT JOIN p ON u.id = p.id AND u.a IS NOT DISTINCT FROM p.a AND u.b IS NOT DISTINCT FROM p.b AND u.c IS NOT DISTINCT FROM p.c),
+ r AS (SELECT p.*, p.n - coalesce(u.n, 0) AS left_over FROM p LEFT JOIN u ON u.id = p.id AND u.a IS NOT DISTINCT FROM p.a AND u.b IS NOT DISTINCT FROM p.b AND u.c IS NOT DISTINCT FROM p.c),
+ rows AS (SELECT 'u' AS side, id, a, b, c, unnest(generate_series(1, left_over)) FROM l WHERE left_over > 0 UNION ALL SELECT 'p', id, a, b, c, unnest(generate_series(1, left_over)) FROM r WHERE left_over > 0),
+ counted AS (SELECT id, count_if(side = 'u') AS nu, count_if(side = 'p') AS np FROM rows GROUP BY id),
+ numbered AS (SELECT r.*, row_number() OVER (PARTITION BY r.id, side) AS k, (side = 'u') = (nu <= np) AS few FROM rows r JOIN counted USING (id)),
+ walk AS (SELECT id, 0::bigint AS k, 0::bigint AS used, 0::bigint AS cost FROM counted
+  UNION ALL SELECT w.id, f.k, w.used + (1 << m.k)::bigint, w.cost + (f.a IS DISTINCT FROM m.a)::int + (f.b IS DISTINCT FROM m.b)::int + (f.c IS DISTINCT FROM m.c)::int
+  FROM walk w JOIN numbered f ON f.id = w.id AND f.few AND f.k = w.k + 1 JOIN numbered m ON m.id = w.id AND NOT m.few WHERE (w.used >> m.k) % 2 = 0)
+SELECT id, min(cost)::bigint AS n_fields, greatest(any_value(nu) - any_value(np), 0)::bigint AS n_upstream, greatest(any_value(np) - any_value(nu), 0)::bigint AS n_port
+FROM walk JOIN counted USING (id) WHERE k = least(nu, np) GROUP BY id
+"""
+
 _P3 = """
 WITH tests AS (SELECT DISTINCT suite, file, class_name, function, discovered_at, removed_at FROM discovered_tests),
  live AS (SELECT * FROM test_mapping WHERE status IN ('mapped', 'partial') AND rust_file IS NOT NULL),
@@ -159,6 +183,7 @@ ORACLES = {
     "p3_history": _P3_HISTORY,
     "p3_current": _P3_NOW,
     "p1_found": _P1 + "SELECT id, diff FROM found",
+    "p1_cost": _P1_COST,
     "p1_summary": _P1 + "SELECT diff, count(*) AS n_ids FROM found GROUP BY diff",
     "p3_found": _P3 + "SELECT * FROM found",
     "p3_report": _P3 + "SELECT src_table, sync_period, ref_field, count(*) AS n_refs, count(DISTINCT row_id) AS n_rows, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY ALL",
