@@ -44,6 +44,36 @@ def test_boundaries(case):
     assert sentence_ends(text + case.rsplit("|", 1)[1]) == want
 
 
+@pytest.mark.parametrize("case", [
+    "# Title|\n- First item|\n- Second item.| It has two.| They end|\n  - Deeper one\n    goes on|\n- Back again|",
+    "1. One|\n2. Two, see vol.\n33) here on p. 4|\n3. Three|",
+    "Prose with vol.\n33) inside and\n- 4 in it.|",
+    "* a “b. c|\n* d” e. f|",
+    "Text.|\n## Head|\nMore text|",
+])
+def test_list_levels_and_headings(case):
+    text, want = "", []
+    for part in case.split("|")[:-1]:
+        text += part
+        want.append(len(text))
+    assert sentence_ends(text) == want
+
+
+@pytest.mark.parametrize("short,long", [
+    ("Τι; Ναι.", "Τι " + "a" * 400 + "; Ναι."), ("plan B. Next one.", "plan" + " " * 400 + "B. Next one."), ("x (" * 3 + "“a. b” C. D." , "x (" * 3000 + "“a. b” C. D."),
+    ("“" + "(" * 3 + " a. B", "“" + "(" * 500 + " a. B"), ("“a" + "(" * 3 + "b. C” D. E", "“a" + "(" * 500 + "b. C” D. E"),
+])
+def test_length_and_depth_change_nothing(short, long):
+    assert len(sentence_ends(short)) == len(sentence_ends(long))
+
+
+def test_unit_counts(spark):
+    from vellumry.llm.sentences import unit_counts
+
+    df = spark.createDataFrame([(1, "An ab. So do.", "k"), (1, "An ab. So do.", "k"), (2, None, "k"), (3, " ", None)], "id bigint, text string, kind string")
+    assert sorted(map(str, unit_counts(df, "id", ["kind"]).collect())) == sorted(["Row(kind='k', n_units=2)"] * 2 + ["Row(kind='k', n_units=0)", "Row(kind=None, n_units=0)"])
+
+
 def test_offsets_count_other_characters_than_white_space():
     assert unit_offsets(" An ab.\u3000 So\xa0 do. ") == [5, 10]
     assert unit_offsets(None) == unit_offsets("") == unit_offsets(" \n\t ") == []

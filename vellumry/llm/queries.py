@@ -18,8 +18,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every document, counted per kind of document."""
     docs = table(spark, d, "documents").select("doc_id", "kind", "text")
-    units = sentences.sentence_units(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return units.join(docs.select("doc_id", "kind"), "doc_id").groupBy("kind").agg(F.sum("n").alias("n_units"), F.max("n").alias("most_units"))
+    counts = sentences.unit_counts(docs, "doc_id", ["kind"]).where("n_units > 0")
+    return counts.groupBy("kind").agg(F.sum("n_units").alias("n_units"), F.max("n_units").alias("most_units"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

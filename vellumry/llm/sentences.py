@@ -1,18 +1,21 @@
 """Sentence boundaries across languages and scripts (problem 2).
 
-A pushdown automaton reads each paragraph once: quotations, brackets, links and code
-spans are pushed when they open and popped when they close, so that terminators inside
-them do not end the sentence around them.  At depth zero a terminator of any script may
-end a sentence; a full stop is checked against a trie of abbreviations and against what
-follows.  Blank lines end every unit.
+A pushdown automaton reads each paragraph once.  List levels are pushed and popped by
+indent, and an item ends with its level; quotations, brackets, links and code spans are
+pushed when they open and popped when they close, so that terminators inside them do not
+end the sentence around them.  At depth zero a terminator of any script may end a
+sentence; a full stop is checked against a trie of abbreviations and against what
+follows.  Blank lines, list items and headings end every unit.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +74,12 @@ _MARKS = re.compile(r"`+|[(\[{（「『【〈《“„«‹‚‘)\]}）」』
 _STOPS = re.compile(rf"[{SURE}{ASKING}.…;;]+")
 #: Where the word before a stop begins: behind white space or an opening mark.
 _WORD_EDGE = frozenset("([{（「『“„«\"'’`/") | frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
-#: Marks open at one time; deeper nesting drops the outermost, which nothing has closed.
-_DEEPEST = 64
+#: Closing mark -> the opening marks that it closes.
+_OPENERS = {c: [o for o, cs in OPEN_TO_CLOSE.items() if c in cs] for c in CLOSE} | {c: [c] for c in "\"'"}
+_LINE = re.compile(r"[^\r\n]*")
+_ITEM = re.compile(r"([ \t]*)(?:([-*+])|(\d{1,9})([.)]))[ \t]+(?=[^\s])")
+_HEADING = re.compile(r"[ ]{0,3}#{1,6}[ \t]+")
+_MAY_HOLD_LEVELS = re.compile(rf"{_ITEM.pattern}|{_HEADING.pattern}|[^\r\n]*[\r\n]+[ ]{{0,3}}#")
 _NEXT = re.compile(rf"[^{WS}]+")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 _THAI_GAP = re.compile(f"(?<=[ก-๛])[{WS}]+(?=[ก-๛]|[A-Z][a-z]+[{WS}]+[A-Za-z])")
@@ -118,11 +125,10 @@ def pairs(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
     that are never closed are dropped, so they cannot swallow the paragraph.
     """
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()  # marks on the stack
     found: list[tuple[int, int, str]] = []
     pos = start
     while m := _MARKS.search(text, pos, stop):
-        if len(stack) > _DEEPEST:
-            del stack[0]
         mark, at, pos = m.group(), m.start(), m.end()
         if mark[0] == "`":
             run = re.compile(rf"(?<!`){mark}(?!`)").search(text, pos, stop)
@@ -138,32 +144,33 @@ def pairs(text: str, start: int, stop: int) -> list[tuple[int, int, str]]:
             pos = end
             continue
         before, after = text[at - 1 : at] if at > start else " ", text[at + 1 : at + 2] or " "
+        known = any(held[o] for o in _OPENERS.get(mark, ()))
         if mark in "\"'":
-            known = any(c == mark for c, _ in stack)
             if mark == "'" and (before.isalnum() and (after.isalnum() or not known)):
                 continue
-            opens = not known and (mark == '"' or not before.isalnum()) and not after.isspace()
-            if opens:
+            if not known and (mark == '"' or not before.isalnum()) and not after.isspace():
                 stack.append((mark, at))
+                held[mark] += 1
                 continue
-            if not known:
-                continue
-        elif mark in OPEN_TO_CLOSE and not (mark in "“‘" and any(mark in OPEN_TO_CLOSE.get(c, "") for c, _ in stack)):
+        elif mark in OPEN_TO_CLOSE and not (mark in "“‘" and known):
             stack.append((mark, at))
+            held[mark] += 1
             continue
         elif mark == "’" and before.isalnum() and after.isalnum():
             continue
-        for depth in range(len(stack) - 1, -1, -1):
-            opener, since = stack[depth]
-            if opener == mark or mark in OPEN_TO_CLOSE.get(opener, ""):
-                del stack[depth:]
-                found.append((since, pos, opener))
-                if opener == "[" and text[pos : pos + 1] == "(":  # the target of a link belongs to it
-                    end = text.find(")", pos, stop)
-                    if end > 0 and not any(c in WS for c in text[pos:end]):
-                        found[-1] = (since, end + 1, "[")
-                        pos = end + 1
+        if not known:
+            continue
+        while True:  # everything opened since is left open, and dropped
+            opener, since = stack.pop()
+            held[opener] -= 1
+            if opener in _OPENERS[mark]:
                 break
+        found.append((since, pos, opener))
+        if opener == "[" and text[pos : pos + 1] == "(":  # the target of a link belongs to it
+            end = text.find(")", pos, stop)
+            if end > 0 and not any(c in WS for c in text[pos:end]):
+                found[-1] = (since, end + 1, "[")
+                pos = end + 1
     found.sort()
     outer: list[tuple[int, int, str]] = []
     for p in found:
@@ -232,9 +239,13 @@ def _stop_ends(text: str, at: int, end: int, begin: int, limit: int) -> bool:
         return _starts(token)
     if single:
         if word.isupper():
-            earlier = text[max(begin, at - 60) : at - 1].split()
-            named = earlier and earlier[-1].strip("(\"'“„«").lower() in LETTERED
-            return bool(named) and _starts(token)
+            stop = at - 1
+            while stop > begin and text[stop - 1].isspace():
+                stop -= 1
+            k = stop
+            while k > begin and not text[k - 1].isspace():
+                k -= 1
+            return text[k:stop].strip("(\"'“„«").lower() in LETTERED and _starts(token)
         return word == "I" or not word.isascii() and not (word.isupper() or word.islower()) and _starts(token) and ord(word) > 0x2E7F
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
         return bare[:1].isupper() and bare in ("The", "It", "In", "This", "That", "We", "He", "She", "They", "A", "An", "But", "And")
@@ -248,11 +259,48 @@ def sentence_ends(text: str) -> list[int]:
     for gap in _PARAGRAPHS.finditer(text):
         if gap.start() < start:
             continue
-        ends += _paragraph(text, start, gap.start())
+        for a, b in levels(text, start, gap.start()):
+            ends += _paragraph(text, a, b)
         start = gap.end()
     return ends
 
 
+def levels(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """The parts of a paragraph that are units of their own: list items and headings.
+
+    The stack holds the open list levels as (indent, kind of mark, number).  A deeper mark pushes a
+    level, a shallower one pops; either way the item before it ends, and with it whatever
+    was opened inside.  A list begins with a paragraph or below a heading; a number counts
+    only if it is 1 or follows the one before, so wrapped prose is no item.  Marks are not
+    part of their items.
+    """
+    if not _MAY_HOLD_LEVELS.match(text, start, stop):
+        return [(start, stop)]
+    parts: list[tuple[int, int]] = []
+    stack: list[tuple[int, str, int]] = []
+    begin, at, fresh = start, start, True
+    while at < stop:
+        end = _LINE.match(text, at, stop).end()
+        if m := _HEADING.match(text, at, end):
+            parts += [(begin, at), (m.end(), end)]
+            stack, begin, fresh = [], end, True
+        elif (m := _ITEM.match(text, at, end)) and (fresh or stack):
+            indent, kind = len(m[1].expandtabs(4)), m[2] or m[4]
+            while len(stack) > 1 and indent < stack[-1][0]:
+                stack.pop()
+            n = int(m[3] or 0)
+            sibling = bool(stack) and stack[-1][1] == kind and abs(indent - stack[-1][0]) < 2 and (m[2] or n in (stack[-1][2], stack[-1][2] + 1))
+            if fresh or sibling or m[2] or n == 1:
+                stack = (stack[:-1] if sibling else [s for s in stack if s[0] < indent]) + [(indent, kind, n)]
+                parts.append((begin, at))
+                begin = m.end()
+            fresh = False
+        elif end > at:
+            fresh = False
+        at = end + 1
+    return [(a, b) for a, b in [*parts, (begin, stop)] if a < b]
+
+
 def _paragraph(text: str, start: int, stop: int) -> list[int]:
     while stop > start and _SPACE.match(text[stop - 1]):
         stop -= 1
@@ -262,7 +310,7 @@ def _paragraph(text: str, start: int, stop: int) -> list[int]:
         return []
     inner = pairs(text, start, stop)
     opened = [p[0] for p in inner]
-    greek = bool(_GREEK.search(text, start, stop))
+    greek = [m.start() for m in _GREEK.finditer(text, start, stop)] if ";" in text else []
     ends: list[int] = []
     begin = start
 
@@ -293,8 +341,8 @@ def _paragraph(text: str, start: int, stop: int) -> list[int]:
                 if end >= stop or _SPACE.match(text, end) or text[end].isupper() or ord(text[end]) > 0x2E7F or end in opened:
                     close(end)
             elif ";" in mark or ";" in mark:
-                sentence = text[max(begin, at - 300) : at]
-                if (";" in mark or greek and _GREEK.search(sentence)) and (end >= stop or _SPACE.match(text, end)):
+                letter = bisect_left(greek, begin)  # the first Greek letter of the sentence
+                if (";" in mark or letter < len(greek) and greek[letter] < at) and (end >= stop or _SPACE.match(text, end)):
                     close(end)
             elif _stop_ends(text, at, at + len(mark), begin, stop):
                 close(end)
@@ -345,3 +393,17 @@ def sentence_units(docs: DataFrame, id_col: str, text_col: str = "text") -> Data
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     return spread(rows, id_col).mapInArrow(run, f"`{id_col}` {kind}, end_at bigint").distinct()
+
+
+def unit_counts(docs: DataFrame, id_col: str, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, n_units) of each row, in the pass that reads the texts: nothing is shuffled.
+
+    Null, empty and blank texts have 0 units; repeated rows are counted each.
+    """
+
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(unit_offsets(t)) for t in texts], dtype="int64")
+
+    rows = spread(docs.select(id_col, *keys, F.col(text_col).cast("string").alias("_t")), id_col)
+    return rows.select(*keys, count("_t").alias("n_units"))
