@@ -1,25 +1,30 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary (problem 6).
 
-The corpus is encoded by merge replay.  Each task gathers the distinct pieces of its
-texts, lays their bytes out as one linked sequence and keeps an inverted index from
-token pair to positions.  Merges are applied in rank order, each to all positions of
-its pair at once, and only the neighbours it touches are indexed anew.  Merges never
-cross a piece, so replaying a task's share of the corpus gives the ids that a replay
-of the whole corpus would give, and no text has to be shuffled.
+Texts are encoded by merge replay.  The distinct pieces of many texts are laid out as one
+linked sequence of bytes with an inverted index from token pair to positions.  Merges are
+applied in rank order, each to all positions of its pair at once, and only the neighbours
+it touches are indexed anew.  Merges never cross a piece, so it does not matter for the
+ids which pieces share a replay.
+
+``encode_documents`` replays the pieces of an Arrow batch that its worker does not know
+yet: no text is shuffled.  ``corpus_words`` gathers the distinct pieces of the whole corpus
+and replays them by hash partition, once each.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumry.runtime import spread
@@ -98,10 +103,15 @@ def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     return found
 
 
+def parsed(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x.strip())}
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+    """Token bytes -> id, from a file of this machine."""
+    with open(path, "rb") as f:
+        return parsed(f.read())
 
 
 class Encoder:
@@ -109,8 +119,8 @@ class Encoder:
 
     MOST_KNOWN, LONGEST_KNOWN = 400_000, 40
 
-    def __init__(self, path: str) -> None:
-        self.ranks = vocabulary(path)
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.chunks, self.pieces = re.compile(CHUNKS).findall, regex.compile(PIECES).findall
         self.known: dict[str, list[int]] = {}
 
@@ -139,13 +149,25 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+class Vocabulary:
+    """A vocabulary file, read once by the driver and sent to the workers (about 1 MB)."""
+
+    _encoders: dict[str, Encoder] = {}  # of this worker
 
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        with open(path, "rb") as f:
+            content = f.read()
+        self.mark, self.sent = hashlib.sha256(content).hexdigest(), spark.sparkContext.broadcast(content)
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, batch_chars: int = 8_000_000) -> DataFrame:
-    """(id, ids array<int>) of every row, without special tokens.
+    def encoder(self) -> Encoder:
+        known = Vocabulary._encoders
+        if self.mark not in known:
+            known[self.mark] = Encoder(parsed(self.sent.value))
+        return known[self.mark]
+
+
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, batch_chars: int = 8_000_000, keys: list[str] | None = None) -> DataFrame:
+    """(id, keys, ids array<int>) of every row, without special tokens.
 
     Strings that look like special tokens are ordinary text.  Null and empty texts give
     an empty list.  Repeated rows are encoded each; other columns are ignored.  Texts
@@ -153,10 +175,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     length of a text.
     """
 
+    keys = keys or []
+    words = Vocabulary(docs.sparkSession, vocabulary_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary_path)
+        own = words.encoder()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             start = 0
             while start < len(texts):
                 stop, size = start, 0
@@ -167,8 +192,53 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(ends[-1])))
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), lists], names=[id_col, "ids"])
+                kept = [batch.column(k).slice(start, stop - start) for k in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, lists], names=[id_col, *keys, "ids"])
                 start = stop
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(id_col, F.col(text_col).cast("string")), id_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    rows = docs.select(id_col, *keys, F.col(text_col).cast("string").alias("_t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return spread(rows, id_col).mapInArrow(run, f"{schema}, ids array<int>")
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", vocabulary_path: str = DEFAULT_VOCABULARY, most_held: int = 500_000, batch_chars: int = 8_000_000) -> DataFrame:
+    """(piece, n, ids): the distinct pieces of the whole corpus, how often each occurs, and its ids.
+
+    Tasks count pieces before the shuffle (at most ``most_held`` different ones are held,
+    then they are passed on); pieces are partitioned by hash, and each partition is
+    replayed at once, in runs of at most about ``batch_chars`` characters.  Null and empty texts have no pieces.
+    """
+    words = Vocabulary(docs.sparkSession, vocabulary_path)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = regex.compile(PIECES).findall, Counter()
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([p.encode("utf-8", "replace") for p in held], pa.binary()), pa.array(held.values(), pa.int64())], names=["piece", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(pieces(text))
+                if len(held) > most_held:
+                    yield flush()
+                    held.clear()
+        yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = words.encoder().ranks
+        for batch in _grouped(batches, batch_chars):
+            ids = replay(batch.column(0).to_pylist(), ranks)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["piece", "n", "ids"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("_t")).where(F.col("_t") != "")
+    counted = spread(texts, "_t").mapInArrow(count, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(merge, "piece binary, n bigint, ids array<int>").withColumn("piece", F.decode("piece", "UTF-8"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
