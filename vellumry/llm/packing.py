@@ -161,3 +161,14 @@ def packing_quality(lines: DataFrame) -> DataFrame:
         F.sum("n").alias("n_lines"), F.sum(least).cast("bigint").alias("least_lines"),
         F.round(1 - F.sum("used") / F.sum(F.col("n") * F.col("width")), 4).alias("unused"),
     )
+
+
+def packing_check(lines: DataFrame) -> DataFrame:
+    """Per mode: regions on lines, their length, lines beyond the capacity, regions that were
+    divided though they fit or that lost a part."""
+    of_line = lines.groupBy("mode", "width", "batch_id", "grp", "line").agg(F.sum("length").alias("used"))
+    over = of_line.groupBy("mode").agg(F.count_if(F.col("used") > F.col("width")).alias("n_over"))
+    regions = lines.groupBy("mode", "width", "region_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("n"), F.max("part").alias("last"))
+    torn = (F.col("parts") > 1) & (F.col("n") <= F.col("width")) | (F.col("last") != F.col("parts") - 1)
+    whole = regions.groupBy("mode").agg(F.count(F.lit(1)).alias("n_regions"), F.sum("n").alias("length"), F.count_if(torn).alias("n_torn"))
+    return whole.join(over, "mode").select("mode", "n_regions", "length", "n_over", "n_torn")

@@ -39,6 +39,11 @@ def p5_quality(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_quality(_lines(spark, d))
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Every region whole and once on lines within the capacity."""
+    return packing.packing_check(_lines(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_documents(table(spark, d, "documents"))
 
@@ -74,4 +79,4 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_lines, p5_quality, p6_ids, p6_method, p6_counts, p7_found, p7_items, p8_found, p8_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p5_found, p5_lines, p5_check, p5_quality, p6_ids, p6_method, p6_counts, p7_found, p7_items, p8_found, p8_kept)}
