@@ -189,7 +189,8 @@ def _filled(body: str, options: FormatOptions, wrapper: wrap.Wrapper | None) ->
     own = wrapper or wrap.line_wrapper(options.width, options.semantic)
     done = Renderer(options, definitions(tree), own).document(tree)
     joint = "\n" if front and rest.startswith("\n") else ""
-    return front + joint + lead + inline.unmask(done).translate(authored)
+    done = inline.unmask(done)
+    return front + joint + lead + (done.translate(authored) if authored else done)
 
 
 def checked_markdown(text: str, options: FormatOptions = FormatOptions(), wrapper: wrap.Wrapper | None = None) -> tuple[str, str | None]:

@@ -6,9 +6,9 @@ import re
 
 # The characters with the property White_Space.
 WS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
 SPACES = re.compile(f"[{WS}]+")
 _NON_SPACE = re.compile(f"[^{WS}]+")
-_EDGES = re.compile(f"\\A[{WS}]+|[{WS}]+\\Z")
 
 # Template tags and comments that wrapping never breaks.
 SINGLE_TAGS = [r"\{%.*?%\}", r"\{#.*?#\}", r"\{\{.*?\}\}", r"<!--.*?-->"]
@@ -44,7 +44,7 @@ SENTENCE_END = re.compile(r"(?<![\w])[^\W\d_]+(?P<last>[^\W\d_])(?:[.?!]['\"’
 
 def strip(text: str) -> str:
     """``text`` without white space at both ends."""
-    return _EDGES.sub("", text)
+    return text.strip(WS_CHARS)
 
 
 def collapse(text: str) -> str:
@@ -233,6 +233,3 @@ def space_blocks_in_tags(text: str) -> str:
             out.append("")
         out.append(line)
     return "\n".join(out)
-
-
-WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))

@@ -179,7 +179,7 @@ def with_tag_lines(base: Wrapper) -> Wrapper:
         return base("\n".join(lines), first, other)
 
     def run(text: str, first: str, other: str) -> str:
-        if "|" not in text and not any(mark in text for mark in marks):
+        if not any(c in text for c in "|{}-") or "|" not in text and not any(mark in text for mark in marks):
             return base(text, first, other)
         parts = segments(text.split("\n"))
         if len(parts) == 1:
