@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vellumry.formatting import blocks, source, typography, units, wrap
 from vellumry.formatting.inline import unmask
@@ -19,22 +20,23 @@ from vellumry.options import FormatOptions
 
 
 def of(function: Callable[[str], Any], kind: T.DataType | str):
-    """``function`` on a string column in Arrow batches; null stays null."""
+    """``function`` on a string column in Arrow batches; null stays null.
 
-    if isinstance(kind, str) and kind.startswith("struct<"):
-        names = [part.split()[0] for part in kind[7:-1].split(", ")]
+    Results are Python values of the type ``kind``; structs are dictionaries.
+    """
+    result = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    arrow_type = to_arrow_type(result)
 
-        @F.pandas_udf(kind)
-        def run(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([dict.fromkeys(names) if t is None else function(t) for t in texts], columns=names)
+    @F.arrow_udf(result)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], arrow_type)
 
-        return run
+    return run
 
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else function(t) for t in texts], dtype=object)
 
-    return run
+def where_needed(function: Callable[[str], str], c: Column, needed: Column) -> Column:
+    """``function`` where ``needed`` holds; other texts are as they were and never leave the JVM as more than a null."""
+    return F.coalesce(of(function, "string")(F.when(needed, c)), c)
 
 
 def formatted(c: Column, options: FormatOptions = FormatOptions()) -> Column:
@@ -59,11 +61,11 @@ def timed(c: Column, options: FormatOptions = FormatOptions()) -> Column:
 
 
 def smart_quotes(c: Column) -> Column:
-    return of(typography.smart_quotes, "string")(c)
+    return where_needed(typography.smart_quotes, c, c.contains('"') | c.contains("'"))
 
 
 def ellipses(c: Column) -> Column:
-    return of(typography.ellipses, "string")(c)
+    return where_needed(typography.ellipses, c, c.contains("..."))
 
 
 def sentences_plain(c: Column, min_length: int = 0) -> Column:
