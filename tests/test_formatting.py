@@ -274,8 +274,14 @@ def test_atoms_stay_whole_in_long_texts():
 @given(st.lists(st.sampled_from([*PIECES, "$$\nx\n$$", "<div>\n$a$", "| `a|b` | c$ |", "> $x\n> y$"]), max_size=10), st.sampled_from(["\n", "\n\n"]))
 @settings(max_examples=300, deadline=None)
 def test_regions_of_documents_are_disjoint_and_exact(parts, joint):
+    import re
+
+    from vellumry.functions.text import MAY_HOLD_REGIONS
+
     text = source.normalize(joint.join(parts))[0]
     found = blocks.protected_regions(text)
+    assert not found or re.search(MAY_HOLD_REGIONS, text)
+    assert len(blocks.line_frames(text)) == len(blocks.opaque_lines(text))
     assert all(text[r.start : r.end] == r.source for r in found) and all(a.end <= b.start for a, b in zip(found, found[1:]))
 
 

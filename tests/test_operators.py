@@ -376,6 +376,15 @@ def test_why_a_document_keeps_its_source(spark, monkeypatch):
     assert markdown.checked_markdown("a  b") == ("a  b\n", "KeyError: 'gone'")
 
 
+def test_structure_of_a_document_nested_too_deep(spark):
+    deep = "> " * 40_000 + "x\n"
+    df = spark.createDataFrame([(1, deep), (2, "> a\n")], "id int, text string")
+    assert [r["kind"] for r in documents.blocks(df, ["id"]).where("id = 1").collect()] == ["raw"]
+    assert documents.regions(df, ["id"]).count() == 0 and documents.framed_lines(df, ["id"]).count() == 2 and documents.scopes(df, ["id"]).count() == 1 and documents.references(df, ["id"]).count() == 0
+    got = {r["id"]: (r["formatted"], r["error"]) for r in documents.format_documents(df).collect()}
+    assert got[2] == ("> a\n", None) and got[1][0] == deep and got[1][1].startswith("RecursionError")
+
+
 def test_paths_are_selected(spark):
     from vellumry.operators.selection import select_paths
     from vellumry.sources.files import Selection

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate
+from typing import NamedTuple
 
 from vellumry.formatting.regions import ATTRIBUTE_GROUP, BLOCK_TAGS, CLOSE_TAG, OPEN_TAG, Region, arbitrate, cell_spans, inline_candidates
 
@@ -126,6 +128,14 @@ def parse(text: str) -> list[Block]:
     return out + _Reader([Line(i, x) for i, x in enumerate(lines)][k:]).blocks()
 
 
+def tree_of(text: str) -> list[Block]:
+    """``parse`` for tables of structure: a document nested too deep to be read is one raw block."""
+    try:
+        return parse(text)
+    except RecursionError:
+        return [Block("raw", 0, max(0, len(_split(text)) - 1), text)]
+
+
 class _Reader:
     def __init__(self, lines: list[Line]) -> None:
         self.lines, self.at = lines, 0
@@ -595,7 +605,7 @@ def opaque_lines(text: str) -> list[bool]:
     lines = _split(text)
     skipped = front_lines(lines)
     out = [k < skipped for k in range(len(lines))]
-    for _, _, _, kind, first, last, _ in flatten(parse("\n".join(lines[skipped:]))):
+    for _, _, _, kind, first, last, _ in flatten(tree_of("\n".join(lines[skipped:]))):
         if kind in ("code", "toml_frontmatter"):
             out[skipped + first : skipped + last + 1] = [True] * (last + 1 - first)
     return out
@@ -630,30 +640,32 @@ def renumbered(text: str) -> str:
                     lines[at] = _NUMBER.sub(f"{b.number + k}.", lines[at], count=1)
             walk(b.children)
 
-    walk(parse("\n".join(lines[skipped:])))
+    walk(tree_of("\n".join(lines[skipped:])))
     return "\n".join(lines) + "\n"
 
 
-def protected_regions(text: str) -> list[Region]:
-    """The protected regions of a normalized document, in order and disjoint.
+class Scope(NamedTuple):
+    """A stretch of a document that is searched for inline regions."""
 
-    Protected blocks are whole lines with their ends, marks of containers included.  Code
-    and front matter hold no region.  Inline regions are searched in each paragraph,
-    heading and table cell that remains.
+    kind: str
+    start: int
+    end: int
+
+
+#: Scopes of one kind of region only: a table as a whole holds raw HTML, its cells all else.
+_HTML = "raw_html_inline"
+
+
+def _scan(text: str) -> tuple[list[Region], list[Scope]]:
+    """(protected blocks, inline scopes) of a normalized document.
+
+    Marks of containers before the first line of a block are not part of its scope.
     """
     lines = text.split("\n")
-    starts = [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
     skipped = front_lines(lines)
     found: list[Region] = []
-    inline: list[Region] = []
-
-    def scan(a: int, b: int, heading: bool = False, tags: bool | None = None) -> None:
-        """Inline regions of text[a:b]; with ``tags`` only raw HTML, or all but it."""
-        for r in inline_candidates(text[a:b], heading):
-            if tags is None or tags == (r.kind == "raw_html_inline"):
-                inline.append(r._replace(start=r.start + a, end=r.end + a))
+    scopes: list[Scope] = []
 
     def walk(tree: list[Block]) -> None:
         for b in tree:
@@ -662,22 +674,56 @@ def protected_regions(text: str) -> list[Region]:
             if b.protected:
                 found.append(Region(b.protected, "block", begin, end, text[begin:end]))
             elif b.kind == "table":
-                scan(begin, end, tags=True)
-                for k in range(first, last + 1):
-                    for x, y in cell_spans(lines[k]):
-                        scan(starts[k] + x, starts[k] + y, tags=False)
+                scopes.append(Scope("table", begin, end))
+                scopes.extend(Scope("cell", starts[k] + x, starts[k] + y) for k in range(first, last + 1) for x, y in cell_spans(lines[k]))
             elif b.kind in ("paragraph", "heading", "definition"):
-                # The marks of containers before the first line of text are not part of it.
                 bare, own = lines[first].rstrip(), b.text.split("\n")[0].rstrip()
                 at = max(0, bare.rfind(own)) if b.kind != "heading" or last > first else max(0, bare.find("#" * b.level))
-                scan(begin + at, end, b.kind == "heading")
+                scopes.append(Scope(b.kind, begin + at, end))
             walk(b.children)
 
-    try:
-        walk(parse("\n".join(lines[skipped:])))
-    except (RecursionError, IndexError, ValueError):  # no tree, so no blocks: paragraphs by blank lines
-        found, inline, at = [], [], 0
-        for paragraph in text.split("\n\n"):
-            scan(at, at + len(paragraph))
-            at += len(paragraph) + 2
+    walk(tree_of("\n".join(lines[skipped:])))
+    return found, scopes
+
+
+def inline_scopes(text: str) -> list[Scope]:
+    """Paragraphs, headings, definitions, tables and cells of a normalized document, in order."""
+    return sorted(_scan(text)[1], key=lambda s: (s.start, -s.end))
+
+
+def protected_regions(text: str) -> list[Region]:
+    """The protected regions of a normalized document, in order and disjoint.
+
+    Protected blocks are whole lines with their ends, marks of containers included.  Code
+    and front matter hold no region.  Inline regions are searched in each scope.
+    """
+    found, scopes = _scan(text)
+    inline: list[Region] = []
+    for kind, a, b in scopes:
+        for r in inline_candidates(text[a:b], kind == "heading"):
+            if kind not in ("table", "cell") or (kind == "table") == (r.kind == _HTML):
+                inline.append(r._replace(start=r.start + a, end=r.end + a))
     return sorted(found + arbitrate(inline), key=lambda r: r.start)
+
+
+def line_frames(text: str) -> list[tuple[str, str]]:
+    """Per line of a normalized document: its containers from the outside in, and the kind of
+    block it belongs to (empty between blocks)."""
+    lines = _split(text)
+    skipped = front_lines(lines)
+    frames = [[] for _ in lines]
+    kinds = ["front_matter" if k < skipped else "" for k in range(len(lines))]
+
+    def walk(tree: list[Block]) -> None:
+        for b in tree:
+            own = range(skipped + b.start, skipped + b.end + 1)
+            if b.kind in ("quote", "item", "footnote"):
+                for k in own:
+                    frames[k].append(b.kind)
+            elif b.kind != "list":
+                for k in own:
+                    kinds[k] = b.protected or b.kind
+            walk(b.children)
+
+    walk(tree_of("\n".join(lines[skipped:])))
+    return [(">".join(f), kind) for f, kind in zip(frames, kinds)]

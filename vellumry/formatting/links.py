@@ -31,7 +31,7 @@ def reference_links(text: str) -> list[tuple[str, str | None, int]]:
     uses in code are none.  A label without a definition has no target.
     """
     front, rest = source.split_front_matter(text)
-    tree = blocks.parse(rest)
+    tree = blocks.tree_of(rest)
     defined = markdown.definitions(tree)
     uses: Counter = Counter()
 

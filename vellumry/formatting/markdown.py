@@ -174,7 +174,7 @@ def definitions(tree: list[Block], out: inline.Definitions | None = None) -> inl
 
 
 #: Frames of the interpreter for nested blocks; the reader and the renderer call themselves.
-_FRAMES = 100_000
+FRAMES = 100_000
 
 
 def _filled(body: str, options: FormatOptions, wrapper: wrap.Wrapper | None) -> str:
@@ -198,7 +198,7 @@ def checked_markdown(text: str, options: FormatOptions = FormatOptions(), wrappe
     body, had_bom = source.normalize(text)
     before = sys.getrecursionlimit()
     try:
-        sys.setrecursionlimit(max(before, _FRAMES))
+        sys.setrecursionlimit(max(before, FRAMES))
         return source.finalize(_filled(body, options, wrapper), had_bom), None
     except Exception as e:  # noqa: BLE001 - one document must not end the job; the cause is reported
         return source.finalize(body, had_bom), f"{type(e).__name__}: {e}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
 from typing import Any
@@ -15,7 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from vellumry.formatting import blocks, source, typography, units, wrap
 from vellumry.formatting.inline import unmask
 from vellumry.formatting.links import reference_links
-from vellumry.formatting.markdown import checked_text, format_text
+from vellumry.formatting.markdown import FRAMES, checked_text, format_text
+from vellumry.functions import text
 from vellumry.options import FormatOptions
 
 
@@ -29,7 +31,12 @@ def of(function: Callable[[str], Any], kind: T.DataType | str):
 
     @F.arrow_udf(result)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], arrow_type)
+        before = sys.getrecursionlimit()
+        try:
+            sys.setrecursionlimit(max(before, FRAMES))
+            return pa.array([None if t is None else function(t) for t in texts.to_pylist()], arrow_type)
+        finally:
+            sys.setrecursionlimit(before)
 
     return run
 
@@ -47,15 +54,12 @@ def formatted(c: Column, options: FormatOptions = FormatOptions()) -> Column:
 def timed(c: Column, options: FormatOptions = FormatOptions()) -> Column:
     """Characters, and microseconds spent on blocks and on the whole rendering."""
 
-    def run(text: str) -> dict:
+    def run(document: str) -> dict:
         start = time.perf_counter_ns()
-        try:
-            blocks.parse(source.normalize(text)[0])
-        except (RecursionError, IndexError, ValueError):
-            pass
+        blocks.tree_of(source.normalize(document)[0])
         parsed = time.perf_counter_ns()
-        format_text(text, options)
-        return {"n_chars": len(text), "parse_us": (parsed - start) // 1000, "render_us": max(0, time.perf_counter_ns() - 2 * parsed + start) // 1000}
+        format_text(document, options)
+        return {"n_chars": len(document), "parse_us": (parsed - start) // 1000, "render_us": max(0, time.perf_counter_ns() - 2 * parsed + start) // 1000}
 
     return of(run, "struct<n_chars bigint, parse_us bigint, render_us bigint>")(c)
 
@@ -97,25 +101,36 @@ def semantic_lines(c: Column, width: int, first: str = "", other: str = "") -> C
 REGION = "array<struct<idx int, kind string, form string, start int, end int, source string, widths array<int>>>"
 
 
-def _regions(text: str) -> list[dict]:
-    return [{"idx": k, "kind": r.kind, "form": r.form, "start": r.start, "end": r.end, "source": r.source, "widths": r.widths} for k, r in enumerate(blocks.protected_regions(text))]
+def _regions(document: str) -> list[dict]:
+    return [{"idx": k, "kind": r.kind, "form": r.form, "start": r.start, "end": r.end, "source": r.source, "widths": r.widths} for k, r in enumerate(blocks.protected_regions(document))]
 
 
 def protected_regions(c: Column) -> Column:
-    """Protected blocks and inline regions of a normalized document."""
-    return of(_regions, REGION)(c)
+    """Protected blocks and inline regions of a normalized document; null where the document
+    cannot hold any."""
+    return of(_regions, REGION)(F.when(text.may_hold_regions(c), c))
+
+
+SCOPE = "array<struct<kind string, start int, end int>>"
+FRAME = "array<struct<frames string, block string>>"
+
+
+def inline_scopes(c: Column) -> Column:
+    """The stretches of a normalized document that may hold inline regions."""
+    return of(lambda t: [x._asdict() for x in blocks.inline_scopes(t)], SCOPE)(c)
+
+
+def line_frames(c: Column) -> Column:
+    """Per line of a normalized document: its containers and the kind of its block."""
+    return of(lambda t: [dict(zip(("frames", "block"), x)) for x in blocks.line_frames(t)], FRAME)(c)
 
 
 BLOCK = "array<struct<ord int, parent int, depth int, kind string, start_line int, end_line int, text string>>"
 _NAMES = ("ord", "parent", "depth", "kind", "start_line", "end_line", "text")
 
 
-def _blocks(text: str) -> list[dict]:
-    try:
-        rows = blocks.flatten(blocks.parse(text))
-    except (RecursionError, IndexError, ValueError):
-        rows = [(0, -1, 0, "raw", 0, text.count("\n"), text)]
-    return [dict(zip(_NAMES, r)) for r in rows]
+def _blocks(document: str) -> list[dict]:
+    return [dict(zip(_NAMES, r)) for r in blocks.flatten(blocks.tree_of(document))]
 
 
 def block_rows(c: Column) -> Column:

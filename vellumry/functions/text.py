@@ -167,3 +167,12 @@ def common_indent(c: Column) -> Column:
     """The least indent of lines that are not blank."""
     full = F.filter(F.split(c, "\n"), lambda x: collapse(x) != "")
     return F.coalesce(F.array_min(F.transform(full, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"\A[ \t]+", "")))), F.lit(0))
+
+
+# What documents with protected syntax hold somewhere, a superset.
+MAY_HOLD_REGIONS = r"(?m)[`$<{\\]|\[\[|\[!|\[(?:cadence|contact|epic|feature_flag|issue|vulnerability|wiki_page|work_item):|^\+\+\+|:::|>>>|\+[-=:]|^[ >\t]*\||--|^[ >\t]*(?:[-*+] +|[0-9]+[.)] +)*[:~|][ \t]"
+
+
+def may_hold_regions(c: Column) -> Column:
+    """Whether a document may hold protected regions; false means that it holds none."""
+    return c.rlike(MAY_HOLD_REGIONS)

@@ -85,6 +85,19 @@ def regions(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame
     return df.select(*keys, F.inline(arrow.protected_regions(text.normalize_source(F.col(text_col)))))
 
 
+def scopes(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, kind, start, end): paragraphs, headings, definitions, tables and cells."""
+    return df.select(*keys, F.inline(arrow.inline_scopes(text.normalize_source(F.col(text_col)))))
+
+
+def framed_lines(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, i, line, frames, block, opaque): lines with their containers, block and code flag."""
+    c = text.normalize_source(F.col(text_col))
+    zipped = F.arrays_zip(text.lines(c).alias("line"), arrow.line_frames(c).alias("frame"), arrow.opaque_flags(c).alias("opaque"))
+    rows = df.select(*keys, F.posexplode(zipped).alias("i", "_z"))
+    return rows.select(*keys, "i", "_z.line", "_z.frame.frames", "_z.frame.block", "_z.opaque")
+
+
 def references(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Reference links with their targets: (keys, label, url, n); url is null where the
     label has no definition.  Of several definitions of a label the last one counts; code

@@ -503,6 +503,13 @@ def protected_regions(spark, d):
     return documents.regions(_docs(spark, d), ["doc_id"])
 
 
+@query(r"SELECT kind, count(*) AS n_docs, count_if(regexp_matches(text, '[`$<{\\]|\[\[|\[!|\[(cadence|contact|epic|feature_flag|issue|vulnerability|wiki_page|work_item):|:::|>>>|\+[-=:]|--') OR regexp_matches(chr(10) || text, '\n(\+\+\+|[ >\t]*\||[ >\t]*([-*+] +|[0-9]+[.)] +)*[:~|][ \t])')) AS n_admitted FROM (SELECT kind, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE text IS NOT NULL) GROUP BY kind")
+def regions_admission(spark, d):
+    """Documents that may hold protected regions; the others are never searched."""
+    may = text.may_hold_regions(text.normalize_source(F.col("text")))
+    return _docs(spark, d, "kind").groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(may).alias("n_admitted"))
+
+
 @query()
 def regions_per_kind(spark, d):
     return documents.regions(_docs(spark, d), ["doc_id"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))

@@ -332,6 +332,42 @@ def golden_opaque(spark: SparkSession, d: str) -> DataFrame:
 _register(golden_opaque, [(c, flags) for c, _, flags in OPAQUE], "case_id, flags")
 
 
+#: (case, document, [(kind, source)])
+SCOPES = [
+    ("paragraphs", "a\nb\n\n> c\n", [("paragraph", "a\nb\n"), ("paragraph", "c\n")]),
+    ("heading", "## a\nb\n", [("heading", "## a\n"), ("paragraph", "b\n")]),
+    ("item", "- a\n- b\n", [("paragraph", "a\n"), ("paragraph", "b\n")]),
+    ("no_code", "```\na\n```\n\nb\n", [("paragraph", "b\n")]),
+    ("no_front_matter", "---\na\n---\nb\n", [("paragraph", "b\n")]),
+    ("cells", "|a|`b|c`|\n|-|-|\n", [("table", "|a|`b|c`|\n|-|-|\n"), ("cell", "a"), ("cell", "`b|c`"), ("cell", "-"), ("cell", "-")]),
+]
+
+
+def golden_scopes(spark: SparkSession, d: str) -> DataFrame:
+    found = documents.scopes(_table(spark, SCOPES), ["case_id"]).join(_table(spark, SCOPES), "case_id")
+    return found.select("case_id", "kind", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("source"))
+
+
+_register(golden_scopes, [(c, *r) for c, _, rs in SCOPES for r in rs], "case_id, kind, source")
+
+#: (case, document, [(containers, block, opaque)]) per line.
+FRAMES = [
+    ("nested", "> - a\n>   b\n> c\n", [("quote>item", "paragraph", 0)] * 3),
+    ("lazy", "- a\nb\n\nc\n", [("item", "paragraph", 0), ("item", "paragraph", 0), ("", "", 0), ("", "paragraph", 0)]),
+    ("code_in_item", "- a\n\n  ```\n  b\n  ```\n", [("item", "paragraph", 0), ("item", "", 0), ("item", "code", 1), ("item", "code", 1), ("item", "code", 1)]),
+    ("front", "---\na\n---\nb\n", [("", "front_matter", 1)] * 3 + [("", "paragraph", 0)]),
+    ("footnote", "[^a]: b\n    c\n", [("footnote", "paragraph", 0), ("footnote", "paragraph", 0)]),
+    ("container", ":::n\na\n:::\n", [("", "colon_container", 0)] * 3),
+]
+
+
+def golden_lines(spark: SparkSession, d: str) -> DataFrame:
+    return documents.framed_lines(_table(spark, FRAMES), ["case_id"]).select("case_id", "i", "frames", "block", F.col("opaque").cast("int").alias("opaque"))
+
+
+_register(golden_lines, [(c, k, *r) for c, _, rs in FRAMES for k, r in enumerate(rs)], "case_id, i, frames, block, opaque")
+
+
 def golden_trees(spark: SparkSession, d: str) -> DataFrame:
     return documents.blocks(_table(spark, TREES), ["case_id"]).drop("text")
 
@@ -351,6 +387,9 @@ def _facts() -> Iterator[tuple[str, object]]:
     yield "flag before file", config.merge({"width": 5}, {"width": 70})["width"]
     yield "file where no flag", config.merge({}, {"width": 70})["width"]
     yield "preset before file", config.merge({}, {"semantic": False}, auto=True)["semantic"]
+    applied: list[str] = []
+    config.merge({"width": 5}, {"width": 70, "include": ["*.rst"], "semantic": False}, auto=True, apply=lambda name, value: applied.append(f"{name}={value[0]}"))
+    yield "values of the file that are applied", " ".join(applied)
     yield "spacing by name", config.options({"list_spacing": "Loose"}).list_spacing.value
     yield "hit rate", manifest.hit_rate(1, 2)
     yield "hit rate of nothing", manifest.hit_rate(0, 0)
@@ -381,7 +420,7 @@ def _facts() -> Iterator[tuple[str, object]]:
 FACTS = [
     ("ignore x.log", "True"), ("ignore d/x.log", "True"), ("ignore d/keep.log", "False"), ("ignore top.md", "True"), ("ignore d/top.md", "None"), ("ignore tmp/", "True"), ("ignore tmp", "None"), ("ignore a/b/c/z.md", "True"),
     ("matches /r/a/b.md a/", "True"), ("matches /r/a/b.md b.md", "True"), ("matches /r/a/b.md b/", "False"), ("matches /r/a/b.md *.rs", "False"), ("matches /r/a/b.md /a/b.md", "True"),
-    ("needs resolution glob", "True"), ("needs resolution stdin", "False"), ("flag before file", "5"), ("file where no flag", "70"), ("preset before file", "True"), ("spacing by name", "loose"),
+    ("needs resolution glob", "True"), ("needs resolution stdin", "False"), ("flag before file", "5"), ("file where no flag", "70"), ("preset before file", "True"), ("values of the file that are applied", "include=*.rst"), ("spacing by name", "loose"),
     ("hit rate", "33.3%"), ("hit rate of nothing", "0.0%"), ("bytes", "12 B"), ("kilobytes", "1.5 KB"), ("megabytes", "5.0 MB"), ("fingerprint of options", "False"), ("fingerprint again", "True"),
     ("cache given", "/c"), ("cache of user", "cache"), ("cache at home", "home"), ("cache temporary", "/t/vellumry"), ("front matter exact", "True"), ("front matter indented", "False"), ("front matter open", "False"),
     ("leading blanks", "n|a"), ("dedent", "an  bnn"), ("wrapper hook", "- A B/C"), ("splitter hook", "a b"), ("sentence hook", "a sentence with some lengthnanother"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tomllib
 import warnings
+from collections.abc import Callable
 from dataclasses import fields, replace
 from typing import Any
 
@@ -66,8 +67,14 @@ def load(path: str, tool: str = "vellumry") -> dict[str, Any]:
     return out
 
 
-def merge(explicit: dict[str, Any], config: dict[str, Any], auto: bool = False) -> dict[str, Any]:
-    """Effective values: explicit flag, else file (unless the preset locks it), else absent."""
+def merge(explicit: dict[str, Any], config: dict[str, Any], auto: bool = False, apply: Callable[[str, Any], None] | None = None) -> dict[str, Any]:
+    """Effective values: explicit flag, else file (unless the preset locks it), else absent.
+
+    ``apply`` is called with the name and value of each value of the file that takes effect.
+    """
+    for name, value in config.items():
+        if apply and name not in explicit and not (auto and name in LOCKED_BY_AUTO):
+            apply(name, value)
     kept = {k: v for k, v in config.items() if not (auto and k in LOCKED_BY_AUTO)}
     preset = dict.fromkeys(LOCKED_BY_AUTO, True) if auto else {}
     return kept | preset | explicit
