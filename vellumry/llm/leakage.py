@@ -190,19 +190,22 @@ def _holds(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_weight
     WORDS_PER_EDIT for each edit, is not negative.  Both sides of the seed are aligned for
     the most slack at each length, so the rule itself chooses the stretch.
     """
-    size, slack = _stretches(doc[:at][::-1], own[:where][::-1], doc_weights[:at][::-1], own_weights[:where][::-1])
     stop, end = at + SEED, where + SEED
-    size_2, slack_2 = _stretches(doc[stop:], own[end:], doc_weights[stop:], own_weights[end:])
     seed = int(own_weights[where:end].sum())
+    left, right = int(own_weights[:where].sum()), int(own_weights[end:].sum())
+    size, slack = _stretches(doc[:at][::-1], own[:where][::-1], doc_weights[:at][::-1], own_weights[:where][::-1], seed + right)
+    size_2, slack_2 = _stretches(doc[stop:], own[end:], doc_weights[stop:], own_weights[end:], seed + left)
     long = size[:, None] + size_2[None, :] >= 2 * LEAST_WORDS - seed
     return bool((long & (slack[:, None] + slack_2[None, :] >= -seed)).any())
 
 
-def _stretches(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stretches(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_weights: np.ndarray, spare: int) -> tuple[np.ndarray, np.ndarray]:
     """(length, most slack) of the stretches that start at both beginnings and end on a match.
 
     Smith-Waterman with the weights of the leak rule: a match is worth its own weight, a
     word replaced or missing costs WORDS_PER_EDIT - 1 times it, an added one WORDS_PER_EDIT.
+    Only the band of cells is kept from which a leak can still come, if all that is left of
+    the item matches and ``spare`` comes from the other side; no leak is lost by it.
     """
     n, m = len(own), len(doc)
     run = 0
@@ -211,20 +214,32 @@ def _stretches(doc: np.ndarray, own: np.ndarray, doc_weights: np.ndarray, own_we
     size = np.concatenate([[0], np.cumsum(own_weights)])
     if run >= min(n, m):
         return size[: run + 1], size[: run + 1]
-    most = np.full(n + 1, -(1 << 30), np.int64)
+    none = -(1 << 30)
+    most = np.full(n + 1, none, np.int64)
     most[: run + 1] = size[: run + 1]
-    doc = doc[run:]
+    doc, m = doc[run:], m - run
     added = np.concatenate([[0], np.cumsum(doc_weights[run:] * int(WORDS_PER_EDIT))])
-    row = size[run] - added
+    row, low = size[run] - added, 0  # the band begins at column ``low``
     for i in range(run, n):
+        hope = int(size[n] - size[i]) + spare
+        open_ = np.flatnonzero(row + hope >= 0)
+        if not len(open_):
+            break
+        row, low = row[open_[0] : open_[-1] + 1], low + int(open_[0])
+        # One column further by a match, and as many as added words can be borne behind it.
+        high = min(low + len(row) + 1 + (int(row.max()) + hope) // int(WORDS_PER_EDIT), m)
         w = int(own_weights[i])
         lost = w * int(WORDS_PER_EDIT - 1)
-        same = doc == own[i]
-        new = row - lost
-        new[1:] = np.maximum(new[1:], row[:-1] + np.where(same, w, -lost))
+        same = doc[low:high] == own[i]
+        before = np.full(high - low, none, np.int64)
+        before[: len(row)] = row[: high - low]
+        new = np.full(high - low + 1, none, np.int64)
+        new[: len(row)] = row - lost
+        new[1:] = np.maximum(new[1:], before + np.where(same, w, -lost))
         if same.any():
-            most[i + 1] = (row[:-1][same] + w).max()
-        row = np.maximum.accumulate(new + added) - added
+            most[i + 1] = (before[same] + w).max()
+        cost = added[low : high + 1]
+        row = np.maximum.accumulate(new + cost) - cost
     return size, most
 
 
