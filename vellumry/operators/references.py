@@ -42,9 +42,12 @@ def existence(df: DataFrame, key: Column, since: Column, until: Column | None =
     return rows.select("key", F.inline(ends), *more).where(F.col("at").isNotNull())
 
 
-def _counted(events: DataFrame) -> DataFrame:
-    """``events`` with n_refs and n_existing, the signed counts of the key after each event."""
-    hot = found_hot(hot_buckets(events, ["key"]))
+def _counted(events: DataFrame, keys: DataFrame) -> DataFrame:
+    """``events`` with n_refs and n_existing, the signed counts of the key after each event.
+
+    ``keys`` has a row per event or pair of events, for the sizes of keys.
+    """
+    hot = found_hot(hot_buckets(keys, ["key"]))
     ties = [F.col("step")]
     cold, warm = (events, None) if hot is None else split_hot(events, ["key"], hot)
     upto = Window.partitionBy("key").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -68,8 +71,9 @@ def orphans(references: DataFrame, deltas: DataFrame) -> DataFrame:
     none = F.lit(None).cast(read.schema["ref"].dataType)
     event = lambda step, refs, exist, ref: F.struct(F.lit(step).alias("step"), F.lit(refs).alias("refs"), exist.cast("int").alias("exist"), ref.alias("ref"))
     entered = read.select("key", "at", F.inline(F.array(event(ENTER, 1, F.lit(0), F.col("ref")), event(LEAVE, -1, F.lit(0), none))))
-    changed = deltas.select("key", "at", F.inline(F.array(event(CHANGE, 0, F.col("delta"), none))))
-    found = _counted(changed.unionByName(entered)).where((F.col("step") == ENTER) & (F.col("n_refs") > 0) & (F.col("n_existing") <= 0))
+    changed = deltas.select("key", "at", event(CHANGE, 0, F.col("delta"), none).alias("e")).select("key", "at", "e.*")
+    keys = deltas.select("key").unionByName(read.select("key"))
+    found = _counted(changed.unionByName(entered), keys).where((F.col("step") == ENTER) & (F.col("n_refs") > 0) & (F.col("n_existing") <= 0))
     return found.select("key", "at", "ref.*")
 
 
