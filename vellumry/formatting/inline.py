@@ -26,6 +26,9 @@ _NUMBERED = re.compile(r"\A\d+\\\.")
 _UNDERSCORES = re.compile(r"_+")
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 
+#: Text without any of these is in normal form.
+_MARKUP = re.compile(r"[\[`$<{\\_\"']|\.\.\.|\n[ \t]|[\ue000-\ue004]")
+
 #: label -> (destination, title with its quotes or "")
 Definitions = dict[str, tuple[str, str]]
 
@@ -181,6 +184,8 @@ def normalize(text: str, defs: Definitions, quotes: bool = False, dots: bool = F
     An escaped full stop loses its backslash, unless it keeps a number at the start of a
     line from becoming a list.
     """
+    if not _MARKUP.search(text):
+        return text
     regions = inline_regions(text, heading)
     out, pos, sources, stand_ins = [], 0, [], []
     for r in regions:

@@ -69,11 +69,15 @@ def plain_words(text: str) -> list[str]:
 
 def join_adjacent(text: str) -> str:
     """One space between a closing tag and an opening tag of its kind."""
+    if "}{" not in text and "><" not in text:
+        return text
     return _ADJACENT.sub(lambda m: " ".join(filter(None, m.groups())), text)
 
 
 def split_adjacent(text: str) -> str:
     """The reverse of ``join_adjacent``; a single authored space goes as well."""
+    if "} {" not in text and "> <" not in text:
+        return text
     return _SPACED.sub(lambda m: "".join(filter(None, m.groups())), text)
 
 
@@ -115,7 +119,8 @@ def atomic_words(text: str) -> list[str]:
 
 #: Characters a sentence can end on; words with other ends need no look.
 _LAST = frozenset(".?!'\"’”)")
-_CANDIDATE = re.compile(f"(?<![^{WS}])[^{WS}]*[.?!'\"’”)](?![^{WS}])")
+_CANDIDATE = re.compile(f"[.?!'\"’”)](?![^{WS}])")
+_WS_SET = frozenset(WS_CHARS)
 _FIRST = re.compile(f"[^{WS}]")
 
 
@@ -148,10 +153,14 @@ def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
     if not min_length and not any(c in text for c in ("`", "[", "<", "://", "www.")):
         # Without atoms only words that end on a mark need a look.
         m = _FIRST.search(text)
-        for end in _CANDIDATE.finditer(text):
-            if m and ends_sentence(end.group()):
-                out.append(text[m.start() : end.end()])
-                m = _FIRST.search(text, end.end())
+        for mark in _CANDIDATE.finditer(text):
+            end = mark.end()
+            word = end - 1
+            while word and text[word - 1] not in _WS_SET:
+                word -= 1
+            if m and ends_sentence(text[word:end]):
+                out.append(text[m.start() : end])
+                m = _FIRST.search(text, end)
         if m:
             out.append(text[m.start() :].rstrip(WS_CHARS))
         return out

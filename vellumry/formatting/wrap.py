@@ -123,7 +123,7 @@ def with_hard_breaks(base: Wrapper) -> Wrapper:
     """Pieces between hard breaks are wrapped each; breaks become a backslash."""
 
     def run(text: str, first: str, other: str) -> str:
-        pieces = _HARD_BREAK.split(text)
+        pieces = _HARD_BREAK.split(text) if "\n" in text else [text]
         if len(pieces) == 1:
             return base(text, first, other)
         return "\\\n".join(base(p, other if k else first, other) for k, p in enumerate(pieces))

