@@ -644,6 +644,23 @@ def renumbered(text: str) -> str:
     return "\n".join(lines) + "\n"
 
 
+def document_rows(text: str) -> list[tuple]:
+    """``flatten`` of a normalized document; front matter is one block at its start."""
+    lines = _split(text)
+    skipped = front_lines(lines)
+    front = [Block("front_matter", 0, skipped - 1, "\n".join(lines[:skipped]))] if skipped else []
+    tree = tree_of("\n".join(lines[skipped:]))
+
+    def shift(level: list[Block]) -> None:
+        for b in level:
+            b.start, b.end = b.start + skipped, b.end + skipped
+            shift(b.children)
+
+    if skipped:
+        shift(tree)
+    return flatten(front + tree)
+
+
 class Scope(NamedTuple):
     """A stretch of a document that is searched for inline regions."""
 

@@ -130,7 +130,7 @@ _NAMES = ("ord", "parent", "depth", "kind", "start_line", "end_line", "text")
 
 
 def _blocks(document: str) -> list[dict]:
-    return [dict(zip(_NAMES, r)) for r in blocks.flatten(blocks.tree_of(document))]
+    return [dict(zip(_NAMES, r)) for r in blocks.document_rows(document)]
 
 
 def block_rows(c: Column) -> Column:

@@ -35,7 +35,7 @@ class Blocks:
 
     def eval(self, text: str | None) -> Iterator[tuple]:
         if text is not None:
-            yield from blocks.flatten(blocks.parse(source.normalize(text)[0]))
+            yield from blocks.document_rows(source.normalize(text)[0])
 
 
 class Regions:

@@ -492,7 +492,29 @@ def block_tree(spark, d):
     return documents.blocks(_docs(spark, d), ["doc_id"])
 
 
-@query()
+# Lines with the state of fenced code: an opening mark, then lines up to one that closes it.
+_FENCED = f"""WITH RECURSIVE {LINES},
+marked AS (SELECT doc_id, i, line, regexp_extract(line, '^[ ]*(?:[-*+>] +|[0-9]+[.)] +)*(`{{3,}}|~{{3,}})', 1) AS mark FROM lines),
+walk AS (SELECT doc_id, i, line, mark AS fence, mark <> '' AS opaque, mark <> '' AS opens FROM marked WHERE i = 0
+  UNION ALL SELECT m.doc_id, m.i, m.line, CASE WHEN w.fence = '' THEN m.mark WHEN m.mark <> '' AND left(m.mark, 1) = left(w.fence, 1) AND length(m.mark) >= length(w.fence) AND regexp_matches(m.line, '[`~] *$') THEN '' ELSE w.fence END,
+  w.fence <> '' OR m.mark <> '', w.fence = '' AND m.mark <> '' FROM walk w JOIN marked m ON m.doc_id = w.doc_id AND m.i = w.i + 1),
+fronts AS (SELECT doc_id, min(i) AS last FROM lines l WHERE i > 0 AND line IN ('---', '...') AND EXISTS (SELECT 1 FROM lines f WHERE f.doc_id = l.doc_id AND f.i = 0 AND f.line = '---') GROUP BY doc_id),
+state AS (SELECT w.*, coalesce(w.i <= f.last, false) AS front FROM walk w LEFT JOIN fronts f USING (doc_id)),
+solid AS (SELECT *, lag(i, 1, -2) OVER (PARTITION BY doc_id ORDER BY i) AS i_before, lag(line, 1, '') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM state WHERE trim(line, chr(9) || ' ') <> ''),
+indented AS (SELECT doc_id, i FROM solid WHERE NOT opaque AND NOT front AND i > i_before + 1 AND regexp_matches(line, '^(    |\\t)') AND NOT regexp_matches(before, '^( *[-*+] | *[0-9]+[.)] |  +|\\t)'))
+"""
+
+
+@query(_FENCED + """SELECT doc_id, CASE WHEN opens THEN 'code' ELSE 'heading' END AS kind, i::int AS start_line FROM state WHERE NOT front AND (opens OR NOT opaque AND regexp_matches(line, '^ {0,3}#{1,6}([ \t]|$)')) UNION ALL SELECT doc_id, 'code', i::int FROM indented""")
+def outline(spark, d):
+    """Headings and code of every document, where they begin."""
+    rows = documents.blocks(_docs(spark, d), ["doc_id"]).where("depth = 0 AND kind = 'heading' OR kind = 'code'")
+    return rows.select("doc_id", "kind", "start_line")
+
+
+@query(_FENCED + """, runs AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM state WHERE NOT opaque AND NOT front AND regexp_matches(line, '^(    |\\t)') AND trim(line, chr(9) || ' ') <> ''),
+code AS (SELECT doc_id, unnest(generate_series(first, last)) AS i FROM (SELECT doc_id, run, min(i) AS first, max(i) AS last FROM runs GROUP BY ALL) JOIN indented n USING (doc_id) WHERE n.i = first)
+SELECT s.doc_id, count(*)::int AS n_lines, count_if(s.opaque OR s.front OR c.i IS NOT NULL)::int AS n_opaque FROM state s LEFT JOIN code c ON c.doc_id = s.doc_id AND c.i = s.i GROUP BY s.doc_id""")
 def opaque_lines(spark, d):
     c = arrow.opaque_flags(text.normalize_source(F.col("text")))
     return _docs(spark, d).select("doc_id", c.alias("f")).select("doc_id", F.size("f").alias("n_lines"), F.size(F.filter("f", lambda x: x)).alias("n_opaque"))

@@ -260,6 +260,7 @@ TREES = [
     ("footnote", "[^a]: b\n\n    c\n", [(-1, 0, "footnote", 0, 2), (0, 1, "paragraph", 0, 0), (0, 1, "paragraph", 2, 2)]),
     ("definition", "[a]: b\n", [(-1, 0, "definition", 0, 0)]),
     ("html", "<p>\na\n</p>\n", [(-1, 0, "raw_html_block", 0, 2)]),
+    ("front_matter", "---\na: 1\n---\n# b\n", [(-1, 0, "front_matter", 0, 2), (-1, 0, "heading", 3, 3)]),
 ]
 
 
