@@ -367,10 +367,32 @@ def unbold_headings(spark, d):
 # -- typography ------------------------------------------------------------------------
 
 
-@query()
+def _curled() -> str:
+    """SQL of smart quotes for the text ``x`` between template tags: pairs in four rounds, then apostrophes."""
+    ws, word = SQL_WS[1:-1], r"[\pL\pN_]"
+    line = rf"\n[\t ]*[^{ws}QU]"  # a line end before a line that is not blank
+    sql = "x"
+    for _ in range(4):
+        for straight, left, right in (('"', "“", "”"), ("'", "‘", "’")):
+            inner = f"(?:[^{straight}{left}{right}\\n]|{line})*".replace("QU", straight + left + right)
+            pattern = rf"(^|[{ws}—]){straight}({inner}){straight}([{ws}.,;:?!—)]|$)"
+            sql = f"regexp_replace({sql}, {_q(pattern)}, '\\1{left}\\2{right}\\3', 'g')"
+    for _ in range(2):
+        for pattern in (rf"(^|[{ws}])([^{ws}']*{word})'({word}[^{ws}']*)([{ws}]|$)", rf"(^|[{ws}])({word}*[sS])'()([{ws}]|$)"):
+            sql = f"regexp_replace({sql}, {_q(pattern)}, '\\1\\2’\\3\\4', 'g')"
+    return sql
+
+
+_QUOTES_SQL = f"""WITH cut AS (SELECT doc_id, string_split_regex(text, {_q(_SINGLE)}) AS segs, regexp_extract_all(text, {_q(_SINGLE)}) AS tags FROM documents WHERE text IS NOT NULL),
+new AS (SELECT doc_id, tags, list_transform(segs, lambda x: {_curled()}) AS segs FROM cut),
+done AS (SELECT doc_id, array_to_string(list_transform(generate_series(1, len(segs)), lambda k: segs[k] || coalesce(tags[k], '')), '') AS new FROM new)
+SELECT doc_id, md5(new) AS digest, len(regexp_extract_all(new, '[“”‘’]'))::bigint AS n_marks FROM done"""
+
+
+@query(_QUOTES_SQL)
 def smart_quotes(spark, d):
     rows = _docs(spark, d).select("doc_id", "text", arrow.smart_quotes(F.col("text")).alias("new"))
-    return rows.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("new", F.lit("[“”‘’]"), 0)).alias("n_marks"))
+    return rows.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("new", F.lit("[“”‘’]"), 0)).cast("bigint").alias("n_marks"))
 
 
 @query(f"SELECT DISTINCT word, replace(word, '''', '’') AS new FROM (SELECT unnest(string_split({FLAT}, ' ')) AS word FROM documents) WHERE regexp_matches(word, '[\\pL\\pM\\pN_]''[\\pL\\pM\\pN_]') AND length(word) - length(replace(word, '''', '')) = 1 AND NOT contains(word, '\"')")
@@ -381,10 +403,25 @@ def apostrophes(spark, d):
     return one.select("word", arrow.smart_quotes(F.col("word")).alias("new"))
 
 
-@query()
+_ELLIPSES_SQL = f"""WITH cut AS (SELECT doc_id, string_split_regex(text, '\\.{{3,}}') AS segs, regexp_extract_all(text, '\\.{{3,}}') AS runs FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc_id, k, len(runs) AS n, segs[k] AS prev, segs[k + 1] AS next, length(runs[k]) AS dots FROM (SELECT *, unnest(generate_series(1, len(runs))) AS k FROM cut)),
+a AS (SELECT *, regexp_replace(prev, {_q(SQL_WS + '+$')}, '') AS core FROM runs),
+b AS (SELECT *, substr(prev, length(core) + 1) AS tail, right(core, 1) AS c, CASE WHEN dots = 4 THEN '.' WHEN dots = 3 THEN regexp_extract(next, '^[,;:?!)—"''‘’“”-]') ELSE '' END AS mark FROM a),
+e AS (SELECT *, regexp_matches(c, '[\\pL\\pN_]') AS word, regexp_matches(c, '["''‘’“”]') AS quote, CASE WHEN dots = 4 THEN next ELSE substr(next, length(mark) + 1) END AS rest FROM b),
+f AS (SELECT *, CASE WHEN word OR quote THEN tail WHEN core = '' AND k = 1 THEN tail WHEN contains(tail, chr(10)) THEN substr(tail, strpos(tail, chr(10)) + 1) END AS gap, regexp_extract(rest, {_q('^' + SQL_WS + '*')}) AS ws FROM e),
+g AS (SELECT *, CASE WHEN length(rest) > length(ws) THEN substr(rest, length(ws) + 1, 1) WHEN k < n THEN '.' ELSE '' END AS behind FROM f),
+h AS (SELECT *, dots < 5 AND gap IS NOT NULL AND (behind = '' OR regexp_matches(behind, '[\\pL\\pN_,:;?!)—"''”’>-]')) AS good FROM g),
+j AS (SELECT *, CASE WHEN good THEN length(gap) ELSE 0 END AS off_end, CASE WHEN good THEN length(ws) + CASE WHEN dots = 3 THEN length(mark) ELSE 0 END ELSE 0 END AS off_start,
+  CASE WHEN good THEN CASE WHEN gap = '' AND word THEN ' ' ELSE gap END || '…' || mark || CASE WHEN ws = '' AND mark = '' AND regexp_matches(behind, '[\\pL\\pN_]') THEN ' ' ELSE ws END ELSE repeat('.', dots) END AS new FROM h),
+m AS (SELECT *, lag(off_start, 1, 0) OVER (PARTITION BY doc_id ORDER BY k) AS from_left FROM j),
+done AS (SELECT doc_id, string_agg(substr(prev, from_left + 1, length(prev) - from_left - off_end) || new, '' ORDER BY k) || max(CASE WHEN k = n THEN substr(next, off_start + 1) END) AS new FROM m GROUP BY doc_id)
+SELECT d.doc_id, md5(coalesce(e.new, d.text)) AS digest, length(coalesce(e.new, d.text)) - length(replace(coalesce(e.new, d.text), '…', '')) AS n_marks FROM documents d LEFT JOIN done e USING (doc_id) WHERE d.text IS NOT NULL"""
+
+
+@query(_ELLIPSES_SQL)
 def ellipses(spark, d):
     rows = _docs(spark, d).select("doc_id", arrow.ellipses(F.col("text")).alias("new"))
-    return rows.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("new", F.lit("…"), 0)).alias("n_marks"))
+    return rows.select("doc_id", F.md5(F.col("new").cast("binary")).alias("digest"), F.size(F.regexp_extract_all("new", F.lit("…"), 0)).cast("bigint").alias("n_marks"))
 
 
 # -- joins, intervals, manifest ----------------------------------------------------------
