@@ -47,8 +47,8 @@ def greedy_lines(text: str, width: int, first: int = 0, other: int = 0, splitter
         if drop:
             text = strip(text)
         return [text] if text else []
-    if collapse:
-        text = units.collapse(text)
+    if collapse and (splitter is not units.plain_words or first + len(text) <= width):
+        text = units.collapse(text)  # words without spaces inside need it only to be returned as they are
         if first + len(text) <= width and "}{" not in text and "><" not in text:
             return [text] if text else []  # it fits as it is: no words to count
     words = splitter(text)

@@ -47,8 +47,12 @@ def where_needed(function: Callable[[str], str], c: Column, needed: Column) -> C
 
 
 def formatted(c: Column, options: FormatOptions = FormatOptions()) -> Column:
-    """struct<formatted, error>: ``error`` says why a document kept its source."""
-    return of(lambda t: dict(zip(("formatted", "error"), checked_text(t, options))), "struct<formatted string, error string>")(c)
+    """struct<formatted, error>: ``error`` says why a document kept its source.
+
+    Marked as not deterministic, so that a filter on the result never formats twice.
+    """
+    run = of(lambda t: dict(zip(("formatted", "error"), checked_text(t, options))), "struct<formatted string, error string>")
+    return run.asNondeterministic()(c)
 
 
 def timed(c: Column, options: FormatOptions = FormatOptions()) -> Column:

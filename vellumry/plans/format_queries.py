@@ -201,7 +201,8 @@ def wrap_width_40_lines(spark, d):
 
 @query(_greedy(_BY_DOC, 88) + "SELECT id AS doc_id, count(*) AS n_lines, max(length(text))::bigint AS longest, md5(string_agg(text, chr(10) ORDER BY line)) AS digest FROM wrapped GROUP BY id")
 def wrap_width_88_docs(spark, d):
-    rows = _docs(spark, d).select("doc_id", arrow.wrapped_lines(F.col("text"), 88).alias("w")).where(F.size("w") > 0)
+    # The filter is native: one on the lines would be pushed below the repartition and wrap every text twice.
+    rows = _docs(spark, d).where(F.col("text").rlike(NON_WS)).select("doc_id", arrow.wrapped_lines(F.col("text"), 88).alias("w"))
     return rows.select("doc_id", F.size("w").cast("bigint").alias("n_lines"), F.array_max(F.transform("w", F.length)).cast("bigint").alias("longest"), F.md5(F.array_join("w", "\n").cast("binary")).alias("digest"))
 
 
@@ -216,7 +217,8 @@ _PARAGRAPHS = f"SELECT doc_id * 100000 + p AS id, unnest(generate_series(0, len(
 
 @query(_greedy(_PARAGRAPHS, 72) + ", filled AS (SELECT id, replace(replace(replace(replace(string_agg(text, chr(10) ORDER BY line), '}} {{', '}}{{'), '%} {%', '%}{%'), '#} {#', '#}{#'), '--> <!--', '--><!--') AS p FROM wrapped GROUP BY id) SELECT id // 100000 AS doc_id, md5(string_agg(p, chr(10) || chr(10) ORDER BY id)) AS digest FROM filled GROUP BY doc_id")
 def fill_paragraphs(spark, d):
-    rows = _docs(spark, d).select("doc_id", arrow.filled(text.normalize_source(F.col("text")), 72, plain=True).alias("t")).where("t <> ''")
+    c = text.normalize_source(F.col("text"))
+    rows = _docs(spark, d).where(c.rlike(NON_WS)).select("doc_id", arrow.filled(c, 72, plain=True).alias("t"))
     return rows.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
