@@ -558,6 +558,9 @@ def cells(row: str) -> list[str]:
     """The cells of a table row; pipes in code spans or behind a backslash do not divide."""
     row = row.strip()
     row = row[1:] if row.startswith("|") else row
+    if "\\" not in row and "`" not in row:
+        parts = [x.strip() for x in row.split("|")]
+        return parts if parts[-1] else parts[:-1]
     out, start, k, code = [], 0, 0, ""
     while k < len(row):
         c = row[k]

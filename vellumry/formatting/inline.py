@@ -24,8 +24,11 @@ _LINE_START = re.compile(r"\n[ \t]+")
 _PERIOD = re.compile(r"\\\.")
 _NUMBERED = re.compile(r"\A\d+\\\.")
 _UNDERSCORES = re.compile(r"_+")
+_LOOSE_UNDERSCORE = re.compile(r"(?<![^\W_])_|_(?![^\W_])")
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 
+#: What takes no part in typography.
+_SKIPPED = re.compile(f"[*\\[\\]~{REGION}{TARGET}]")
 #: Text without any of these is in normal form.
 _MARKUP = re.compile(r"[\[`$<{\\_\"']|\.\.\.|\n[ \t]|[\ue000-\ue004]")
 
@@ -120,8 +123,8 @@ def _links(text: str, defs: Definitions, targets: list[str]) -> str:
 
 def _emphasis(text: str) -> str:
     """Emphasis with underscores written with asterisks."""
-    if "_" not in text:
-        return text
+    if not _LOOSE_UNDERSCORE.search(text):
+        return text  # underscores inside words neither open nor close
     runs = []
     for m in _UNDERSCORES.finditer(text):
         a, b = m.span()
@@ -156,7 +159,9 @@ def _emphasis(text: str) -> str:
 
 
 def _typography(text: str, stand_ins: list[str], quotes: bool, dots: bool) -> str:
-    if quotes and ('"' in text or "'" in text):
+    if quotes and ('"' in text or "'" in text) and not _SKIPPED.search(text):
+        text = typography.smart_quotes(text)
+    elif quotes and ('"' in text or "'" in text):
         # Only text takes part: markup is skipped, a region counts as its stand-in.
         where, seen, k = [], [], 0
         for at, c in enumerate(text):

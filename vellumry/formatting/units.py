@@ -50,7 +50,7 @@ def strip(text: str) -> str:
 def collapse(text: str) -> str:
     """``text`` with each run of white space as one space, and none at the ends."""
     text = strip(text)
-    if text.isascii() and "  " not in text and not any(c in text for c in "\n\t\r\x0b\x0c"):
+    if text.isascii() and "  " not in text and text.isprintable():
         return text
     return SPACES.sub(" ", text)
 
@@ -81,6 +81,8 @@ def split_adjacent(text: str) -> str:
     return _SPACED.sub(lambda m: "".join(filter(None, m.groups())), text)
 
 
+_MAY_HOLD_ATOMS = re.compile(r"[`\[<{]")
+_MAY_HOLD_INLINE = re.compile(r"[`\[<]|://|www\.")
 #: Openings with the mark that each needs behind it, and the character without which an
 #: opening is none.  No other construct needs that character at such a place.
 _LINK_OPENINGS = [("[", "]", re.compile(r"\[")), ("](", ")", re.compile(r"(?<=\])\("))]
@@ -108,7 +110,7 @@ def _closable(text: str, openings: list[tuple[str, str, re.Pattern]]) -> str:
 
 def atomic_words(text: str) -> list[str]:
     """Words, where code, links, template tags and HTML tags stay whole."""
-    if not any(c in text for c in "`[<{"):
+    if not _MAY_HOLD_ATOMS.search(text):
         return plain_words(text)
     text = join_adjacent(text)
     closable = text if len(text) < _SHORT else _closable(text, _OPENINGS)
@@ -150,7 +152,7 @@ def sentences_plain(text: str, min_length: int = 0) -> list[str]:
 def sentences_atomic(text: str, min_length: int = 0) -> list[str]:
     """Sentences as slices of the text, never cut inside code, links or addresses."""
     out: list[str] = []
-    if not min_length and not any(c in text for c in ("`", "[", "<", "://", "www.")):
+    if not min_length and not _MAY_HOLD_INLINE.search(text):
         # Without atoms only words that end on a mark need a look.
         m = _FIRST.search(text)
         for mark in _CANDIDATE.finditer(text):

@@ -19,6 +19,7 @@ Splitter = Callable[[str], list[str]]
 _NUMBER = re.compile(r"(\d+)([.)])")
 _BULLET = re.compile(r"[-*+>]|#+")
 _HARD_BREAK = re.compile(r"\\\n|  +\n")
+_MAY_HOLD_TAGS = re.compile(r"[|{}\-]")
 _PARAGRAPHS = re.compile(r"\n{2,}")
 _MISPLACED_CLOSER = re.compile(r"%\}\s*(\{%\s*/)|#\}\s*(\{#\s*/)|\}\}\s*(\{\{\s*/)|-->\s*(<!--\s*/)")
 
@@ -179,7 +180,7 @@ def with_tag_lines(base: Wrapper) -> Wrapper:
         return base("\n".join(lines), first, other)
 
     def run(text: str, first: str, other: str) -> str:
-        if not any(c in text for c in "|{}-") or "|" not in text and not any(mark in text for mark in marks):
+        if not _MAY_HOLD_TAGS.search(text) or "|" not in text and not any(mark in text for mark in marks):
             return base(text, first, other)
         parts = segments(text.split("\n"))
         if len(parts) == 1:
