@@ -88,6 +88,26 @@ def test_hot_keys_are_paired_at_least_cost(spark):
         assert cost >= totals[20, 1500][k][0] and ends == list(totals[20, 1500][k][1:])
 
 
+def test_differences_are_the_same_whatever_size_is_large(spark):
+    rng = random.Random(9)
+    make = lambda n: [("hot", f"a{rng.randrange(30)}" if rng.random() < 0.9 else None, f"b{rng.randrange(40)}", "same") for _ in range(n)] + [
+        ("parts", f"x{k // 4}.{rng.randrange(2)}", f"y{k // 4}", f"z{k // 4}.{rng.randrange(3)}") for k in range(n)]
+    left, right = (spark.createDataFrame(make(n), CASE) for n in (260, 240))
+    found = [rows(copydiff.copy_differences(left, right, ["id"], ["a", "b", "c"], exact_rows=n, most=most)) for n, most in ((100_000, 100_000), (20, 100_000), (20, 20), (20, 0))]
+    assert found[0] and all(x == found[0] for x in found)  # field by field, not only in sum
+
+
+def test_parts_count_the_same_alone_or_together():
+    rng = random.Random(10)
+    part = lambda p: list({(f"{p}", f"{p}{rng.randrange(3)}", f"{p}{rng.randrange(4)}") for _ in range(8)})
+    sides = [(part(p), part(p)) for p in "abcdef"]
+    alone = [copydiff.least_differences(x, [1] * len(x), y, [1] * len(y)) for x, y in sides]
+    left, right = ([r for s in sides for r in s[i]] for i in (0, 1))
+    wrong, over_left, over_right = copydiff.least_differences(left, [1] * len(left), right, [1] * len(right))
+    ends = sum(a for _, a, _ in alone), sum(b for _, _, b in alone)
+    assert wrong == [sum(w[f] for w, _, _ in alone) + min(ends) for f in range(3)] and over_left - over_right == ends[0] - ends[1]
+
+
 def test_copy_differences_of_empty_tables(spark):
     none, one = spark.createDataFrame([], CASE), spark.createDataFrame([("k", "1", None, "")], CASE)
     diff = lambda a, b: rows(copydiff.copy_differences(a, b, ["id"], ["a", "b", "c"]))
